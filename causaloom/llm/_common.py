@@ -89,3 +89,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def by_group(made):
+    """``made(key, batches) -> batches`` as a function for ``groupBy().applyInArrow``."""
+
+    def apply(key, table):
+        return pa.Table.from_batches(list(made(key, table.to_batches())))
+
+    return apply

@@ -78,9 +78,11 @@ class FactorizationMachine:
         if n == 0 or positive in (0.0, float(n)):
             base = (positive + 0.5) / (n + 1)
             return FactorizationMachine(float(np.log(base / (1 - base))), np.zeros(1), np.zeros((1, RANK)), np.zeros(BUCKETS, np.int32))
-        flat = np.concatenate(rows)
-        seen = np.bincount(flat, minlength=BUCKETS)
-        toxic = np.bincount(flat, weights=np.repeat(labels, [len(r) for r in rows]), minlength=BUCKETS)
+        seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for slots, y in zip(rows, labels, strict=True):  # the slots of a row are distinct
+            seen[slots] += 1
+            if y:
+                toxic[slots] += 1
         # chi-square of slot against label; rare or indifferent slots get no parameters
         expected = seen * positive / n
         chi = (toxic - expected) ** 2 / np.maximum(1e-9, expected * (1 - seen / n) * (1 - positive / n))
