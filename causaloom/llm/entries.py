@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op5_decontaminate
 from .html_text import op4_html
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .lm_score import op7_lm_score
 from .mixing import op2_mixing
 from .ngram_join import op3_ngram_join
 from .quality import op1_quality
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_html": op4_html,
         "op5_decontaminate": op5_decontaminate,
         "op6_line_dedup": op6_line_dedup,
+        "op7_lm_score": op7_lm_score,
         "op8_toxicity": op8_toxicity,
         "op9_warc": op9_warc,
         "op10_vector_dedup": op10_vector_dedup,
