@@ -33,6 +33,8 @@ WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 MINHASHES = 6
+#: Min-hashes that must agree for a comparison with the first class of a group.
+AGREEING = 3
 #: Tokens of the list of very frequent tokens (which only orders tokens), 0.5 MB.
 FREQUENT = 1 << 16
 _BUFFER = 3_000_000
@@ -168,78 +170,112 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "node long, n long, tokens array<long>")
 
 
+def _sizes_fit(m, n):
+    return (m * 100 >= n * PERCENT) & (n * 100 >= m * PERCENT)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact comparison."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
-    fits = (F.col("a_n") * 100 >= F.col("b_n") * PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * PERCENT)
-    both = pairs.join(a, "a").join(b, "b").filter(fits).withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    both = pairs.join(a, "a").join(b, "b").filter(_sizes_fit(F.col("a_n"), F.col("b_n"))).withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
     return both.filter(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * PERCENT).select("a", "b")
 
 
+def _least_shared(low, high):
+    """How many of their first tokens two sets of sizes ``low <= high`` share at least if they link.
+
+    Of the two sets take the one whose first tokens end first in the common order: what
+    it shares with the other set beyond them is at most its size less their number.
+    """
+    total = low + high
+    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + (-high * PERCENT // 100))
+
+
 def _shared_groups(postings: DataFrame, buckets: int) -> DataFrame:
-    """(group, tokens) -> pairs (g, h) of groups, g < h, that share a token.
+    """(group, low, high, tokens) -> pairs (g, h), g < h, that share enough first tokens to hold a link.
 
     Tokens travel as packed arrays, by ranges of their hashes; a group's repeated tokens
-    are dropped before they are sent.
+    are dropped before they are sent.  ``low`` and ``high`` are the least and largest set
+    of the group.  Each range counts the tokens that a pair shares, and the counts add up.
     """
 
     def pack(batches):
         for whole in batches:
             for part in pieces(whole, 4096, 16_000_000):
-                col = part.column(1)
-                tokens = np.asarray(col.values if isinstance(col, pa.ListArray) else col.flatten(), np.int64).view(np.uint64)
-                lengths = np.diff(np.asarray(col.offsets))
-                tokens = tokens[int(col.offsets[0].as_py()) : int(col.offsets[-1].as_py())] if isinstance(col, pa.ListArray) else tokens
-                group = np.repeat(np.asarray(part.column(0), np.int64), lengths)
+                col = part.column(3)
+                offsets = np.asarray(col.offsets)
+                tokens = np.asarray(col.values, np.int64)[offsets[0] : offsets[-1]].view(np.uint64)
+                lengths = np.diff(offsets)
+                group, low, high = (np.repeat(np.asarray(part.column(i), np.int64), lengths) for i in range(3))
                 bucket = (mix64(tokens) >> np.uint64(32)).astype(np.int64) % buckets
                 order = np.lexsort((tokens, group, bucket))
-                bucket, group, tokens = bucket[order], group[order], tokens[order]
                 first = np.ones(len(order), bool)
-                first[1:] = (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]) | (tokens[1:] != tokens[:-1])
-                bucket, group, tokens = bucket[first], group[first], tokens[first]
+                first[1:] = (np.diff(bucket[order]) != 0) | (np.diff(group[order]) != 0) | (tokens[order][1:] != tokens[order][:-1])
+                order = order[first]
+                bucket, group, low, high, tokens = bucket[order], group[order], low[order], high[order], tokens[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out_b, out_g, out_c, out_t = [], [], [], []
+                out_b, out_g, out_t = [], [], []
                 for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    g, count = np.unique(group[lo:hi], return_counts=True)
+                    g, at, count = np.unique(group[lo:hi], return_index=True, return_counts=True)
                     out_b.append(int(bucket[lo]))
-                    out_g.append(g.astype("<i8").tobytes())
-                    out_c.append(count.astype("<i4").tobytes())
+                    out_g.append(np.stack([g, count, low[lo:hi][at], high[lo:hi][at]]).astype("<i8").tobytes())
                     out_t.append(tokens[lo:hi].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_g, pa.binary()), pa.array(out_c, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "g", "c", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_g, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "g", "t"])
 
     def meet(key, batches):
-        groups, tokens = [], []
+        groups, tokens, spans = [], [], {}
         for batch in batches:
-            for g, c, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                groups.append(np.repeat(np.frombuffer(g, "<i8"), np.frombuffer(c, "<i4")))
+            for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                g, count, low, high = np.frombuffer(g, "<i8").reshape(4, -1)
+                groups.append(np.repeat(g, count))
                 tokens.append(np.frombuffer(t, "<u8"))
+                spans.update(zip(g.tolist(), zip(low.tolist(), high.tolist(), strict=True), strict=True))
         group, token = np.concatenate(groups), np.concatenate(tokens)
-        order = np.argsort(token, kind="stable")
+        order = np.lexsort((group, token))
         group, token = group[order], token[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
-        seen, done = set(), set()
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            run = np.unique(group[lo:hi])
-            if len(run) < 2 or (name := run.tobytes()) in done:
-                continue
-            done.add(name)
-            run = run.tolist()
-            for i, a in enumerate(run):
-                seen.update((a, b) for b in run[i + 1 :])
-            if len(seen) > 500_000:
-                yield _pairs(seen)
-                seen = set()
-        yield _pairs(seen)
-
-    packed = postings.mapInArrow(pack, "bucket long, g binary, c binary, t binary")
-    return packed.groupBy("bucket").applyInArrow(by_group(meet), "g long, h long").distinct()
-
-
-def _pairs(seen: set) -> pa.RecordBatch:
-    ordered = sorted(seen)
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.int64()), pa.array([x[1] for x in ordered], pa.int64())], ["g", "h"])
+        several = ends - starts > 1
+        runs: dict[bytes, int] = {}  # groups of a token -> tokens with these groups
+        for lo, hi in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+            run = group[lo:hi]
+            run = run[np.append(True, run[1:] != run[:-1])]
+            if len(run) > 1:
+                name = run.tobytes()
+                runs[name] = runs.get(name, 0) + 1
+        shared: dict[tuple[int, int], int] = {}
+        for name, count in runs.items():
+            run = np.frombuffer(name, np.int64)
+            low, high = (np.array([spans[g][i] for g in run.tolist()]) for i in (0, 1))
+            order = np.argsort(low, kind="stable")  # partners by size: low of the one within reach of high of the other
+            run, low, high = run[order], low[order], high[order]
+            for i in range(len(run)):
+                upto = np.searchsorted(low, high[i] * 100 / PERCENT, side="right")
+                for j in range(i + 1, int(upto)):
+                    pair = (int(run[i]), int(run[j])) if run[i] < run[j] else (int(run[j]), int(run[i]))
+                    if low[i] * PERCENT <= high[j] * 100 and low[j] * PERCENT <= high[i] * 100:
+                        shared[pair] = shared.get(pair, 0) + count
+            if len(shared) > 400_000:
+                yield _pairs(shared, spans)
+                shared = {}
+        yield _pairs(shared, spans)
+
+    packed = postings.mapInArrow(pack, "bucket long, g binary, t binary")
+    counted = packed.groupBy("bucket").applyInArrow(by_group(meet), "g long, h long, shared long, least long")
+    return counted.groupBy("g", "h").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("g", "h")
+
+
+def _pairs(shared: dict, spans: dict) -> pa.RecordBatch:
+    ordered = sorted(shared)
+    least = []
+    for g, h in ordered:
+        (a, b), (c, d) = spans[g], spans[h]
+        # the weakest demand of any two members: the smallest set with the largest that it can link to
+        low = min(a, c)
+        high = max(low, min(max(b, d), low * 100 // PERCENT)) if (a, c) != (b, d) else max(a, c)
+        least.append(int(_least_shared(low, high)))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.int64()), pa.array([x[1] for x in ordered], pa.int64()), pa.array([shared[x] for x in ordered], pa.int64()), pa.array(least, pa.int64())], ["g", "h", "shared", "least"])
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -255,11 +291,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    nodes = classes.select("node", "class")
-    # groups: the classes of a min-hash against the first of them
-    mins = classes.select("node", F.posexplode("mins").alias("i", "m"))
-    hubs = mins.groupBy("i", "m").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    near = stored(mins.join(hubs, ["i", "m"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near")
+    nodes, nodes_n = classes.select("node", "class"), classes.select("node", "n")
+    # groups: classes against the first class of their min-hashes, if several of these agree (step 4 finds what this misses)
+    mins = classes.select("node", "n", F.posexplode("mins").alias("i", "m"))
+    hubs = mins.groupBy("i", "m").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    near = mins.join(hubs, ["i", "m"]).filter((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n")))
+    near = near.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= AGREEING).select("a", "b")
+    near = stored(near, "near")
     first = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct().withColumn("compare", F.lit(True))
     wanted = nodes.join(first, "node", "left").withColumn("compare", F.coalesce("compare", F.lit(False)))
     shared = spark.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
@@ -286,7 +324,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     links = stored(_linked(near, tokens.filter("tokens is not null").select("node", "n", "tokens")), "links")
     groups = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # the matrix: which groups share one of the first tokens
-    postings = tokens.select("node", "first").join(groups, "node", "left").select(F.coalesce("root", "node").alias("group"), "first")
+    spans = groups.join(nodes_n, "node").groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = groups.join(spans, "root")
+    postings = tokens.select("node", "n", "first").join(placed, "node", "left").select(F.coalesce("root", "node").alias("group"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high"), "first")
     buckets = int(max(24, total // 6_000_000))
     pairs = stored(_shared_groups(postings, buckets), "pairs")
     if pairs.limit(1).count():
