@@ -7,8 +7,8 @@
 3. In each block a flat graph is built over members and replicas: robust pruning of the
    nearest candidates, some far ones, and the reverse edges.  The lists that a vector
    gets in its blocks are united.
-4. Queries (all vectors) go to every block of each cell that is nearly as near as their
-   own.  From the block's medoid, and from the query's own node if it is there, a greedy
+4. Queries (all vectors) go to every block of their nearest cells and of cells about as
+   near as the best.  From the block's medoid, and from the query's own node if it is there, a greedy
    search finds the neighbourhood and expands it as long as it finds vectors within the
    range (less some slack).  Cosines are verified in double precision.
 5. Every block audits its recall on some of its queries by brute force; a block below
@@ -30,10 +30,10 @@ from ._common import by_group, pieces, stored
 from .components import components
 
 THRESHOLD = 0.93
-CELL, BLOCK = 1000, 2048
+CELL, BLOCK = 400, 2048
 MOST_PIVOTS = 16_384
-#: Cells less similar to a query than its best one by no more than this are searched.
-MARGIN = 0.22
+#: A query searches its nearest cells, and those that are as near as the best but for a margin.
+PROBES, MARGIN = 3, 0.05
 NEAR, FAR, POOL, ALPHA = 20, 8, 40, 1.2
 BEAM, SLACK = 24, 0.08
 AUDIT_RECALL = 0.97
@@ -252,7 +252,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     sim = p @ np.frombuffer(units[i])
                     order = np.argsort(-sim, kind="stable")
                     for rank, c in enumerate(order):
-                        if rank > 1 and sim[c] < sim[order[0]] - MARGIN:
+                        if rank >= PROBES and sim[c] < sim[order[0]] - MARGIN:
                             break
                         at.append(i)
                         cells.append(f"{s}/{c}")
