@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import corpus, custom, evaluation, fixtures, graph, networks, physics, registry  # noqa: F401  (imports register)
+
 
 def queries() -> dict:
-    return {}
+    return {name: registry.query(name) for name in registry.OPERATORS} | dict(registry.CUSTOM)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: registry.oracle(name) for name in registry.OPERATORS}
