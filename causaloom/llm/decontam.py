@@ -5,8 +5,9 @@ by at most ``rate`` edits a word (insert, delete or replace a word; words are
 lower-cased and stripped of outer punctuation).  Candidate search:
 
 1. If an item of n words occurs with k edits at most, one of the k+1 equal parts of
-   the item is intact.  Only item-sized windows that are aligned to such an intact
-   part are looked at; this loses nothing.
+   the item is intact, and all but k of its different words are there.  Only item-sized
+   windows that are aligned to such an intact part and hold so many of the item's words
+   are looked at; this loses nothing.
 2. The CGK random walk maps windows and items to strings that differ in few places
    if few edits part them.  ``WALKS`` walks with ``SAMPLES`` samples of
    ``SYMBOLS`` places each make the keys of the hash tables; a window that shares a
@@ -46,7 +47,9 @@ class CoreHash(dict):
     """word -> hash of the word without case and outer punctuation (0: nothing left); bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        core = _EDGE.sub(b"", word.lower())
+        core = word.lower()
+        if not core.isalnum():
+            core = _EDGE.sub(b"", core)
         value = xxhash.xxh3_64_intdigest(core) | 1 if core else 0
         if len(self) >= CACHE_WORDS:
             self.clear()
@@ -71,15 +74,16 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of equally long rows of word hashes: three times as long, padded with 0."""
+def walk(windows: np.ndarray, walks: int = WALKS) -> np.ndarray:
+    """CGK embeddings of equally long rows of word hashes: (rows, walks, three times the length), padded with 0."""
     n, length = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, rows, out = np.zeros(n, np.int64), np.arange(n), np.zeros((n, 3 * length), np.uint64)
+    at, rows, out = np.zeros((n, walks), np.int64), np.arange(n)[:, None], np.zeros((n, walks, 3 * length), np.uint64)
+    seeds = np.arange(walks, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(1)
     for j in range(3 * length):
         symbol = padded[rows, at]
-        out[:, j] = symbol
-        step = mix64(symbol + np.uint64(seed * 1_000_003 + j * 7919 + 1)) & np.uint64(1)
+        out[:, :, j] = symbol
+        step = mix64(symbol + (seeds + np.uint64(j * 7919))) & np.uint64(1)
         at = np.minimum(at + step.astype(np.int64), length)
     return out
 
@@ -87,14 +91,14 @@ def walk(windows: np.ndarray, seed: int) -> np.ndarray:
 def lsh_keys(windows: np.ndarray) -> np.ndarray:
     """A row of WALKS * SAMPLES keys for each row of word hashes."""
     n, length = windows.shape
-    keys = np.zeros((n, WALKS * SAMPLES), np.uint64)
     rng = np.random.default_rng(length)
+    embedded = walk(windows)
+    keys = np.zeros((n, WALKS * SAMPLES), np.uint64)
     for w in range(WALKS):
-        embedded = walk(windows, w)
         for s in range(SAMPLES):
             k = np.full(n, (w * SAMPLES + s + 1) * 0x9E3779B1 + length, np.uint64)
             for place in rng.choice(3 * length, size=SYMBOLS, replace=False):
-                k = mix64(k ^ embedded[:, place])
+                k = mix64(k ^ embedded[:, w, place])
             keys[:, w * SAMPLES + s] = k
     return keys
 
@@ -120,7 +124,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         cache = CoreHash()
-        self.items, self.rate = [], rate
+        self.items, self.vocabulary, self.rate = [], [], rate
         parts: dict[int, dict[int, list[tuple[int, int]]]] = {2: {}, 3: {}}
         self.tables: dict[int, dict[int, list[int]]] = {}
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or b"")):
@@ -129,6 +133,7 @@ class ItemIndex:
                 continue
             k, at = int(rate * len(h)), len(self.items)
             self.items.append((item_id, h, k))
+            self.vocabulary.append(frozenset(h.tolist()))
             width = len(h) // (k + 1)
             n = 3 if width >= 3 else 2
             for part in range(k + 1):
@@ -145,40 +150,59 @@ class ItemIndex:
             bits[(k >> np.uint64(42)).astype(np.int64)] = True
             self.bitmap[n] = bits
 
-    def windows(self, h: np.ndarray) -> dict[int, set[int]]:
-        """length -> starts of the windows that are aligned to an intact part of an item of that length."""
-        found: dict[int, set[int]] = {}
+    def windows(self, h: np.ndarray) -> set[tuple[int, int]]:
+        """(length, start) of the windows that are aligned to an intact part of an item and hold enough of its words."""
+        found: set[tuple[int, int]] = set()
         for n, known in self.known.items():
             if not len(known) or len(h) < n:
                 continue
             g = grams(h, n)
-            for p in np.flatnonzero(self.bitmap[n][(g >> np.uint64(42)).astype(np.int64)]):
+            for p in np.flatnonzero(self.bitmap[n][(g >> np.uint64(42)).astype(np.int64)]).tolist():
                 for at, off in self.parts[n].get(int(g[p]), ()):
-                    length = len(self.items[at][1])
-                    found.setdefault(length, set()).add(max(0, min(int(p) - off, len(h) - 1)))
+                    _, words, k = self.items[at]
+                    start = max(0, min(p - off, len(h) - 1))
+                    if (len(words), start) in found:
+                        continue
+                    near = h[max(0, start - 2 * k) : start + len(words) + 2 * k].tolist()
+                    if len(self.vocabulary[at].intersection(near)) >= len(self.vocabulary[at]) - k:
+                        found.add((len(words), start))
         return found
 
-    def matches(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, start and end in words, edits) of the best stretch for each item found."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for length, starts in self.windows(h).items():
-            starts = np.array(sorted(starts))
-            padded = np.concatenate([h, np.zeros(length, np.uint64)])
-            keys = lsh_keys(padded[starts[:, None] + np.arange(length)])
+    def matches(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item id, start and end in words, edits) of the best stretch for each item found.
+
+        Windows of equal length are embedded together, whatever text they come from.
+        """
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, h in enumerate(texts):
+            for length, start in self.windows(h):
+                by_length.setdefault(length, []).append((i, start))
+        best: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+        for length, places in by_length.items():
+            places.sort()
             table = self.tables[length]
-            for start, row in zip(starts, keys, strict=True):
-                for at in {a for key in row for a in table.get(int(key), ())}:
-                    item_id, words, k = self.items[at]
-                    if (old := best.get(item_id)) and old[3] == 0:
-                        continue
-                    if start + length <= len(h) and np.array_equal(h[start : start + length], words):
-                        best[item_id] = (item_id, int(start), int(start) + length, 0)
-                        continue
-                    lo = max(0, int(start) - 2 * k)
-                    edits, end = best_stretch(words, h[lo : int(start) + length + 2 * k], k)
-                    if edits <= k and (old is None or edits < old[3]):
-                        best[item_id] = (item_id, int(start), lo + end, edits)
-        return [best[i] for i in sorted(best)]
+            for lo in range(0, len(places), 4096):
+                part = places[lo : lo + 4096]
+                windows = np.zeros((len(part), length), np.uint64)
+                for row, (i, start) in zip(windows, part, strict=True):
+                    got = texts[i][start : start + length]
+                    row[: len(got)] = got
+                for (i, start), row in zip(part, lsh_keys(windows).tolist(), strict=True):
+                    for at in sorted({a for key in row for a in table.get(key, ())}):
+                        self._verify(texts[i], start, at, best[i])
+        return [[found[k] for k in sorted(found)] for found in best]
+
+    def _verify(self, h: np.ndarray, start: int, at: int, best: dict) -> None:
+        item_id, words, k = self.items[at]
+        if (old := best.get(item_id)) and old[3] == 0:
+            return
+        if np.array_equal(h[start : start + len(words)], words):
+            best[item_id] = (item_id, start, start + len(words), 0)
+            return
+        lo = max(0, start - 2 * k)
+        edits, end = best_stretch(words, h[lo : start + len(words) + 2 * k], k)
+        if edits <= k and (old is None or edits < old[3]):
+            best[item_id] = (item_id, start, lo + end, edits)
 
 
 def item_pieces(benchmark: DataFrame, items: int = ITEMS, most_bytes: int = ITEM_BYTES):
@@ -213,7 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items:
             for whole in batches:
                 for part in pieces(whole):
                     texts = as_binary(part.column(names.index("text"))).to_pylist()
-                    found = [[dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in index.matches(cores_of(t, cache))] for t in texts]
+                    matched = index.matches([cores_of(t, cache) for t in texts])
+                    found = [[dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in of] for of in matched]
                     rows = part.columns[: len(names)]
                     if part.num_columns > len(names):
                         found = [a + b for a, b in zip(part.column(len(names)).to_pylist(), found, strict=True)]
