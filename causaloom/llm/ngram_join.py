@@ -4,16 +4,18 @@ Documents are sets of five-word shingles (64-bit hashes).  The join is exact: ev
 pair of different sets with a Jaccard similarity of the threshold or more is linked.
 
 1. Equal sets form a class; a class joins once, whatever its copies.
-2. Similar classes are put into groups: classes that share a min-hash are compared
-   with the first class of that min-hash, and verified links make the groups.
-3. The token-group matrix: the tokens of each group's members.  A member Q can only
-   link to a set in another group G if Q and G's members share a token among the first
-   ``|Q| - ceil(0.75 |Q|) + 1`` tokens of a common order, in which very frequent tokens
-   come last.  Group pairs without such a token are never looked at.
-4. For the others the overlap of each query with the group's token union is counted;
+2. In a common order of tokens, two sets that link share more than a tenth of their
+   size among their first tokens (see :func:`prefix`).  Each class counts how many of
+   its first tokens any other class has; classes with fewer than that link with nothing
+   and are done.  For these counts tokens travel as packed arrays by hash range.
+3. Similar classes are put into groups: in a few rounds, classes that share min-hashes
+   are compared with one class of that min-hash, and verified links make the groups.
+4. The token-group matrix holds the first tokens of each group's members.  Group pairs
+   that share too few of them for any of their members to link are never looked at.
+5. For the others the overlap of each query with the group's token union is counted;
    a group is opened for Q only if that overlap reaches 0.75 |Q|.  The members of
    opened groups are compared exactly.
-5. Components of all verified links.
+6. Components of all verified links.
 
 No step lists the pairs within a group.  Frequent keys meet only in aggregations that
 combine before the shuffle or in equi-joins that Spark may split.
@@ -33,11 +35,10 @@ WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 MINHASHES = 6
-#: Min-hashes that must agree for a comparison with the first class of a group.
-AGREEING = 3
-#: Tokens of the list of very frequent tokens (which only orders tokens), 0.5 MB.
-FREQUENT = 1 << 16
-_BUFFER = 3_000_000
+#: Min-hashes that must agree for a comparison with the hub of a group, and rounds of comparisons.
+AGREEING, ROUNDS = 3, 3
+#: Per cent of a set by which its first tokens exceed the least number that a link needs one of.
+EXTRA = 10
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -81,53 +82,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def profiles(docs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(doc_id, n, class, mins) of every row, stored, and the very frequent tokens."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, class, mins) of every row: size of its set, key of its class, min-hashes."""
 
     def scan(batches):
         cache = WordHash()
-        held, size, frequent = [], 0, {}
-
-        def flush():
-            nonlocal held, size
-            if held:
-                token, count = np.unique(np.concatenate(held), return_counts=True)
-                for t, c in zip(token[count >= 4].tolist(), count[count >= 4].tolist(), strict=True):
-                    frequent[t] = frequent.get(t, 0) + c
-                if len(frequent) > 4 * FREQUENT:
-                    least = sorted(frequent.values())[-2 * FREQUENT]
-                    for t in [t for t, c in frequent.items() if c <= least]:
-                        del frequent[t]
-            held, size = [], 0
-
         for whole in batches:
             for part in pieces(whole):
-                sets = shingle_sets(as_binary(part.column(1)).to_pylist(), cache)
                 ns, keys, mins = [], [], []
-                for s in sets:
+                for s in shingle_sets(as_binary(part.column(1)).to_pylist(), cache):
                     ns.append(len(s))
                     keys.append(_signed(_class_key(s)) if len(s) else None)
                     mins.append([int((mix64(s ^ m) >> np.uint64(1)).min()) for m in (_M[i % 5] + np.uint64(i) for i in range(MINHASHES))] if len(s) else None)
-                    held.append(s)
-                    size += len(s)
-                if size >= _BUFFER:
-                    flush()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array([False] * len(ns))],
-                    ["doc_id", "n", "class", "mins", "token"],
-                )
-        flush()
-        if frequent:
-            t = list(frequent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(t), pa.int64()), pa.array([frequent[x] for x in t], pa.int64()), pa.array([_signed(x) for x in t], pa.int64()), pa.array([None] * len(t), pa.list_(pa.int64())), pa.array([True] * len(t))],
-                ["doc_id", "n", "class", "mins", "token"],
-            )
-
-    schema = "doc_id long, n long, class long, mins array<long>, token boolean"
-    both = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema), "profiles")
-    top = both.filter("token").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).collect()
-    return both.filter("not token").drop("token"), [r["class"] for r in top]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "n", "class", "mins"])
+
+    return docs.mapInArrow(scan, "doc_id long, n long, class long, mins array<long>")
 
 
 def needed(n: np.ndarray | int):
@@ -135,21 +104,14 @@ def needed(n: np.ndarray | int):
     return -(-n * PERCENT // 100)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the common order, of which a link needs one."""
-    take = len(s) - int(needed(len(s))) + 1
-    order = mix64(s)
-    rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s if len(frequent) else np.ones(len(s), bool)
-    if rare.sum() >= take:
-        s, order = s[rare], order[rare]
-        return s[np.argpartition(order, take - 1)[:take]]
-    return s[np.lexsort((order, ~rare))[:take]]
-
+def prefix(s: np.ndarray) -> np.ndarray:
+    """The first tokens of a set in the common (hash) order.
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, class, text) for the wanted (node, class)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "node").select("node", "class", "text")
+    Of ``n - needed + 1`` first tokens a link needs one; with ``EXTRA`` per cent more of
+    them it needs that many more.
+    """
+    take = min(len(s), len(s) - int(needed(len(s))) + 1 + len(s) * EXTRA // 100)
+    return s[np.argpartition(mix64(s), take - 1)[:take]]
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -189,7 +151,7 @@ def _least_shared(low, high):
     it shares with the other set beyond them is at most its size less their number.
     """
     total = low + high
-    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + (-high * PERCENT // 100))
+    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + (-high * PERCENT // 100) + high * EXTRA // 100)
 
 
 def _shared_groups(postings: DataFrame, buckets: int) -> DataFrame:
@@ -278,6 +240,74 @@ def _pairs(shared: dict, spans: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.int64()), pa.array([x[1] for x in ordered], pa.int64()), pa.array([shared[x] for x in ordered], pa.int64()), pa.array(least, pa.int64())], ["g", "h", "shared", "least"])
 
 
+def _common_enough(texts: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """(node, class, n, mins) of the classes that share enough of their first tokens with others to link at all."""
+
+    def pack(batches):
+        cache = WordHash()
+        for whole in batches:
+            for part in pieces(whole, 4096, 16_000_000):
+                sets = shingle_sets(as_binary(part.column(0)).to_pylist(), cache)
+                firsts = {_signed(_class_key(s)): prefix(s) for s in sets if len(s)}
+                if not firsts:
+                    continue
+                names = np.array(list(firsts), np.int64)
+                tokens = np.concatenate(list(firsts.values()))
+                owner = np.repeat(np.arange(len(names)), [len(f) for f in firsts.values()])
+                bucket = (mix64(tokens) >> np.uint64(32)).astype(np.int64) % buckets
+                order = np.lexsort((owner, bucket))
+                bucket, owner, tokens = bucket[order], owner[order], tokens[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                out_b, out_g, out_t = [], [], []
+                for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                    own, count = np.unique(owner[lo:hi], return_counts=True)
+                    out_b.append(int(bucket[lo]))
+                    out_g.append(np.stack([names[own], count]).astype("<i8").tobytes())
+                    out_t.append(tokens[lo:hi].astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_g, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "g", "t"])
+
+    def shared(key, batches):
+        """Tokens of each class that another class has, too."""
+        names, tokens = [], []
+        for batch in batches:
+            for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                g, count = np.frombuffer(g, "<i8").reshape(2, -1)
+                names.append(np.repeat(g, count))
+                tokens.append(np.frombuffer(t, "<u8"))
+        name, token = np.concatenate(names), np.concatenate(tokens)
+        order = np.lexsort((name, token))
+        name, token = name[order], token[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))  # a class may come from several tasks
+        name, token = name[new], token[new]
+        same = token[1:] == token[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        found, count = np.unique(name[several], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(count, pa.int64())], ["class", "shared"])
+
+    counted = texts.select("text").mapInArrow(pack, "bucket long, g binary, t binary").groupBy("bucket").applyInArrow(by_group(shared), "class long, shared long")
+    totals = counted.groupBy("class").agg(F.sum("shared").alias("shared"))
+    return classes.join(totals, "class").filter(F.col("shared") >= 1 + F.floor(F.col("n") * EXTRA / 100)).select("node", "class", "n", "mins")
+
+
+def _group_links(able: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(verified links, components of them): every round compares classes with one hub of each min-hash."""
+    links = roots = None
+    mins = able.select("node", "n", F.posexplode("mins").alias("i", "m"))
+    for turn in range(ROUNDS):
+        known = mins if roots is None else mins.join(roots, "node", "left")
+        known = known.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+        order = F.struct(F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "root"), F.col("root"), F.col("node"), F.col("n"))
+        hubs = known.groupBy("i", "m").agg(F.min(order).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("i", "m", F.col("hub.root").alias("hub_root"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+        near = known.join(hubs, ["i", "m"]).filter((F.col("root") != F.col("hub_root")) & _sizes_fit(F.col("n"), F.col("hub_n")))
+        near = near.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= AGREEING).select("a", "b")
+        more = stored(_linked(stored(near, "near"), sets), "links")
+        if not more.limit(1).count():
+            break
+        links = more if links is None else links.union(more)
+        roots = components(links)
+    return links, roots
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -287,53 +317,28 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     keep null ids and link with nothing.  Repeated ids count as one document.  Other
     columns of ``docs`` do not matter.
     """
-    rows, frequent = profiles(docs)
-    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(profiles(texts), "profiles")
     classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    nodes, nodes_n = classes.select("node", "class"), classes.select("node", "n")
-    # groups: classes against the first class of their min-hashes, if several of these agree (step 4 finds what this misses)
-    mins = classes.select("node", "n", F.posexplode("mins").alias("i", "m"))
-    hubs = mins.groupBy("i", "m").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    near = mins.join(hubs, ["i", "m"]).filter((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n")))
-    near = near.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= AGREEING).select("a", "b")
-    near = stored(near, "near")
-    first = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct().withColumn("compare", F.lit(True))
-    wanted = nodes.join(first, "node", "left").withColumn("compare", F.coalesce("compare", F.lit(False)))
-    shared = spark.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-
-    def second(batches):
-        """Whole sets of the nodes that are compared, first tokens of all."""
-        cache, often = WordHash(), shared.value
-        for whole in batches:
-            for part in pieces(whole):
-                ids, ns, first_tokens, tokens = [], [], [], []
-                sets = shingle_sets(as_binary(part.column(3)).to_pylist(), cache)
-                for node, key, compare, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), sets, strict=True):
-                    if len(s) and _signed(_class_key(s)) == key:
-                        ids.append(node)
-                        ns.append(len(s))
-                        first_tokens.append(prefix(s, often).view(np.int64))
-                        tokens.append(s.view(np.int64) if compare else None)
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(first_tokens, kind), pa.array(tokens, kind)], ["node", "n", "first", "tokens"])
-
-    joined = texts.join(wanted, "node").select("node", "class", "compare", "text")
-    tokens = stored(joined.mapInArrow(second, "node long, n long, first array<long>, tokens array<long>"), "tokens")
-    links = stored(_linked(near, tokens.filter("tokens is not null").select("node", "n", "tokens")), "links")
-    groups = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # the matrix: which groups share one of the first tokens
-    spans = groups.join(nodes_n, "node").groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = groups.join(spans, "root")
-    postings = tokens.select("node", "n", "first").join(placed, "node", "left").select(F.coalesce("root", "node").alias("group"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high"), "first")
-    buckets = int(max(24, total // 6_000_000))
-    pairs = stored(_shared_groups(postings, buckets), "pairs")
+    able = stored(_common_enough(texts.filter("doc_id is not null"), classes, int(max(24, total // 4_000_000))), "able")
+    wanted = able.select("node", "class").hint("merge")  # the same way at every size
+    sets = stored(_sets(texts.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "class", "text")), "sets")
+    links, roots = _group_links(able, sets)
+    grouped = able.select("node", "n") if roots is None else able.select("node", "n").join(roots, "node", "left")
+    grouped = stored(grouped.select("node", "n", F.col("node").alias("group") if roots is None else F.coalesce("root", "node").alias("group")), "grouped")
+    spans = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"), F.min("node").alias("only"))
+    placed = grouped.select("node", "group").join(spans.select("group", "low", "high"), "group")
+    postings = _firsts(sets).join(placed, "node").select("group", "low", "high", "first")
+    held = able.agg(F.sum("n")).first()[0] or 0
+    pairs = stored(_shared_groups(postings, int(max(16, held // 4_000_000))), "pairs")
     if pairs.limit(1).count():
-        more = _open_groups(docs, nodes, groups, pairs)
-        links = links.union(more)
-        groups = components(links) if links.limit(1).count() else groups
-    known = classes.select("class", "node").join(groups, "node", "left").select("class", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("component_id"))
+        more = _open_groups(grouped, spans, sets, pairs)
+        if more.limit(1).count():
+            links = more if links is None else links.union(more)
+            roots = components(links)
+    known = classes.select("class", "node") if roots is None else classes.select("class", "node").join(roots, "node", "left")
+    known = known.select("class", F.col("node").alias("class_id"), F.col("node").alias("component_id") if roots is None else F.coalesce("root", "node").alias("component_id"))
     out = rows.join(known, "class", "left")
     own = F.col("class_id").isNull() | F.col("doc_id").isNull()
     return out.select(
@@ -341,14 +346,21 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _open_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+def _firsts(sets: DataFrame) -> DataFrame:
+    """(node, first): first tokens of the sets."""
+
+    def scan(batches):
+        for whole in batches:
+            for part in pieces(whole, 4096, 16_000_000):
+                firsts = [prefix(np.array(t, np.int64).view(np.uint64)).view(np.int64) for t in part.column(1).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["node", "first"])
+
+    return sets.select("node", "tokens").mapInArrow(scan, "node long, first array<long>")
+
+
+def _open_groups(grouped: DataFrame, spans: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links between the groups of ``pairs``: bound by the groups' token unions, then opened."""
-    grouped = nodes.join(groups, "node", "left").select("node", "class", F.coalesce("root", "node").alias("group"))
-    in_pair = pairs.select(F.col("g").alias("group")).union(pairs.select(F.col("h").alias("group"))).distinct()
-    wanted = stored(grouped.join(in_pair, "group", "left_semi"), "members")
-    sets = stored(_sets(_texts_of(docs, wanted.select("node", "class"))), "sets")
-    members = sets.select("node", "n").distinct().join(wanted.select("node", "group").distinct(), "node")
-    spans = members.groupBy("group").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("only"))
+    members = grouped.select("node", "n", "group")
     # queries: every member against the other group, if the sizes allow a link at all
     ways = pairs.select("g", "h").union(pairs.select(F.col("h").alias("g"), F.col("g").alias("h")))
     q = ways.join(members.select(F.col("group").alias("g"), F.col("node").alias("q"), "n"), "g").join(spans.select(F.col("group").alias("h"), "size", "low", "high", "only"), "h")
@@ -356,11 +368,12 @@ def _open_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Da
     # a group of one is its own union: comparing it is the bound
     single = q.filter("size = 1").select(F.least("q", "only").alias("a"), F.greatest("q", "only").alias("b"))
     large = q.filter("size > 1").select("q", "h", "n")
-    matrix = sets.join(members.select("node", "group"), "node").join(spans.filter("size > 1").select("group"), "group", "left_semi").select("group", F.explode("tokens").alias("token")).distinct()
+    needed_groups = large.select(F.col("h").alias("group")).distinct()
+    matrix = sets.select("node", "tokens").join(members.select("node", "group"), "node").join(needed_groups, "group", "left_semi").select("group", F.explode("tokens").alias("token")).distinct()
     asked = large.join(sets.select(F.col("node").alias("q"), "tokens"), "q").select("q", "h", "n", F.explode("tokens").alias("token"))
     overlap = asked.join(matrix.select(F.col("group").alias("h"), "token"), ["h", "token"]).groupBy("q", "h", "n").agg(F.countDistinct("token").alias("common"))
     opened = overlap.filter(F.col("common") * 100 >= F.col("n") * PERCENT).join(members.select(F.col("group").alias("h"), F.col("node").alias("s"), F.col("n").alias("s_n")), "h")
-    opened = opened.filter((F.col("n") * 100 >= F.col("s_n") * PERCENT) & (F.col("s_n") * 100 >= F.col("n") * PERCENT)).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"))
+    opened = opened.filter(_sizes_fit(F.col("n"), F.col("s_n"))).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"))
     return stored(_linked(single.union(opened).distinct(), sets), "more_links")
 
 
