@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import corpus, custom, evaluation, fixtures, graph, networks, physics, registry  # noqa: F401  (imports register)
+from .dialect import DUCK
 
 
 def queries() -> dict:
@@ -10,4 +11,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: registry.oracle(name) for name in registry.OPERATORS}
+    found = {name: registry.oracle(name) for name in registry.OPERATORS}
+    return found | {"near_duplicates": registry.statement(custom.near_duplicates_oracle(DUCK), DUCK)}

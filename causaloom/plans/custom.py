@@ -1 +1,131 @@
-"""Queries that are not one SQL statement (registered by the operators' modules)."""
+"""Queries that are not one statement: iterative, resampled or fitted operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import dedupe, networks, noisyor, stats, text
+from .registry import OPERATORS, custom, query
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _fixture(spark, sf_dir, name):
+    """A fixture as a frame."""
+    OPERATORS.setdefault(f"_{name}", lambda d: f"SELECT * FROM {name}")
+    try:
+        return query(f"_{name}")(spark, sf_dir)
+    finally:
+        del OPERATORS[f"_{name}"]
+
+
+@custom
+def near_duplicates(spark, sf_dir):
+    """Pairs of documents with an exact five-word shingle similarity of 0.8 or more."""
+    return dedupe.jaccard_pairs(_read(spark, sf_dir, "documents")).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@custom
+def duplicate_clusters(spark, sf_dir):
+    """Clusters of min-hash candidates, united without a check."""
+    return dedupe.near_duplicate_clusters(_read(spark, sf_dir, "documents"))
+
+
+@custom
+def clean_text(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.select("doc_id", text.clean_text(F.col("text")).alias("clean")).withColumn("wc", text.word_count(F.col("clean")))
+
+
+@custom
+def split_report(spark, sf_dir):
+    """Sections and items of reports; the fixture's reports get headings from their lines."""
+    d = _read(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 2, F.concat(F.lit("Findings\n1. "), x)).when(i > 2, F.concat((i - 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    return text.split_report(d.select("doc_id", F.array_join(lines, "\n").alias("text")), least_place=0.0)
+
+
+@custom
+def html_fields(spark, sf_dir):
+    return text.links_of(_read(spark, sf_dir, "pages"))
+
+
+@custom
+def stratified_sample(spark, sf_dir):
+    return text.stratified_sample(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 5)
+
+
+@custom
+def two_pool_sample(spark, sf_dir):
+    return text.two_pool_sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "en", "doc_id", 50)
+
+
+@custom
+def pc_skeleton(spark, sf_dir):
+    """Networks per category by constraint-based search on pattern counts."""
+    return networks.pc_by_category(query("presence_patterns")(spark, sf_dir))
+
+
+@custom
+def bootstrap_stability(spark, sf_dir):
+    return networks.bootstrap_stability(query("presence_patterns")(spark, sf_dir), rounds=10)
+
+
+@custom
+def acyclic_edges(spark, sf_dir):
+    return networks.break_cycles(query("dense_edges")(spark, sf_dir).withColumnRenamed("direction_score", "score").select("category", "src", "dst", "score", "support"))
+
+
+@custom
+def laplacian_prior(spark, sf_dir):
+    return networks.laplacian_prior(query("pmi_similarity")(spark, sf_dir))
+
+
+@custom
+def noisy_or_fit(spark, sf_dir):
+    """Leak and strengths of the target with intervals of 50 redraws."""
+    edges = query("leading_factors")(spark, sf_dir)
+    factors = [r.src for r in edges.orderBy(F.desc("support"), "src").limit(10).collect()]
+    fitted = noisyor.fit_target(_fixture(spark, sf_dir, "causal_presence"), _fixture(spark, sf_dir, "records"), "ERROR_0", factors, draws=50)
+    return spark.createDataFrame(fitted)
+
+
+@custom
+def auc_bootstrap(spark, sf_dir):
+    return stats.bootstrap_auc(_fixture(spark, sf_dir, "scored"))
+
+
+@custom
+def isotonic_link(spark, sf_dir):
+    return stats.isotonic_out_of_fold(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "y"))
+
+
+@custom
+def logistic_arm(spark, sf_dir):
+    return stats.classifier_out_of_fold(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "score2", "y"), ["score", "score2"])
+
+
+@custom
+def boosted_arm(spark, sf_dir):
+    return stats.classifier_out_of_fold(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "score2", "y"), ["score", "score2"], kind="trees", k=2)
+
+
+@custom
+def stall_prior(spark, sf_dir):
+    return stats.stall_prior(spark)
+
+
+@custom
+def permuted_drivers(spark, sf_dir):
+    """Null arm: weather dealt to other records."""
+    w = _fixture(spark, sf_dir, "clean_weather")
+    return stats.permuted_pairs(w.select("record_id"), w.select(F.col("record_id").alias("from_record"), "t_c", "td_c", "wind_kts"))
+
+
+def near_duplicates_oracle(d):
+    """The pairs of ``near_duplicates`` by a join of all shingles."""
+    return """WITH n AS (SELECT doc_id, count(*) AS n FROM doc_shingles GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM doc_shingles a JOIN doc_shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+    SELECT c.a, c.b, round(CAST(c.k AS DOUBLE) / (x.n + y.n - c.k), 6) AS jaccard FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE CAST(c.k AS DOUBLE) / (x.n + y.n - c.k) >= 0.8"""
