@@ -34,12 +34,12 @@ DROPPED = frozenset("head nav footer aside form button dialog menu input label f
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 #: Words of class and id names that mark boilerplate; a trailing * stands for any ending.
 NOISE = (
-    "nav* menu* footer* sidebar* aside* banner* cookie* consent* gdpr* notice* notification* alert* ad ads adv advert* adbox adslot sponsor* promo* comment* disqus* respond reply replies "
-    "share* sharing social* related* recommend* newsletter* subscri* signup* login* breadcrumb* pagination* pager popup* modal* overlay* widget* form* search* toolbar* masthead* "
+    "nav* menu* footer* sidebar* aside* banner* cookie* consent* gdpr* notice* notification* alert* ad ads adv advert* adbox adslot sponsor* promo* comment comments commentlist commenter commentform disqus* respond reply replies "
+    "share* sharing social* related* recommend* newsletter* subscri* signup* login* breadcrumb* pagination* pager popup* modal* overlay* widget* form forms search searchbox searchform toolbar* masthead* "
     "copyright* skip* tags taglist hidden toc outbrain* taboola* dfp* discussion* feedback*"
 ).split()
 _NOISE = re.compile("^(?:" + "|".join(w[:-1] + r"[a-z]*" if w.endswith("*") else w for w in NOISE) + ")$")
-_HEADER = re.compile(r"^(?:header|top|topbar|head)$")
+_HEADER = re.compile(r"^(?:header|topbar|sitehead)$")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CONTAINERS = frozenset("article main section div td body blockquote center table".split())
 TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z]")
