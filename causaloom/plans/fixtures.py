@@ -64,7 +64,7 @@ def clean_weather(d):
 def corpus(d):
     return f"""SELECT doc_id AS record_id, source, text, CAST(20240101 + doc_id % 5 AS {d.S}) AS date,
       CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('N', CAST(doc_id % 40 AS {d.S})) END AS tail,
-      CASE WHEN length(trim(text)) = 0 THEN 0 ELSE {d.size(d.words('text'))} END AS wc,
+      CAST(CASE WHEN length(trim(text)) = 0 THEN 0 ELSE {d.size(d.words('text'))} END AS BIGINT) AS wc,
       CAST({d.extract('source', '([0-9]+)$')} AS INT) AS source_rank FROM documents"""
 
 

@@ -92,7 +92,7 @@ def shear_stall(d):
 @operator
 def dryden_gust_stall(d):
     wind = f"SELECT {d.explode}({d.sequence('0', '45')}) AS wind"
-    return f"SELECT kt, wind, round(CASE WHEN v <= {px.VS_KT}E0 THEN 1E0 ELSE {px.p_exceed_dryden(px.stall_gust('v'), 'wind', f'v * {px.KT_TO_FPS}E0')} END, 6) AS p FROM speeds CROSS JOIN ({wind}) w WHERE kt % 5 = 0"
+    return f"SELECT kt, CAST(wind AS BIGINT) AS wind, round(CASE WHEN v <= {px.VS_KT}E0 THEN 1E0 ELSE {px.p_exceed_dryden(px.stall_gust('v'), 'wind', f'v * {px.KT_TO_FPS}E0')} END, 6) AS p FROM speeds CROSS JOIN ({wind}) w WHERE kt % 5 = 0"
 
 
 @operator
@@ -105,14 +105,14 @@ def engine_hazard(d):
 @operator
 def fuel_exhaustion(d):
     r = f"SELECT {d.explode}({d.sequence('1', '16')}) AS q"
-    return f"SELECT q AS quarter_hours, round({px.normal_tail('(q * 0.25E0) / 0.75E0')}, 6) AS p FROM ({r}) t"
+    return f"SELECT CAST(q AS BIGINT) AS quarter_hours, round({px.normal_tail('(q * 0.25E0) / 0.75E0')}, 6) AS p FROM ({r}) t"
 
 
 @operator
 def density_altitude(d):
     a = f"SELECT {d.explode}({d.sequence('0', '12')}) AS kft"
     rho = px.isa_density("kft * 304.8E0", "15E0")
-    return f"SELECT kft, round({rho}, 6) AS rho, round({px.density_altitude(rho)}, 4) AS density_altitude_m, round({px.stall_speed('1111E0 * 9.80665E0', rho, '16.2E0', '1.55E0')}, 6) AS v_stall FROM ({a}) t"
+    return f"SELECT CAST(kft AS BIGINT) AS kft, round({rho}, 6) AS rho, round({px.density_altitude(rho)}, 4) AS density_altitude_m, round({px.stall_speed('1111E0 * 9.80665E0', rho, '16.2E0', '1.55E0')}, 6) AS v_stall FROM ({a}) t"
 
 
 @operator
@@ -277,4 +277,4 @@ def binomial_tail(d):
     t = f"SELECT {d.explode}({d.sequence('0', '10')}) AS k"
     s = f"SELECT {d.explode}({d.sequence('1', '10')}) AS i"
     return f"""WITH c AS (SELECT k, sum(CASE WHEN i <= k THEN ln((40E0 - i + 1) / i) ELSE 0 END) AS lc FROM ({t}) a CROSS JOIN ({s}) b GROUP BY k)
-    SELECT x.k AS k, round(sum(exp(y.lc + y.k * ln(0.1E0) + (40 - y.k) * ln(0.9E0))), 6) AS tail FROM c x JOIN c y ON y.k <= x.k GROUP BY x.k"""
+    SELECT CAST(x.k AS BIGINT) AS k, round(sum(exp(y.lc + y.k * ln(0.1E0) + (40 - y.k) * ln(0.9E0))), 6) AS tail FROM c x JOIN c y ON y.k <= x.k GROUP BY x.k"""
