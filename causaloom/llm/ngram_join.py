@@ -8,9 +8,10 @@ pair of different sets with a Jaccard similarity of the threshold or more is lin
    size among their first tokens (see :func:`prefix`).  Each class counts how many of
    its first tokens any other class has; classes with fewer than that link with nothing
    and are done.  For these counts tokens travel as packed arrays by hash range.
-3. Similar classes are put into groups: in a few rounds, classes that share min-hashes
-   are compared with one class of that min-hash, and verified links make the groups.
-4. The token-group matrix holds the first tokens of each group's members.  Group pairs
+3. Similar classes are put into groups: classes that share three min-hashes are compared
+   with one class that has them, the hub, and verified links make the groups.
+4. The token-group matrix holds the first tokens of each group's members, in an order
+   that puts very frequent tokens last.  Group pairs
    that share too few of them for any of their members to link are never looked at.
 5. For the others the overlap of each query with the group's token union is counted;
    a group is opened for Q only if that overlap reaches 0.75 |Q|.  The members of
@@ -35,8 +36,11 @@ WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 MINHASHES = 6
-#: Min-hashes that must agree for a comparison with the hub of a group, and rounds of comparisons.
-AGREEING, ROUNDS = 3, 3
+#: Min-hashes that must agree for a comparison with a hub, and rounds of comparisons.
+AGREEING, ROUNDS = 4, 2
+#: Tokens of the list of very frequent tokens (which only orders tokens), 0.5 MB.
+FREQUENT = 1 << 16
+_BUFFER = 3_000_000
 #: Per cent of a set by which its first tokens exceed the least number that a link needs one of.
 EXTRA = 10
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -104,21 +108,46 @@ def needed(n: np.ndarray | int):
     return -(-n * PERCENT // 100)
 
 
-def prefix(s: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the common (hash) order.
+def prefix(s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens of a set in the common order: by hash, tokens of ``frequent`` (sorted) last.
 
     Of ``n - needed + 1`` first tokens a link needs one; with ``EXTRA`` per cent more of
     them it needs that many more.
     """
     take = min(len(s), len(s) - int(needed(len(s))) + 1 + len(s) * EXTRA // 100)
-    return s[np.argpartition(mix64(s), take - 1)[:take]]
+    order = mix64(s)
+    if frequent is not None and len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        if often.any():
+            return s[np.lexsort((order, often))[:take]]
+    return s[np.argpartition(order, take - 1)[:take]]
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """(node, class, text) -> (node, n, tokens)."""
+def _sets(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(node, class, text) -> (node, n, tokens), stored, and the very frequent tokens of these sets, sorted.
+
+    Each task lists the tokens that it meets again and again; the lists only decide an
+    order, so that what a task overlooks costs time but no link.
+    """
 
     def scan(batches):
         cache = WordHash()
+        held, size, frequent = [], 0, {}
+
+        def flush():
+            nonlocal held, size
+            if held:
+                token, count = np.unique(np.concatenate(held), return_counts=True)
+                for t, c in zip(token[count >= 4].tolist(), count[count >= 4].tolist(), strict=True):
+                    frequent[t] = frequent.get(t, 0) + c
+                if len(frequent) > 4 * FREQUENT:
+                    least = sorted(frequent.values())[-2 * FREQUENT]
+                    for t in [t for t, c in frequent.items() if c <= least]:
+                        del frequent[t]
+            held, size = [], 0
+
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+        names = ["node", "n", "tokens", "often"]
         for whole in batches:
             for part in pieces(whole):
                 ids, ns, tokens = [], [], []
@@ -127,9 +156,19 @@ def _sets(rows: DataFrame) -> DataFrame:
                         ids.append(node)
                         ns.append(len(s))
                         tokens.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "tokens"])
+                        held.append(s)
+                        size += len(s)
+                if size >= _BUFFER:
+                    flush()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, ns, tokens, [False] * len(ids)), kinds, strict=True)], names)
+        flush()
+        if frequent:
+            t = list(frequent)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([_signed(x) for x in t], [frequent[x] for x in t], [None] * len(t), [True] * len(t)), kinds, strict=True)], names)
 
-    return rows.mapInArrow(scan, "node long, n long, tokens array<long>")
+    both = stored(rows.mapInArrow(scan, "node long, n long, tokens array<long>, often boolean"), "sets")
+    top = both.filter("often").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
+    return both.filter("not often").drop("often"), np.sort(np.array([r.node for r in top], np.int64).view(np.uint64))
 
 
 def _sizes_fit(m, n):
@@ -290,16 +329,19 @@ def _common_enough(texts: DataFrame, classes: DataFrame, buckets: int) -> DataFr
 
 
 def _group_links(able: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """(verified links, components of them): every round compares classes with one hub of each min-hash."""
+    """(verified links, components of them): classes against the hub of every three min-hashes that they share."""
     links = roots = None
-    mins = able.select("node", "n", F.posexplode("mins").alias("i", "m"))
+    threes = [(i, j, k) for i in range(MINHASHES) for j in range(i) for k in range(j)]
+    keys = F.array(*[F.xxhash64(F.lit(x), *[F.col("mins")[i] for i in t]) for x, t in enumerate(threes)])
+    mins = stored(able.select("node", "n", "mins", F.explode(keys).alias("key")), "keys")
     for turn in range(ROUNDS):
         known = mins if roots is None else mins.join(roots, "node", "left")
         known = known.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        order = F.struct(F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "root"), F.col("root"), F.col("node"), F.col("n"))
-        hubs = known.groupBy("i", "m").agg(F.min(order).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("i", "m", F.col("hub.root").alias("hub_root"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-        near = known.join(hubs, ["i", "m"]).filter((F.col("root") != F.col("hub_root")) & _sizes_fit(F.col("n"), F.col("hub_n")))
-        near = near.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= AGREEING).select("a", "b")
+        order = F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), F.col("root"), F.col("node"), F.col("n"), F.col("mins"))
+        hubs = known.groupBy("key").agg(F.min(order).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "hub")
+        agree = F.size(F.filter(F.zip_with("mins", "hub.mins", lambda x, y: x == y), lambda x: x))
+        near = known.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n")) & (agree >= AGREEING))
+        near = near.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
         more = stored(_linked(stored(near, "near"), sets), "links")
         if not more.limit(1).count():
             break
@@ -323,15 +365,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     able = stored(_common_enough(texts.filter("doc_id is not null"), classes, int(max(24, total // 4_000_000))), "able")
     wanted = able.select("node", "class").hint("merge")  # the same way at every size
-    sets = stored(_sets(texts.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "class", "text")), "sets")
+    sets, frequent = _sets(texts.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "class", "text"))
     links, roots = _group_links(able, sets)
     grouped = able.select("node", "n") if roots is None else able.select("node", "n").join(roots, "node", "left")
     grouped = stored(grouped.select("node", "n", F.col("node").alias("group") if roots is None else F.coalesce("root", "node").alias("group")), "grouped")
     spans = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"), F.min("node").alias("only"))
     placed = grouped.select("node", "group").join(spans.select("group", "low", "high"), "group")
-    postings = _firsts(sets).join(placed, "node").select("group", "low", "high", "first")
+    postings = _firsts(sets, frequent).join(placed, "node").select("group", "low", "high", "first")
     held = able.agg(F.sum("n")).first()[0] or 0
-    pairs = stored(_shared_groups(postings, int(max(16, held // 4_000_000))), "pairs")
+    pairs = stored(_shared_groups(postings, int(max(4, held // 6_000_000))), "pairs")
     if pairs.limit(1).count():
         more = _open_groups(grouped, spans, sets, pairs)
         if more.limit(1).count():
@@ -346,13 +388,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _firsts(sets: DataFrame) -> DataFrame:
+def _firsts(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(node, first): first tokens of the sets."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches):
         for whole in batches:
             for part in pieces(whole, 4096, 16_000_000):
-                firsts = [prefix(np.array(t, np.int64).view(np.uint64)).view(np.int64) for t in part.column(1).to_numpy(zero_copy_only=False)]
+                firsts = [prefix(np.array(t, np.int64).view(np.uint64), shared.value).view(np.int64) for t in part.column(1).to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["node", "first"])
 
     return sets.select("node", "tokens").mapInArrow(scan, "node long, first array<long>")
