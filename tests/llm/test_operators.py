@@ -262,9 +262,8 @@ def test_factorization_machine_learns_an_interaction():
     rng = np.random.default_rng(0)
     rows, y = [], []
     for _ in range(1500):
-        a, b = rng.random(2) < 0.5
-        rows.append(np.array(sorted({5} * 0 or ([11] if a else []) + ([22] if b else []) + [int(x) for x in rng.integers(100, 400, 4)])))
-        rows[-1] = np.unique(rows[-1])
+        a, b = (rng.random(2) < 0.5).tolist()
+        rows.append(np.unique([11] * a + [22] * b + [int(x) for x in rng.integers(100, 400, 4)]))
         y.append(float(a and b))
     m = toxicity.FactorizationMachine.fit(rows, np.array(y))
     assert m.score(np.array([11, 22])) > 0.7 > 0.5 > max(m.score(np.array([11])), m.score(np.array([22])))
