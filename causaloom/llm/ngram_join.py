@@ -245,38 +245,54 @@ def _shared_groups(postings: DataFrame, buckets: int) -> DataFrame:
             if len(run) > 1:
                 name = run.tobytes()
                 runs[name] = runs.get(name, 0) + 1
-        shared: dict[tuple[int, int], int] = {}
+        names = np.array(sorted(spans), np.int64)
+        least, largest = (np.array([spans[g][i] for g in names.tolist()], np.int64) for i in (0, 1))
+        parts, size = [], 0
         for name, count in runs.items():
-            run = np.frombuffer(name, np.int64)
-            low, high = (np.array([spans[g][i] for g in run.tolist()]) for i in (0, 1))
-            order = np.argsort(low, kind="stable")  # partners by size: low of the one within reach of high of the other
-            run, low, high = run[order], low[order], high[order]
-            for i in range(len(run)):
-                upto = np.searchsorted(low, high[i] * 100 / PERCENT, side="right")
-                for j in range(i + 1, int(upto)):
-                    pair = (int(run[i]), int(run[j])) if run[i] < run[j] else (int(run[j]), int(run[i]))
-                    if low[i] * PERCENT <= high[j] * 100 and low[j] * PERCENT <= high[i] * 100:
-                        shared[pair] = shared.get(pair, 0) + count
-            if len(shared) > 400_000:
-                yield _pairs(shared, spans)
-                shared = {}
-        yield _pairs(shared, spans)
+            run = np.frombuffer(name, np.int64)  # in rising order
+            at = np.searchsorted(names, run)
+            low, high = least[at], largest[at]
+            step = max(1, 1_000_000 // len(run))
+            for lo in range(0, len(run), step):
+                i, j = np.nonzero(np.arange(lo, min(lo + step, len(run)))[:, None] < np.arange(len(run)))
+                i += lo
+                fits = (low[i] * PERCENT <= high[j] * 100) & (low[j] * PERCENT <= high[i] * 100)
+                parts.append((run[i[fits]], run[j[fits]], np.full(int(fits.sum()), count, np.int64)))
+                size += len(parts[-1][0])
+                if size > 3_000_000:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    if size > 1_500_000:
+                        yield _pairs(parts[0], names, least, largest)
+                        parts, size = [], 0
+        none = np.zeros(0, np.int64)
+        yield _pairs(_summed([*parts, (none, none, none)]), names, least, largest)
 
     packed = postings.mapInArrow(pack, "bucket long, g binary, t binary")
     counted = packed.groupBy("bucket").applyInArrow(by_group(meet), "g long, h long, shared long, least long")
     return counted.groupBy("g", "h").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("g", "h")
 
 
-def _pairs(shared: dict, spans: dict) -> pa.RecordBatch:
-    ordered = sorted(shared)
-    least = []
-    for g, h in ordered:
-        (a, b), (c, d) = spans[g], spans[h]
-        # the weakest demand of any two members: the smallest set with the largest that it can link to
-        low = min(a, c)
-        high = max(low, min(max(b, d), low * 100 // PERCENT)) if (a, c) != (b, d) else max(a, c)
-        least.append(int(_least_shared(low, high)))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in ordered], pa.int64()), pa.array([x[1] for x in ordered], pa.int64()), pa.array([shared[x] for x in ordered], pa.int64()), pa.array(least, pa.int64())], ["g", "h", "shared", "least"])
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal pairs added up."""
+    g, h, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    if not len(g):
+        return g, h, count
+    order = np.lexsort((h, g))
+    g, h, count = g[order], h[order], count[order]
+    starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
+    return g[starts], h[starts], np.add.reduceat(count, starts)
+
+
+def _pairs(found: tuple, names: np.ndarray, least: np.ndarray, largest: np.ndarray) -> pa.RecordBatch:
+    """Pairs with the tokens that they share and the weakest demand of any two of their members:
+    that of the smallest set with the largest that it can link to."""
+    g, h, count = found
+    x, y = np.searchsorted(names, g), np.searchsorted(names, h)
+    low, high = np.minimum(least[x], least[y]), np.maximum(largest[x], largest[y])
+    alone = (least[x] == largest[x]) & (least[y] == largest[y])
+    high = np.where(alone, high, np.maximum(low, np.minimum(high, low * 100 // PERCENT)))
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(count), pa.array(_least_shared(low, high), pa.int64())], ["g", "h", "shared", "least"])
 
 
 def _common_enough(texts: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
