@@ -8,7 +8,9 @@
    nearest candidates, some far ones, and the reverse edges.  The lists that a vector
    gets in its blocks are united.
 4. Queries (all vectors) go to every block of their nearest cells and of cells about as
-   near as the best.  From the block's medoid, and from the query's own node if it is there, a greedy
+   near as the best.  How much farther a cell may be is set for each label by an audit:
+   sampled queries are compared with all vectors of the label, and the margin is widened
+   until the cells that it reaches hold ``ROUTED_RECALL`` of their links.  From the block's medoid, and from the query's own node if it is there, a greedy
    search finds the neighbourhood and expands it as long as it finds vectors within the
    range (less some slack).  Cosines are verified in double precision.
 5. Every block audits its recall on some of its queries by brute force; a block below
@@ -32,8 +34,10 @@ from .components import components
 THRESHOLD = 0.93
 CELL, BLOCK = 400, 2048
 MOST_PIVOTS = 16_384
-#: A query searches its nearest cells, and those that are as near as the best but for a margin.
-PROBES, MARGIN = 3, 0.05
+#: A query searches its nearest cells, and those that are as near as the best but for a margin (the least one).
+PROBES, MARGIN = 3, 0.22
+#: Share of sampled queries' links that routing must reach, queries sampled for each pivot, most of a label, step of the margin.
+ROUTED_RECALL, AUDIT_PER_PIVOT, MOST_AUDITED, MARGIN_STEP = 0.99, 8, 256, 0.01
 NEAR, FAR, POOL, ALPHA = 20, 8, 40, 1.2
 BEAM, SLACK = 24, 0.08
 AUDIT_RECALL = 0.97
@@ -89,6 +93,79 @@ def choose_pivots(nodes: DataFrame, cell: int = CELL, most: int = MOST_PIVOTS) -
     return {s: np.stack(v) for s, v in out.items() if len(v) > 1}
 
 
+def probed_cells(p: np.ndarray, v: np.ndarray, margin: float, threshold: float = THRESHOLD) -> np.ndarray:
+    """Cells that a query searches, nearest first.
+
+    Cells within the margin that cannot hold a link are left out: for a link u-v with
+    the pivots b of u and c of v, (b - c) u <= (b - c) (u - v) <= |b - c| |u - v|.
+    """
+    sim = p @ v
+    few = min(PROBES, len(p))
+    at = np.union1d(np.flatnonzero(sim >= sim.max() - margin), np.argpartition(-sim, few - 1)[:few])
+    at = at[np.argsort(-sim[at], kind="stable")]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (p[at] @ p[at[0]])))
+    able = sim[at[0]] - sim[at] <= apart * np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    able[:few] = True
+    return at[able]
+
+
+def audited_margins(nodes: DataFrame, pivots: dict[str, np.ndarray], threshold: float = THRESHOLD) -> dict[str, float]:
+    """Margin of each space: the least, from ``MARGIN`` on, that leads sampled queries to ``ROUTED_RECALL`` of their links.
+
+    The queries are compared with all vectors of their space, themselves left out.
+    """
+    if not pivots:
+        return {}
+    spark = nodes.sparkSession
+    wanted = spark.createDataFrame([(s, min(MOST_AUDITED, AUDIT_PER_PIVOT * len(p))) for s, p in pivots.items()], "space string, k long")
+    sizes = nodes.groupBy("space").agg(F.count("*").alias("n")).join(F.broadcast(wanted), "space")
+    rank = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    asked: dict[str, list] = {}
+    for r in nodes.join(F.broadcast(sizes), "space").filter(rank < F.col("k") / F.col("n")).select("space", "node", "unit").collect():
+        asked.setdefault(r.space, []).append((r.node, np.frombuffer(bytes(r.unit))))
+    queries = {s: (np.array([n for n, _ in q], np.int64), np.stack([v for _, v in q])) for s, q in asked.items()}
+    shared = spark.sparkContext.broadcast((pivots, queries))
+
+    def scan(batches):
+        (pivots, queries), to_pivots, total = shared.value, {}, {}
+        for whole in batches:
+            for part in pieces(whole, 4096):
+                spaces = np.array(part.column(0).to_pylist(), object)
+                for s in set(spaces.tolist()) & queries.keys():
+                    rows = np.flatnonzero(spaces == s)
+                    mine = part.take(pa.array(rows))
+                    x = np.stack([np.frombuffer(u) for u in mine.column(3).to_pylist()])
+                    ids, q = queries[s]
+                    i, j = np.nonzero((x @ q.T >= threshold) & (np.asarray(mine.column(1))[:, None] != ids))
+                    if not len(i):
+                        continue
+                    if s not in to_pivots:
+                        to_pivots[s] = np.sort(pq := pivots[s] @ q.T, axis=0)[::-1][: PROBES], pq
+                    top, pq = to_pivots[s]
+                    hit, back = np.unique(i, return_inverse=True)
+                    cell = np.concatenate([np.argmax(pivots[s] @ x[hit[lo : lo + 256]].T, axis=0) for lo in range(0, len(hit), 256)])[back]
+                    need = np.where(pq[cell, j] >= top[-1, j], 0, np.ceil((top[0, j] - pq[cell, j]) / MARGIN_STEP)).astype(np.int64)
+                    steps = np.bincount(need, weights=np.asarray(mine.column(2))[i].astype(float), minlength=int(2 / MARGIN_STEP) + 2)
+                    total[s] = total[s] + steps if s in total else steps
+        for s, steps in total.items():
+            at = np.flatnonzero(steps)
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(steps[at], pa.float64())], ["space", "step", "links"])
+
+    found = nodes.select("space", "node", "copies", "unit").mapInArrow(scan, "space string, step long, links double").groupBy("space", "step").agg(F.sum("links").alias("links")).collect()
+    needs: dict[str, list] = {}
+    for r in found:
+        needs.setdefault(r.space, []).append((r.step, r.links))
+    out = {}
+    for s, steps in needs.items():
+        reached, links = 0.0, sum(n for _, n in steps)
+        for step, n in sorted(steps):
+            reached += n
+            if reached >= ROUTED_RECALL * links:
+                out[s] = max(MARGIN, step * MARGIN_STEP)
+                break
+    return out
+
+
 def robust_prune(x: np.ndarray, p: int, pool: np.ndarray, limit: int, alpha: float = ALPHA) -> np.ndarray:
     """Neighbours of node ``p`` from ``pool``: nearest first, each ruling out those much nearer to it than to ``p``."""
     pool = pool[pool != p]
@@ -209,7 +286,7 @@ def search_block(own: list, x: np.ndarray, copies: np.ndarray, graph: list[np.nd
     exact = len(own) <= 2 * BEAM
     if not exact:
         for i in audit:
-            full = scan(i)
+            full = np.setdiff1d(scan(i), [place.get(queries[i], -1)])
             got = np.intersect1d(look(i), full)
             true += len(full)
             found += len(got)
@@ -233,7 +310,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = nodes.withColumn("space", F.concat_ws(":", (F.length("unit") / 8).cast("int").cast("string"), "label"))
     nodes = stored(nodes, "nodes")
     spark = embeddings.sparkSession
-    pivots = spark.sparkContext.broadcast(choose_pivots(nodes))
+    chosen = choose_pivots(nodes, CELL)
+    pivots = spark.sparkContext.broadcast((chosen, audited_margins(nodes, chosen, threshold)))
 
     def route(batches):
         """A row for each cell of a node: role 0 its own, 1 replica, 2 query only."""
@@ -243,17 +321,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 units = part.column(3).to_pylist()
                 at, cells, roles = [], [], []
                 for i, s in enumerate(spaces):
-                    p = pivots.value.get(s)
+                    p = pivots.value[0].get(s)
                     if p is None:
                         at.append(i)
                         cells.append(s + "/0")
                         roles.append(0)
                         continue
-                    sim = p @ np.frombuffer(units[i])
-                    order = np.argsort(-sim, kind="stable")
-                    for rank, c in enumerate(order):
-                        if rank >= PROBES and sim[c] < sim[order[0]] - MARGIN:
-                            break
+                    for rank, c in enumerate(probed_cells(p, np.frombuffer(units[i]), pivots.value[1].get(s, MARGIN), threshold)):
                         at.append(i)
                         cells.append(f"{s}/{c}")
                         roles.append(min(2, rank))

@@ -422,3 +422,42 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (3000, 3001, 3002, 3003, 3004, 3007))
     assert got[3006].component_id == 3005 and got[3005].n_links == 1 and got[None].component_id is None
     assert vector_dedup.near_vectors(e.limit(0)).count() == 0
+
+
+def test_vector_links_reach_other_cells(spark, monkeypatch):
+    """Pairs just above the threshold in one label of many cells: routing must not lose them."""
+    monkeypatch.setattr(vector_dedup, "CELL", 20)
+    choose = vector_dedup.choose_pivots
+    monkeypatch.setattr(vector_dedup, "choose_pivots", lambda nodes, *_: choose(nodes, 20))
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1200):
+        u, w = rng.normal(size=(2, 64))
+        u /= np.linalg.norm(u)
+        w -= (w @ u) * u
+        v = 0.935 * u + math.sqrt(1 - 0.935**2) * w / np.linalg.norm(w)
+        rows += [(2 * i, u.tolist(), 0), (2 * i + 1, v.tolist(), 0)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * len(rows)
+    assert sum(not r.kept for r in got) >= 0.97 * 1200
+
+
+def test_vector_margin_widens_until_links_are_reached(spark, monkeypatch):
+    """Two pivots far apart, links between their cells farther away than the least margin."""
+    monkeypatch.setattr(vector_dedup, "PROBES", 1)
+    monkeypatch.setattr(vector_dedup, "AUDIT_PER_PIVOT", 1000)
+    turn = lambda a: np.array([math.cos(a), math.sin(a)])
+    p = np.stack([turn(0.0), turn(2.0)])
+    rows = [("2:x", i, 1, turn(a).tobytes()) for i, a in enumerate(np.linspace(0.82, 1.18, 40))]
+    nodes = spark.createDataFrame(rows, "space string, node long, copies long, unit binary")
+    margin = vector_dedup.audited_margins(nodes, {"2:x": p})["2:x"]
+    assert margin > vector_dedup.MARGIN
+    true = reached = 0
+    for _, a, _, u in rows:
+        u = np.frombuffer(u)
+        cells = vector_dedup.probed_cells(p, u, margin)
+        for _, b, _, v in rows:
+            if a != b and u @ (v := np.frombuffer(v)) >= vector_dedup.THRESHOLD:
+                true += 1
+                reached += int(np.argmax(p @ v)) in cells
+    assert reached >= 0.99 * true
