@@ -187,10 +187,29 @@ def _least_shared(low, high):
     """How many of their first tokens two sets of sizes ``low <= high`` share at least if they link.
 
     Of the two sets take the one whose first tokens end first in the common order: what
-    it shares with the other set beyond them is at most its size less their number.
+    it shares with the other set beyond them is at most its size less their number.  It
+    may be either, and rounding lets the smaller one demand less at times.
     """
     total = low + high
-    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + (-high * PERCENT // 100) + high * EXTRA // 100)
+    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + np.minimum(*((-n * PERCENT // 100) + n * EXTRA // 100 for n in (low, high))))
+
+
+def _least_in_span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of :func:`_least_shared` over all sizes a <= b of the spans that fit each other.
+
+    But for rounding, the demand falls with b and rises with a along the largest b, and
+    rises with a where b is close to a; rounding takes less than three tokens, so that
+    the least is among the first 40 sizes and the nearest and last 20 that fit them.
+    """
+    spans, back = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+    low, high = spans
+    out = _least_shared(low, low)
+    for step in range(41):
+        a = np.minimum(low + step, high)
+        last = np.minimum(high, a * 100 // PERCENT)
+        for off in range(21):
+            out = np.minimum(out, np.minimum(_least_shared(a, np.maximum(a, last - off)), _least_shared(a, np.minimum(a + off, last))))
+    return out[back.ravel()]
 
 
 def _shared_groups(postings: DataFrame, buckets: int) -> DataFrame:
@@ -285,14 +304,15 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs(found: tuple, names: np.ndarray, least: np.ndarray, largest: np.ndarray) -> pa.RecordBatch:
-    """Pairs with the tokens that they share and the weakest demand of any two of their members:
-    that of the smallest set with the largest that it can link to."""
+    """Pairs with the tokens that they share and the weakest demand of any two of their members."""
     g, h, count = found
     x, y = np.searchsorted(names, g), np.searchsorted(names, h)
     low, high = np.minimum(least[x], least[y]), np.maximum(largest[x], largest[y])
     alone = (least[x] == largest[x]) & (least[y] == largest[y])
-    high = np.where(alone, high, np.maximum(low, np.minimum(high, low * 100 // PERCENT)))
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(count), pa.array(_least_shared(low, high), pa.int64())], ["g", "h", "shared", "least"])
+    demand = _least_shared(low, high)
+    if not alone.all():
+        demand[~alone] = _least_in_span(low[~alone], high[~alone])
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(count), pa.array(demand, pa.int64())], ["g", "h", "shared", "least"])
 
 
 def _common_enough(texts: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:

@@ -110,6 +110,36 @@ def test_first_tokens_bound():
             assert shared >= ngram_join._least_shared(min(len(a), len(b)), max(len(a), len(b)))
 
 
+def test_least_shared_is_never_more_than_a_link_shares():
+    """All size pairs at the threshold: the worst order of the tokens shared by two sets."""
+    demand = {}
+    for low in range(1, 130):
+        for high in range(low, low * 100 // ngram_join.PERCENT + 1):
+            common = -(-(low + high) * ngram_join.PERCENT // (100 + ngram_join.PERCENT))
+            first = {n: n - int(ngram_join.needed(n)) + 1 + n * ngram_join.EXTRA // 100 for n in (low, high)}
+            worst = min(common - (n - first[n]) for n in (low, high))
+            demand[low, high] = int(ngram_join._least_shared(low, high))
+            assert 1 + high * ngram_join.EXTRA // 100 <= max(1, worst)
+            assert demand[low, high] <= max(1, worst), (low, high)
+    low, high = (x.ravel() for x in np.meshgrid(np.arange(1, 91), np.arange(1, 91)))
+    low, high = low[low <= high], high[low <= high]
+    least = ngram_join._least_in_span(low, high)
+    for a, b, n in zip(low.tolist(), high.tolist(), least.tolist(), strict=True):
+        assert n == min(demand[x, y] for x in range(a, b + 1) for y in range(x, min(b, x * 100 // ngram_join.PERCENT) + 1)), (a, b)
+
+
+def test_ngram_join_links_at_the_threshold_without_hubs(spark, monkeypatch):
+    """Sets of 19 and 20 shingles with 17 in common, found by the matrix alone."""
+    monkeypatch.setattr(ngram_join, "_group_links", lambda able, sets: (None, None))
+    rng, rows = random.Random(21), []
+    for i in range(150):
+        words = [f"{rng.randrange(10**9)}" for _ in range(24)]
+        rows += [(2 * i, " ".join(words), "en", "a", 1), (2 * i + 1, " ".join([*words[:21], "x", "y"]), "en", "a", 1)]
+    got = ngram_join.similar_documents(table(spark, rows)).collect()
+    assert {r.n_shingles for r in got} == {19, 20}
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 # --- mixing
 
 
