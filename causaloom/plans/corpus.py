@@ -305,7 +305,7 @@ def task_status(d):
 
 @operator
 def task_priority(d):
-    return "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE WHEN o_totalprice > 150000 THEN 0 ELSE 1 END, o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderkey % 8 = 0"
+    return "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE WHEN o_totalprice > 150000 THEN 0 ELSE 1 END, o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders"
 
 
 @fixture

@@ -69,8 +69,8 @@ def gold_scores(d):
 
 @operator
 def adjudication_pairs(d):
-    """Finding by node sheet of the first records."""
-    return "SELECT a.record_id, a.finding, b.idx AS node_idx, b.factor_type, CASE WHEN a.node = b.idx THEN 1 ELSE 0 END AS judge_match FROM matches a JOIN nodes b ON a.record_id = b.record_id WHERE a.h % 20 = 0"
+    """Finding by node sheet: every finding of a record with every node of it."""
+    return "SELECT a.record_id, a.finding, b.idx AS node_idx, b.factor_type, CASE WHEN a.node = b.idx THEN 1 ELSE 0 END AS judge_match FROM matches a JOIN nodes b ON a.record_id = b.record_id"
 
 
 @operator
@@ -164,7 +164,7 @@ def value_shares(d):
 @operator
 def key_equality(d):
     """Keys that only one of two annotated tables has."""
-    return "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS only_in FROM (SELECT doc_id FROM labels) a FULL OUTER JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL"
+    return "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS only_in FROM (SELECT doc_id FROM labels) a FULL OUTER JOIN (SELECT doc_id FROM documents) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL"
 
 
 @operator

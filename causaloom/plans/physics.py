@@ -92,7 +92,7 @@ def shear_stall(d):
 @operator
 def dryden_gust_stall(d):
     wind = f"SELECT {d.explode}({d.sequence('0', '45')}) AS wind"
-    return f"SELECT kt, CAST(wind AS BIGINT) AS wind, round(CASE WHEN v <= {px.VS_KT}E0 THEN 1E0 ELSE {px.p_exceed_dryden(px.stall_gust('v'), 'wind', f'v * {px.KT_TO_FPS}E0')} END, 6) AS p FROM speeds CROSS JOIN ({wind}) w WHERE kt % 5 = 0"
+    return f"SELECT kt, CAST(wind AS BIGINT) AS wind, round(CASE WHEN v <= {px.VS_KT}E0 THEN 1E0 ELSE {px.p_exceed_dryden(px.stall_gust('v'), 'wind', f'v * {px.KT_TO_FPS}E0')} END, 6) AS p FROM speeds CROSS JOIN ({wind}) w"
 
 
 @operator

@@ -60,3 +60,19 @@ def test_operator_on_own_frames(spark):
     got = registry.apply("causation_edges", spark, nodes=nodes, links=links).collect()
     assert [tuple(r) for r in got] == [("ICE", "FAIL", 2, 1.0, 1.0, 0.5)]
     assert math.isclose(got[0].lift, 1.0)
+
+
+def test_evaluation_and_task_operators_take_all_rows(spark):
+    """Nothing is left out by the value of a hash, key or speed."""
+    matches = spark.createDataFrame([("r", i, "primary", "event", i, 3, 7 * i + 1) for i in range(3)], "record_id string, finding int, cause_role string, class string, node int, n_nodes long, h long")
+    nodes = spark.createDataFrame([("r", i, f"F{i}") for i in range(3)], "record_id string, idx int, factor_type string")
+    got = registry.apply("adjudication_pairs", spark, matches=matches, nodes=nodes).collect()
+    assert sorted((r.finding, r.node_idx, r.judge_match) for r in got) == [(i, j, int(i == j)) for i in range(3) for j in range(3)]
+    orders = spark.createDataFrame([(k, "O", 10.0 * k) for k in range(1, 10)], "o_orderkey long, o_orderstatus string, o_totalprice double")
+    got = registry.apply("task_priority", spark, orders=orders).collect()
+    assert sorted((r.o_orderkey, r.place) for r in got) == [(k, k) for k in range(1, 10)]
+    labels, documents = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in ((1, 2, 3, 7), (1, 2, 4, 5)))
+    got = registry.apply("key_equality", spark, labels=labels, documents=documents).collect()
+    assert sorted((r.doc_id, r.only_in) for r in got) == [(3, "left"), (4, "right"), (5, "right"), (7, "left")]
+    speeds = spark.createDataFrame([(k, float(k)) for k in (61, 62, 65)], "kt long, v double")
+    assert registry.apply("dryden_gust_stall", spark, speeds=speeds).groupBy("kt").count().filter("count = 46").count() == 3
