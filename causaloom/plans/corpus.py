@@ -253,9 +253,16 @@ def finding_group(d):
 
 @operator
 def supervision_block(d):
-    """Findings as lines of a prompt, at most fifteen, with a note on how many are left out."""
-    line = d.joined("CASE WHEN pos <= 3 THEN concat('  [', CASE WHEN cause_factor = '' THEN '-' ELSE cause_factor END, '] ', description) END", "pos", "; ")
-    return f"SELECT ev_id, concat('Findings: ', {line}, CASE WHEN count(*) > 3 THEN concat('; ... (', CAST(count(*) - 3 AS {d.S}), ' more findings omitted)') ELSE '' END) AS block FROM findings GROUP BY ev_id"
+    """Sequence entries (at most thirty) and findings (at most fifteen) as lines of a prompt, with notes on how many are left out."""
+    flag = "CASE WHEN trim(coalesce(cause_factor, '')) = '' THEN '-' ELSE trim(cause_factor) END"
+    entry = f"CASE WHEN pos <= 30 AND trim(subject) NOT IN ('', 'None') THEN concat('  [occ ', coalesce(CAST(occurrence AS {d.S}), '?'), '] [', {flag}, '] ', trim(subject), CASE WHEN trim(coalesce(modifier, '')) = '' THEN '' ELSE concat(' - ', trim(modifier)) END) END"
+    finding = f"CASE WHEN pos <= 15 THEN concat('  [', {flag}, '] ', coalesce(nullif(trim(description), ''), '?')) END"
+
+    def part(title, line, most, what, rows):
+        return f"SELECT ev_id, concat('{title}: ', coalesce({d.joined(line, 'pos', '; ')}, ''), CASE WHEN count(*) > {most} THEN concat('; ... (', CAST(count(*) - {most} AS {d.S}), ' more {what} omitted)') ELSE '' END) AS lines FROM {rows} GROUP BY ev_id"
+
+    return f"""WITH entry_lines AS ({part('Sequence of events', entry, 30, 'entries', 'coded_sequence')}), finding_lines AS ({part('Findings', finding, 15, 'findings', 'findings')})
+    SELECT coalesce(a.ev_id, b.ev_id) AS ev_id, concat(coalesce(a.lines, ''), CASE WHEN a.lines IS NOT NULL AND b.lines IS NOT NULL THEN '; ' ELSE '' END, coalesce(b.lines, '')) AS block FROM entry_lines a FULL OUTER JOIN finding_lines b ON a.ev_id = b.ev_id"""
 
 
 @operator

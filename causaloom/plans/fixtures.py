@@ -78,6 +78,12 @@ def findings(d):
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
+@fixture
+def coded_sequence(d):
+    """Coded sequence entries of an event, with a modifier where the line is open."""
+    return "SELECT ev_id, pos, pos % 3 + 1 AS occurrence, cause_factor, subject, CASE WHEN l_linestatus = 'O' THEN description ELSE '' END AS modifier FROM findings"
+
+
 @fixture
 def structured(d):
     """Orders as events with their coded outcome."""

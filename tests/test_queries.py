@@ -76,3 +76,14 @@ def test_evaluation_and_task_operators_take_all_rows(spark):
     assert sorted((r.doc_id, r.only_in) for r in got) == [(3, "left"), (4, "right"), (5, "right"), (7, "left")]
     speeds = spark.createDataFrame([(k, float(k)) for k in (61, 62, 65)], "kt long, v double")
     assert registry.apply("dryden_gust_stall", spark, speeds=speeds).groupBy("kt").count().filter("count = 46").count() == 3
+
+
+def test_supervision_block_keeps_fifteen_findings_and_thirty_entries(spark):
+    findings = spark.createDataFrame([("a", i, "C" if i % 2 else "", f"d{i}") for i in range(1, 18)] + [("b", i, "F", f"e{i}") for i in range(1, 16)], "ev_id string, pos int, cause_factor string, description string")
+    entries = spark.createDataFrame([("a", i, 1, "", "None" if i == 2 else f"s{i}", "m" if i == 1 else None) for i in range(1, 34)] + [("c", 1, 2, "C", "only", "")], "ev_id string, pos int, occurrence int, cause_factor string, subject string, modifier string")
+    got = {r.ev_id: r.block for r in registry.apply("supervision_block", spark, findings=findings, coded_sequence=entries).collect()}
+    sequence = ["  [occ 1] [-] s1 - m"] + [f"  [occ 1] [-] s{i}" for i in range(3, 31)] + ["... (3 more entries omitted)"]
+    coded = [f"  [{'C' if i % 2 else '-'}] d{i}" for i in range(1, 16)] + ["... (2 more findings omitted)"]
+    assert got["a"] == f"Sequence of events: {'; '.join(sequence)}; Findings: {'; '.join(coded)}"
+    assert got["b"] == "Findings: " + "; ".join(f"  [F] e{i}" for i in range(1, 16))
+    assert got["c"] == "Sequence of events:   [occ 2] [C] only"
