@@ -66,12 +66,20 @@ def fit_target(presence: DataFrame, records: DataFrame, target: str, factors: li
     rows = [("leak", leak, nll)] + [(f, float(v), nll) for f, v in zip(factors, p, strict=True)]
     out = pd.DataFrame(rows, columns=["factor", "p", "nll"])
     if draws:
-        rng, logit = np.random.default_rng(seed), np.log(np.clip(np.concatenate([[leak], p]), 1e-9, 1 - 1e-9))
+        logit = np.log(np.clip(np.concatenate([[leak], p]), 1e-9, 1 - 1e-9))
         logit = logit - np.log1p(-np.exp(logit))
-        found = []
-        for _ in range(draws):
-            redrawn = rng.multinomial(int(n.sum()), n / n.sum()).astype(float)
-            a, b, _ = fit_leaky_noisy_or(x, y, redrawn, start=logit, rounds=60)
-            found.append(np.concatenate([[a], b]))
+
+        def refit(tables):
+            for table in tables:
+                found = []
+                for draw in table.id.tolist():
+                    redrawn = np.random.default_rng([seed, draw]).multinomial(int(n.sum()), n / n.sum()).astype(float)
+                    a, b, _ = fit_leaky_noisy_or(x, y, redrawn, start=logit, rounds=60)
+                    found.append([a, *b.tolist()])
+                yield pd.DataFrame({"fitted": found})
+
+        spark = presence.sparkSession
+        spread = spark.range(0, draws, 1, min(draws, 24)).mapInPandas(refit, "fitted array<double>")
+        found = np.array([r.fitted for r in spread.collect()])
         out["low"], out["high"] = np.percentile(found, 2.5, axis=0), np.percentile(found, 97.5, axis=0)
     return out

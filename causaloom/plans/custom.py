@@ -70,7 +70,7 @@ def pc_skeleton(spark, sf_dir):
 
 @custom
 def bootstrap_stability(spark, sf_dir):
-    return networks.bootstrap_stability(query("presence_patterns")(spark, sf_dir), rounds=10)
+    return networks.bootstrap_stability(query("presence_patterns")(spark, sf_dir))
 
 
 @custom
@@ -85,10 +85,10 @@ def laplacian_prior(spark, sf_dir):
 
 @custom
 def noisy_or_fit(spark, sf_dir):
-    """Leak and strengths of the target with intervals of 50 redraws."""
+    """Leak and strengths of the target with intervals of 500 redraws."""
     edges = query("leading_factors")(spark, sf_dir)
-    factors = [r.src for r in edges.orderBy(F.desc("support"), "src").limit(10).collect()]
-    fitted = noisyor.fit_target(_fixture(spark, sf_dir, "causal_presence"), _fixture(spark, sf_dir, "records"), "ERROR_0", factors, draws=50)
+    factors = [r.src for r in edges.orderBy(F.desc("support"), "src").collect()]
+    fitted = noisyor.fit_target(_fixture(spark, sf_dir, "causal_presence"), _fixture(spark, sf_dir, "records"), "ERROR_0", factors, draws=500)
     return spark.createDataFrame(fitted)
 
 
@@ -109,7 +109,7 @@ def logistic_arm(spark, sf_dir):
 
 @custom
 def boosted_arm(spark, sf_dir):
-    return stats.classifier_out_of_fold(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "score2", "y"), ["score", "score2"], kind="trees", k=2)
+    return stats.classifier_out_of_fold(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "score2", "y"), ["score", "score2"], kind="trees")
 
 
 @custom

@@ -87,3 +87,19 @@ def test_supervision_block_keeps_fifteen_findings_and_thirty_entries(spark):
     assert got["a"] == f"Sequence of events: {'; '.join(sequence)}; Findings: {'; '.join(coded)}"
     assert got["b"] == "Findings: " + "; ".join(f"  [F] e{i}" for i in range(1, 16))
     assert got["c"] == "Sequence of events:   [occ 2] [C] only"
+
+
+def test_resampled_queries_run_the_whole_study(spark, sf_dir, monkeypatch):
+    """30 redraws of networks, 500 redraws of every leading factor, 5 folds."""
+    from causaloom.operators import noisyor, stats
+    from causaloom.plans import custom
+
+    steps = {round(r.stability * 30, 6) for r in custom.bootstrap_stability(spark, sf_dir).select("stability").collect()}
+    assert all(s == int(s) for s in steps) and any(s % 3 for s in steps)
+    fit, fold, asked = noisyor.fit_target, stats.classifier_out_of_fold, {}
+    monkeypatch.setattr(noisyor, "fit_target", lambda *a, draws: asked.update(draws=draws, factors=len(a[3])) or fit(*a, draws=draws))
+    monkeypatch.setattr(stats, "classifier_out_of_fold", lambda rows, features, kind="logistic", k=5: asked.update(k=k) or rows)
+    got = custom.noisy_or_fit(spark, sf_dir).collect()
+    custom.boosted_arm(spark, sf_dir)
+    assert asked == {"draws": 500, "factors": registry.query("leading_factors")(spark, sf_dir).count(), "k": 5}
+    assert len(got) == asked["factors"] + 1 and all(r.low <= r.high for r in got)
