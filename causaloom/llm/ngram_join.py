@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of five-word shingles (64-bit hashes).  The join is exact: every
-pair of different sets with a Jaccard similarity of the threshold or more is linked.
+Documents are sets of five-word shingles (64-bit hashes).  The components
+are exact: two sets are in one if links of a Jaccard similarity of the threshold or more
+connect them.  Only connectivity is computed: links inside a component beyond those that
+connect it are not looked for, and no number of links is given.
 
 1. Equal sets form a class; a class joins once, whatever its copies.
 2. In a common order of tokens, two sets that link share more than a tenth of their
