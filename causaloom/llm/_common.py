@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Entries a per-worker word cache may hold before it starts afresh.
 CACHE_WORDS = 400_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,15 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
     This cuts the lineage and survives lost executors: the rows live in storage
-    that every executor shares.
+    that every executor shares.  ``batch_rows`` bounds the rows of the Arrow batches that
+    are made meanwhile, for rows that are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/causaloom/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): root is the smallest node reachable from each node of an edge.
 
     Each round takes the least label among a node's neighbours and then jumps to the
@@ -20,7 +20,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     both = stored(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so it ends
         near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         hooked = stored(labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "hooked")
         up = hooked.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
@@ -28,4 +28,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "root")
         if jumped.filter("old <> root").limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -5,30 +5,34 @@ are exact: two sets are in one if links of a Jaccard similarity of the threshold
 connect them.  Only connectivity is computed: links inside a component beyond those that
 connect it are not looked for, and no number of links is given.
 
-1. Equal sets form a class; a class joins once, whatever its copies.
-2. In a common order of tokens, two sets that link share more than a tenth of their
-   size among their first tokens (see :func:`prefix`).  Each class counts how many of
-   its first tokens any other class has; classes with fewer than that link with nothing
-   and are done.  For these counts tokens travel as packed arrays by hash range.
-3. Similar classes are put into groups: classes that share three min-hashes are compared
-   with one class that has them, the hub, and verified links make the groups.
-4. The token-group matrix holds the first tokens of each group's members, in an order
-   that puts very frequent tokens last.  Group pairs
-   that share too few of them for any of their members to link are never looked at.
-5. For the others the overlap of each query with the group's token union is counted;
-   a group is opened for Q only if that overlap reaches 0.75 |Q|.  The members of
-   opened groups are compared exactly.
+1. Equal sets form a class; one row stands for a class, whatever its copies.
+2. Only tokens of several classes can be shared.  Tokens travel as packed arrays to hash
+   ranges, which tell each class which of its tokens others have and how frequent they
+   are.  A class whose shared tokens are fewer than any link needs is done.
+3. In a common order of tokens, the rarest first, the first tokens of two sets that link
+   have one in common (see :func:`first_tokens`).
+4. Similar classes are partitioned into groups of bounded size: classes that agree in
+   three min-hashes are compared with one of them, the hub, and verified links make
+   components, which are cut into groups; the other classes are grouped by a min-hash.
+5. The token-group matrix: groups that share no first token are never looked at, nor are
+   two groups of one component.  For the others each query's overlap with the group's
+   token union is counted, and a group is opened for the queries whose overlap reaches
+   what a link with its members needs.  These are compared exactly, by packed arrays.
 6. Components of all verified links.
 
-No step lists the pairs within a group.  Frequent keys meet only in aggregations that
-combine before the shuffle or in equi-joins that Spark may split.
+Very frequent tokens (see ``HOT_SHARE``) stay out of the hash ranges: they are known to
+be shared and come last in the common order, so that no range grows with a passage that
+many documents hold.  A packed piece makes a row for each range that it meets, at most
+one a token.  Classes that are similar but not linked are compared in blocks, so that
+the work on a mass of such texts is quadratic in their number, with a small factor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHash, as_binary, by_group, mix64, pieces, stored, word_hashes
@@ -40,11 +44,16 @@ PERCENT = 75
 MINHASHES = 6
 #: Min-hashes that must agree for a comparison with a hub, and rounds of comparisons.
 AGREEING, ROUNDS = 4, 2
-#: Tokens of the list of very frequent tokens (which only orders tokens), 0.5 MB.
-FREQUENT = 1 << 16
-_BUFFER = 3_000_000
-#: Per cent of a set by which its first tokens exceed the least number that a link needs one of.
-EXTRA = 10
+#: One class in so many is looked at for very frequent tokens.
+SAMPLED = 16
+#: Tokens in more than one of so many sampled classes are very frequent; by that share a
+#: list holds so many times a set's mean size at most.  The list is cut at its longest, 4 MB.
+HOT_SHARE, HOT_MOST = 1024, 1 << 19
+#: Tokens that a task packs at once, and about as many as a range gets.
+PACKED = 2_000_000
+#: Members of a group, and their shared tokens, unless a single member has more.
+MEMBERS, MEMBER_TOKENS = 64, 32_000
+_LAST = 255
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -88,290 +97,216 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new))
+
+
+def needed(n: np.ndarray | int):
+    """Least overlap of a set of n tokens with any set that it links to."""
+    return -(-n * PERCENT // 100)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class, mins) of every row: size of its set, key of its class, min-hashes."""
+    """Rows (doc_id, text_key, n, class), and beside them rows (token, seen) of frequent tokens of sampled classes."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "text_key", "n", "class", "token", "seen"]
+
+    def batch(ids, keys, ns, classes, tokens, seen):
+        m, k = len(ns), len(tokens)
+        return pa.RecordBatch.from_arrays([ids, keys, *[pa.array(c, t) for c, t in zip((ns, classes, [None] * m, [None] * m), kinds[2:], strict=True)]] if m else [pa.nulls(k, pa.int64())] * 4 + [pa.array(tokens), pa.array(seen)], names)
 
     def scan(batches):
         cache = WordHash()
+        held, met, size = [], set(), 0
+
+        def frequent():
+            token, seen = np.unique(np.concatenate(held), return_counts=True)
+            often = seen >= 4
+            return batch(None, None, (), (), token[often].view(np.int64), seen[often])
+
         for whole in batches:
             for part in pieces(whole):
-                ns, keys, mins = [], [], []
-                for s in shingle_sets(as_binary(part.column(1)).to_pylist(), cache):
+                ns, classes = [], []
+                for s in shingle_sets(as_binary(part.column(2)).to_pylist(), cache):
+                    key = _class_key(s) if len(s) else None
                     ns.append(len(s))
-                    keys.append(_signed(_class_key(s)) if len(s) else None)
-                    mins.append([int((mix64(s ^ m) >> np.uint64(1)).min()) for m in (_M[i % 5] + np.uint64(i) for i in range(MINHASHES))] if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "n", "class", "mins"])
+                    classes.append(None if key is None else _signed(key))
+                    if key is not None and key % SAMPLED == 0 and key not in met:
+                        met.add(key)
+                        held.append(s)
+                        size += len(s)
+                yield batch(part.column(0), part.column(1), ns, classes, (), ())
+                if size >= PACKED:
+                    yield frequent()
+                    held, met, size = [], set(), 0
+        if held:
+            yield frequent()
 
-    return docs.mapInArrow(scan, "doc_id long, n long, class long, mins array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(scan, "doc_id long, text_key long, n long, class long, token long, seen long")
 
 
-def needed(n: np.ndarray | int):
-    """Least overlap of a set of n tokens with any set that it links to."""
-    return -(-n * PERCENT // 100)
+def _hot_tokens(rows: DataFrame, classes: DataFrame) -> np.ndarray:
+    """The very frequent tokens, sorted: at most ``HOT_MOST``.
 
+    The list decides the way of a token and its place in the common order; what it
+    overlooks costs time but no link.
+    """
+    sampled = classes.filter(F.pmod("class", F.lit(SAMPLED)) == 0).count()
+    often = rows.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT_SHARE > sampled)
+    return np.sort(np.array([r.token for r in often.orderBy(F.desc("seen"), "token").limit(HOT_MOST).collect()], np.int64).view(np.uint64))
 
-def prefix(s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-    """The first tokens of a set in the common order: by hash, tokens of ``frequent`` (sorted) last.
 
-    Of ``n - needed + 1`` first tokens a link needs one; with ``EXTRA`` per cent more of
-    them it needs that many more.
-    """
-    take = min(len(s), len(s) - int(needed(len(s))) + 1 + len(s) * EXTRA // 100)
-    order = mix64(s)
-    if frequent is not None and len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        if often.any():
-            return s[np.lexsort((order, often))[:take]]
-    return s[np.argpartition(order, take - 1)[:take]]
+def _among(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(tokens), bool)
+    return listed[np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)] == tokens
 
 
-def _sets(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(node, class, text) -> (node, n, tokens), stored, and the very frequent tokens of these sets, sorted.
+def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(class, text) -> (class, n, tokens, mins) of the classes that have enough tokens in common with others.
 
-    Each task lists the tokens that it meets again and again; the lists only decide an
-    order, so that what a task overlooks costs time but no link.
+    ``tokens`` are those that several classes hold, in the common order: the rarest first
+    (by powers of two, then by hash), the very frequent ones last.  ``mins`` are their
+    min-hashes.
     """
+    known = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def packed(keys, names, ns, owner, columns):
+        """A row (key, (class, n, count), column...) for each run of ``keys``; owners are sorted within a run."""
+        cuts = _starts(keys)
+        out = [[] for _ in range(2 + len(columns))]
+        for lo, hi in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
+            at = _starts(owner[lo:hi])
+            own = owner[lo:hi][at]
+            out[0].append(int(keys[lo]))
+            out[1].append(np.stack([names[own], ns[own], np.diff(np.append(at, hi - lo))]).astype("<i8").tobytes())
+            for k, c in enumerate(columns):
+                out[2 + k].append(c[lo:hi].tobytes())
+        return [pa.array(c, pa.int64() if not k else pa.binary()) for k, c in enumerate(out)]
+
+    def unpacked(batches, first, *kinds):
+        """(class of each token, n of each token, column...) of packed rows."""
+        head, rest = [], [[] for _ in kinds]
+        for b in batches:
+            head += [np.frombuffer(g, "<i8").reshape(3, -1) for g in b.column(first).to_pylist()]
+            for k, kind in enumerate(kinds):
+                rest[k] += [np.frombuffer(x, kind) for x in b.column(first + 1 + k).to_pylist()]
+        if not head:
+            return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, k) for k in kinds]
+        names, ns, count = np.concatenate(head, axis=1)
+        return [np.repeat(names, count), np.repeat(ns, count), *[np.concatenate(r) for r in rest]]
 
-    def scan(batches):
+    def pack(batches):
         cache = WordHash()
-        held, size, frequent = [], 0, {}
+        sets, size = {}, 0
 
         def flush():
-            nonlocal held, size
-            if held:
-                token, count = np.unique(np.concatenate(held), return_counts=True)
-                for t, c in zip(token[count >= 4].tolist(), count[count >= 4].tolist(), strict=True):
-                    frequent[t] = frequent.get(t, 0) + c
-                if len(frequent) > 4 * FREQUENT:
-                    least = sorted(frequent.values())[-2 * FREQUENT]
-                    for t in [t for t, c in frequent.items() if c <= least]:
-                        del frequent[t]
-            held, size = [], 0
-
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-        names = ["node", "n", "tokens", "often"]
+            names, ns = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
+            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ns)), ns)
+            often = _among(tokens, known.value)
+            bucket = (mix64(np.where(often, names.view(np.uint64)[owner], tokens)) >> np.uint64(32)).astype(np.int64) % buckets
+            for flag in (False, True):
+                ours = np.flatnonzero(often == flag)
+                if len(ours):
+                    order = ours[np.argsort(bucket[ours], kind="stable")]  # owners stay in order
+                    key, g, t = packed(bucket[order], names, ns, owner[order], [tokens[order].astype("<u8")])
+                    yield pa.RecordBatch.from_arrays([key, pa.array([flag] * len(key)), g, t], ["bucket", "often", "g", "t"])
+
         for whole in batches:
-            for part in pieces(whole):
-                ids, ns, tokens = [], [], []
-                for node, key, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(as_binary(part.column(2)).to_pylist(), cache), strict=True):
-                    if len(s) and _signed(_class_key(s)) == key:  # a repeated id may have another text, too
-                        ids.append(node)
-                        ns.append(len(s))
-                        tokens.append(s.view(np.int64))
-                        held.append(s)
+            for part in pieces(whole, 1024, 2_000_000):
+                for key, s in zip(part.column(0).to_pylist(), shingle_sets(as_binary(part.column(1)).to_pylist(), cache), strict=True):
+                    if key not in sets:
+                        sets[key] = s
                         size += len(s)
-                if size >= _BUFFER:
-                    flush()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, ns, tokens, [False] * len(ids)), kinds, strict=True)], names)
-        flush()
-        if frequent:
-            t = list(frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([_signed(x) for x in t], [frequent[x] for x in t], [None] * len(t), [True] * len(t)), kinds, strict=True)], names)
+                if size >= PACKED:
+                    yield from flush()
+                    sets, size = {}, 0
+        if sets:
+            yield from flush()
 
-    both = stored(rows.mapInArrow(scan, "node long, n long, tokens array<long>, often boolean"), "sets")
-    top = both.filter("often").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
-    return both.filter("not often").drop("often"), np.sort(np.array([r.node for r in top], np.int64).view(np.uint64))
+    def meet(key, batches):
+        """Those tokens of the range that several classes hold, for ranges of the classes."""
+        found = []
+        for flag in (False, True):
+            some = [b.filter(b.column(1)) if flag else b.filter(pc.invert(b.column(1))) for b in batches]
+            names, ns, tokens = unpacked(some, 2, "<u8")
+            order = np.lexsort((names, tokens))
+            names, ns, tokens = names[order], ns[order], tokens[order]
+            once = _starts(tokens, names)  # rows may be repeated
+            names, ns, tokens = names[once], ns[once], tokens[once]
+            starts = _starts(tokens)
+            count = np.diff(np.append(starts, len(tokens)))
+            rank = np.full(len(tokens), _LAST) if flag else np.repeat(np.log2(count, where=count > 0, out=np.zeros(len(count))).astype(np.int64), count)
+            keep = rank > 0
+            found.append((names[keep], ns[keep], rank[keep].astype(np.uint8), tokens[keep]))
+        names, ns, rank, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+        to = (mix64(names.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.lexsort((names, to))
+        names, ns, rank, tokens, to = names[order], ns[order], rank[order], tokens[order], to[order]
+        each = _starts(to, names)
+        owner = np.repeat(np.arange(len(each)), np.diff(np.append(each, len(to))))
+        yield pa.RecordBatch.from_arrays(packed(to, names[each], ns[each], owner, [rank, tokens.astype("<u8")]), ["bucket", "g", "r", "t"])
+
+    def gather(key, batches):
+        names, ns, rank, tokens = unpacked(batches, 1, "u1", "<u8")
+        order = np.lexsort((tokens, rank, names))
+        names, ns, tokens = names[order], ns[order], tokens[order]
+        starts = _starts(names)
+        count = np.diff(np.append(starts, len(names)))
+        able = count >= needed(ns[starts])
+        inside = np.repeat(able, count)
+        starts, count, tokens = starts[able], count[able], tokens[inside]
+        offsets = np.append(0, np.cumsum(count))
+        mins = np.array([np.minimum.reduceat(mix64(tokens ^ m) >> np.uint64(1), offsets[:-1]) if len(count) else [] for m in (_M[i % 5] + np.uint64(i) for i in range(MINHASHES))]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(names[starts]), pa.array(ns[starts]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1) * MINHASHES, pa.int32()), pa.array(mins.T.ravel())),
+            ],
+            ["class", "n", "tokens", "mins"],
+        )
+
+    told = texts.select("class", "text").mapInArrow(pack, "bucket long, often boolean, g binary, t binary")
+    told = told.groupBy("bucket").applyInArrow(by_group(meet), "bucket long, g binary, r binary, t binary")
+    return told.groupBy("bucket").applyInArrow(by_group(gather), "class long, n long, tokens array<long>, mins array<long>")
+
+
+def first_tokens(n, shared):
+    """(how many of its shared tokens a set of n must show, how many of them lead).
+
+    Tokens that no other set has come first in the common order.  A link of sets a and b,
+    n_a <= n_b, has an overlap of at least ``needed(n_b)`` and of 2 p / (100 + p) n_a
+    (p the per cent): its first token in the common order is among the last
+    ``needed`` ones of b counted from the end, and among the last 6 n / 7 of a.
+    """
+    up = (lambda x, d: F.ceil(x / d)) if isinstance(n, Column) else (lambda x, d: -(-x // d))
+    return shared - up(n * PERCENT, 100) + 1, shared - up(n * 2 * PERCENT, 100 + PERCENT) + 1
 
 
 def _sizes_fit(m, n):
     return (m * 100 >= n * PERCENT) & (n * 100 >= m * PERCENT)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, able: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact comparison."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
-    both = pairs.join(a, "a").join(b, "b").filter(_sizes_fit(F.col("a_n"), F.col("b_n"))).withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    a = able.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
+    b = able.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
     return both.filter(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * PERCENT).select("a", "b")
 
 
-def _least_shared(low, high):
-    """How many of their first tokens two sets of sizes ``low <= high`` share at least if they link.
-
-    Of the two sets take the one whose first tokens end first in the common order: what
-    it shares with the other set beyond them is at most its size less their number.  It
-    may be either, and rounding lets the smaller one demand less at times.
-    """
-    total = low + high
-    return np.maximum(1, -(-total * PERCENT // (100 + PERCENT)) + 1 + np.minimum(*((-n * PERCENT // 100) + n * EXTRA // 100 for n in (low, high))))
-
-
-def _least_in_span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least of :func:`_least_shared` over all sizes a <= b of the spans that fit each other.
-
-    But for rounding, the demand falls with b and rises with a along the largest b, and
-    rises with a where b is close to a; rounding takes less than three tokens, so that
-    the least is among the first 40 sizes and the nearest and last 20 that fit them.
-    """
-    spans, back = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
-    low, high = spans
-    out = _least_shared(low, low)
-    for step in range(41):
-        a = np.minimum(low + step, high)
-        last = np.minimum(high, a * 100 // PERCENT)
-        for off in range(21):
-            out = np.minimum(out, np.minimum(_least_shared(a, np.maximum(a, last - off)), _least_shared(a, np.minimum(a + off, last))))
-    return out[back.ravel()]
-
-
-def _shared_groups(postings: DataFrame, buckets: int) -> DataFrame:
-    """(group, low, high, tokens) -> pairs (g, h), g < h, that share enough first tokens to hold a link.
-
-    Tokens travel as packed arrays, by ranges of their hashes; a group's repeated tokens
-    are dropped before they are sent.  ``low`` and ``high`` are the least and largest set
-    of the group.  Each range counts the tokens that a pair shares, and the counts add up.
-    """
-
-    def pack(batches):
-        for whole in batches:
-            for part in pieces(whole, 4096, 16_000_000):
-                col = part.column(3)
-                offsets = np.asarray(col.offsets)
-                tokens = np.asarray(col.values, np.int64)[offsets[0] : offsets[-1]].view(np.uint64)
-                lengths = np.diff(offsets)
-                group, low, high = (np.repeat(np.asarray(part.column(i), np.int64), lengths) for i in range(3))
-                bucket = (mix64(tokens) >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.lexsort((tokens, group, bucket))
-                first = np.ones(len(order), bool)
-                first[1:] = (np.diff(bucket[order]) != 0) | (np.diff(group[order]) != 0) | (tokens[order][1:] != tokens[order][:-1])
-                order = order[first]
-                bucket, group, low, high, tokens = bucket[order], group[order], low[order], high[order], tokens[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out_b, out_g, out_t = [], [], []
-                for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    g, at, count = np.unique(group[lo:hi], return_index=True, return_counts=True)
-                    out_b.append(int(bucket[lo]))
-                    out_g.append(np.stack([g, count, low[lo:hi][at], high[lo:hi][at]]).astype("<i8").tobytes())
-                    out_t.append(tokens[lo:hi].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_g, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "g", "t"])
-
-    def meet(key, batches):
-        groups, tokens, spans = [], [], {}
-        for batch in batches:
-            for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                g, count, low, high = np.frombuffer(g, "<i8").reshape(4, -1)
-                groups.append(np.repeat(g, count))
-                tokens.append(np.frombuffer(t, "<u8"))
-                spans.update(zip(g.tolist(), zip(low.tolist(), high.tolist(), strict=True), strict=True))
-        group, token = np.concatenate(groups), np.concatenate(tokens)
-        order = np.lexsort((group, token))
-        group, token = group[order], token[order]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        ends = np.append(starts[1:], len(token))
-        several = ends - starts > 1
-        runs: dict[bytes, int] = {}  # groups of a token -> tokens with these groups
-        for lo, hi in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-            run = group[lo:hi]
-            run = run[np.append(True, run[1:] != run[:-1])]
-            if len(run) > 1:
-                name = run.tobytes()
-                runs[name] = runs.get(name, 0) + 1
-        names = np.array(sorted(spans), np.int64)
-        least, largest = (np.array([spans[g][i] for g in names.tolist()], np.int64) for i in (0, 1))
-        parts, size = [], 0
-        for name, count in runs.items():
-            run = np.frombuffer(name, np.int64)  # in rising order
-            at = np.searchsorted(names, run)
-            low, high = least[at], largest[at]
-            step = max(1, 1_000_000 // len(run))
-            for lo in range(0, len(run), step):
-                i, j = np.nonzero(np.arange(lo, min(lo + step, len(run)))[:, None] < np.arange(len(run)))
-                i += lo
-                fits = (low[i] * PERCENT <= high[j] * 100) & (low[j] * PERCENT <= high[i] * 100)
-                parts.append((run[i[fits]], run[j[fits]], np.full(int(fits.sum()), count, np.int64)))
-                size += len(parts[-1][0])
-                if size > 3_000_000:
-                    parts = [_summed(parts)]
-                    size = len(parts[0][0])
-                    if size > 1_500_000:
-                        yield _pairs(parts[0], names, least, largest)
-                        parts, size = [], 0
-        none = np.zeros(0, np.int64)
-        yield _pairs(_summed([*parts, (none, none, none)]), names, least, largest)
-
-    packed = postings.mapInArrow(pack, "bucket long, g binary, t binary")
-    counted = packed.groupBy("bucket").applyInArrow(by_group(meet), "g long, h long, shared long, least long")
-    return counted.groupBy("g", "h").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("g", "h")
-
-
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of equal pairs added up."""
-    g, h, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    if not len(g):
-        return g, h, count
-    order = np.lexsort((h, g))
-    g, h, count = g[order], h[order], count[order]
-    starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
-    return g[starts], h[starts], np.add.reduceat(count, starts)
-
-
-def _pairs(found: tuple, names: np.ndarray, least: np.ndarray, largest: np.ndarray) -> pa.RecordBatch:
-    """Pairs with the tokens that they share and the weakest demand of any two of their members."""
-    g, h, count = found
-    x, y = np.searchsorted(names, g), np.searchsorted(names, h)
-    low, high = np.minimum(least[x], least[y]), np.maximum(largest[x], largest[y])
-    alone = (least[x] == largest[x]) & (least[y] == largest[y])
-    demand = _least_shared(low, high)
-    if not alone.all():
-        demand[~alone] = _least_in_span(low[~alone], high[~alone])
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(count), pa.array(demand, pa.int64())], ["g", "h", "shared", "least"])
-
-
-def _common_enough(texts: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
-    """(node, class, n, mins) of the classes that share enough of their first tokens with others to link at all."""
-
-    def pack(batches):
-        cache = WordHash()
-        for whole in batches:
-            for part in pieces(whole, 4096, 16_000_000):
-                sets = shingle_sets(as_binary(part.column(0)).to_pylist(), cache)
-                firsts = {_signed(_class_key(s)): prefix(s) for s in sets if len(s)}
-                if not firsts:
-                    continue
-                names = np.array(list(firsts), np.int64)
-                tokens = np.concatenate(list(firsts.values()))
-                owner = np.repeat(np.arange(len(names)), [len(f) for f in firsts.values()])
-                bucket = (mix64(tokens) >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.lexsort((owner, bucket))
-                bucket, owner, tokens = bucket[order], owner[order], tokens[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out_b, out_g, out_t = [], [], []
-                for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    own, count = np.unique(owner[lo:hi], return_counts=True)
-                    out_b.append(int(bucket[lo]))
-                    out_g.append(np.stack([names[own], count]).astype("<i8").tobytes())
-                    out_t.append(tokens[lo:hi].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_g, pa.binary()), pa.array(out_t, pa.binary())], ["bucket", "g", "t"])
-
-    def shared(key, batches):
-        """Tokens of each class that another class has, too."""
-        names, tokens = [], []
-        for batch in batches:
-            for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                g, count = np.frombuffer(g, "<i8").reshape(2, -1)
-                names.append(np.repeat(g, count))
-                tokens.append(np.frombuffer(t, "<u8"))
-        name, token = np.concatenate(names), np.concatenate(tokens)
-        order = np.lexsort((name, token))
-        name, token = name[order], token[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))  # a class may come from several tasks
-        name, token = name[new], token[new]
-        same = token[1:] == token[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        found, count = np.unique(name[several], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(count, pa.int64())], ["class", "shared"])
-
-    counted = texts.select("text").mapInArrow(pack, "bucket long, g binary, t binary").groupBy("bucket").applyInArrow(by_group(shared), "class long, shared long")
-    totals = counted.groupBy("class").agg(F.sum("shared").alias("shared"))
-    return classes.join(totals, "class").filter(F.col("shared") >= 1 + F.floor(F.col("n") * EXTRA / 100)).select("node", "class", "n", "mins")
-
-
-def _group_links(able: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _hub_links(able: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(verified links, components of them): classes against the hub of every three min-hashes that they share."""
     links = roots = None
     threes = [(i, j, k) for i in range(MINHASHES) for j in range(i) for k in range(j)]
     keys = F.array(*[F.xxhash64(F.lit(x), *[F.col("mins")[i] for i in t]) for x, t in enumerate(threes)])
-    mins = stored(able.select("node", "n", "mins", F.explode(keys).alias("key")), "keys")
+    mins = stored(able.select(F.col("class").alias("node"), "n", "mins", F.explode(keys).alias("key")), "keys")
     for turn in range(ROUNDS):
         known = mins if roots is None else mins.join(roots, "node", "left")
         known = known.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
@@ -380,7 +315,7 @@ def _group_links(able: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Da
         agree = F.size(F.filter(F.zip_with("mins", "hub.mins", lambda x, y: x == y), lambda x: x))
         near = known.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n")) & (agree >= AGREEING))
         near = near.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-        more = stored(_linked(stored(near, "near"), sets), "links")
+        more = stored(_linked(near, able), "links")
         if not more.limit(1).count():
             break
         links = more if links is None else links.union(more)
@@ -388,74 +323,161 @@ def _group_links(able: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Da
     return links, roots
 
 
+def _grouped(able: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(class, n, tokens, root, gid): components in parts of bounded size, other classes by a min-hash; their root is null."""
+    rooted = able.withColumn("root", F.lit(None).cast("long")) if roots is None else able.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    rooted = rooted.withColumn("near", F.coalesce(F.xxhash64(F.lit("r"), "root"), F.xxhash64(F.lit("s"), F.col("mins")[0]))).select("class", "n", "tokens", "root", "near")
+    parts = rooted.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.size("tokens")) / MEMBER_TOKENS)).alias("parts"))
+    return rooted.join(parts, "near").withColumn("gid", F.xxhash64("near", F.pmod(F.xxhash64("class"), "parts"))).drop("near", "parts")
+
+
+def _pairs_of_runs(runs: DataFrame) -> DataFrame:
+    """(groups, leads) -> distinct pairs (g, h), g < h, of which one leads."""
+
+    def scan(batches):
+        for whole in batches:
+            for part in pieces(whole):
+                parts, size = [], 0
+                for groups, leads in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    g, lead = np.array(groups, np.int64), np.array(leads, bool)
+                    step = max(1, 500_000 // len(g))
+                    for lo in range(0, len(g), step):
+                        i, j = np.nonzero((np.arange(lo, min(lo + step, len(g)))[:, None] < np.arange(len(g))) & (lead[lo : lo + step, None] | lead))
+                        parts.append(np.stack([g[i + lo], g[j]]))
+                        size += len(i)
+                        if size > 500_000:
+                            parts = [np.unique(np.concatenate(parts, axis=1), axis=1)]
+                            if (size := parts[0].shape[1]) > 250_000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], ["g", "h"])
+                                parts, size = [], 0
+                if size:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(parts, axis=1), axis=1)], ["g", "h"])
+
+    return runs.mapInArrow(scan, "g long, h long").distinct()
+
+
+class Members:
+    """Classes of a group: names, sizes, and their tokens one after the other."""
+
+    def __init__(self, column: pa.Array, row: int):
+        offsets = np.asarray(column.offsets)
+        rows = column.values.slice(offsets[row], offsets[row + 1] - offsets[row])
+        self.names, self.n = (np.asarray(rows.field(i), np.int64) for i in (0, 1))
+        tokens = rows.field(2)
+        ends = np.asarray(tokens.offsets)
+        self.tokens = np.asarray(tokens.values, np.int64)[ends[0] : ends[-1]]
+        self.count = np.diff(ends)
+        self.owner = np.repeat(np.arange(len(self.n)), self.count)
+
+
+def linked_members(q: Members, m: Members, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the members i of ``q`` and j of ``m`` that link; with ``same`` only i < j."""
+    order = np.argsort(m.tokens, kind="stable")
+    tokens, owner = m.tokens[order], m.owner[order]
+    starts = _starts(tokens)
+    union, times = tokens[starts], np.diff(np.append(starts, len(tokens)))
+    at = np.minimum(np.searchsorted(union, q.tokens), len(union) - 1)
+    hit = union[at] == q.tokens
+    # the bound: overlap with the union against the least that a link with a member that fits needs
+    least = np.maximum(m.n.min(), needed(q.n))
+    opened = (np.bincount(q.owner[hit], minlength=len(q.n)) >= -(-(q.n + least) * PERCENT // (100 + PERCENT))) & (q.n * 100 >= m.n.min() * PERCENT) & (m.n.max() * 100 >= q.n * PERCENT)
+    hit &= opened[q.owner]
+    at, asker = at[hit], q.owner[hit]
+    common = np.zeros(len(q.n) * len(m.n), np.int64)
+    cost = np.cumsum(times[at])
+    for lo in range(0, int(cost[-1]) if len(cost) else 0, 2_000_000):
+        some = slice(*np.searchsorted(cost, [lo, lo + 2_000_000], side="right"))
+        k = times[at[some]]
+        each = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(starts[at[some]], k)
+        common += np.bincount(np.repeat(asker[some], k) * len(m.n) + owner[each], minlength=len(common))
+    common = common.reshape(len(q.n), len(m.n))
+    i, j = np.nonzero(common * 100 >= (q.n[:, None] + m.n - common) * PERCENT)
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of links that connect all that the links connect."""
+    up, keep = {}, []
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            up[x] = y
+            keep.append(k)
+    return keep
+
+
+def _group_links(grouped: DataFrame) -> DataFrame:
+    """Links between classes of different groups, or of one group that is no part of a component."""
+    members = F.collect_list(F.struct("class", "n", "tokens")).alias("members")
+    matrix = stored(grouped.groupBy("gid").agg(F.first("root").alias("root"), F.min("n").alias("low"), F.max("n").alias("high"), members), "matrix")
+    spans = matrix.select("gid", "root", "low", "high", F.size("members").alias("size"))
+    show, lead = first_tokens(F.col("n"), F.size("tokens"))
+    shown = grouped.select("gid", lead.alias("lead"), F.posexplode(F.slice("tokens", F.lit(1), show.cast("int"))).alias("pos", "token")).groupBy("token", "gid").agg(F.max(F.col("pos") < F.col("lead")).alias("leads"))
+    runs = shown.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("gid", "leads"))).alias("run")).filter((F.size("run") > 1) & F.exists("run", lambda x: x["leads"]))
+    pairs = _pairs_of_runs(runs.select("run").distinct().select(F.col("run.gid").alias("g"), F.col("run.leads").alias("l")))
+    one = spans.select(*[F.col(c).alias(f"g{c}") for c in ("gid", "root", "low", "high")])
+    two = spans.select(*[F.col(c).alias(f"h{c}") for c in ("gid", "root", "low", "high")])
+    pairs = pairs.join(one, F.col("g") == F.col("ggid")).join(two, F.col("h") == F.col("hgid"))
+    pairs = pairs.filter((F.col("glow") * PERCENT <= F.col("hhigh") * 100) & (F.col("hlow") * PERCENT <= F.col("ghigh") * 100) & ~F.coalesce(F.col("groot") == F.col("hroot"), F.lit(False)))
+    own = spans.filter("root is null and size > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    pairs = stored(pairs.select("g", "h").union(own), "pairs")
+
+    def opened(batches):
+        for batch in batches:
+            same = np.asarray(batch.column(0).to_pylist(), bool)
+            a, b = [], []
+            for row in range(batch.num_rows):
+                q, m = (Members(batch.column(k), row) for k in (1, 2))
+                i, j = linked_members(q, m, same[row])
+                keep = _spanning(q.names[i], m.names[j])
+                a.append(q.names[i[keep]])
+                b.append(m.names[j[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    one = matrix.select(F.col("gid").alias("g"), F.col("members").alias("queries"))
+    two = matrix.select(F.col("gid").alias("h"), F.col("members").alias("group"))
+    asked = pairs.join(one, "g").join(two, "h").select((F.col("g") == F.col("h")).alias("same"), "queries", "group")
+    return stored(asked.mapInArrow(opened, "a long, b long"), "more_links", batch_rows=64)
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, n_shingles, class_id, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest doc_id with the same set and ``component_id`` the
-    smallest doc_id reachable by links.  Null, empty and wordless texts have an empty
-    set and are linked with nothing: both ids are their own.  Rows with a null doc_id
-    keep null ids and link with nothing.  Repeated ids count as one document.  Other
-    columns of ``docs`` do not matter.
+    smallest doc_id reachable by links.  ``kept`` marks the row of smallest doc_id (and
+    then ``text_key``, a hash of the text) of each component; rows that agree in both are
+    all marked.  Null, empty and wordless texts have an empty set and are linked with
+    nothing: both ids are their own, and they are kept.  Rows with a null doc_id take part
+    by their text, but name a class or component only if no row in it has an id (both ids
+    are null then).  Rows with a repeated id are told apart by their texts.  Very long
+    texts are compared whole.  An empty table gives no rows.  Other columns of ``docs`` do
+    not matter.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = stored(profiles(texts), "profiles")
-    classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))).alias("least")
+    classes = stored(rows.filter("class is not null").groupBy("class").agg(least, F.first("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    able = stored(_common_enough(texts.filter("doc_id is not null"), classes, int(max(24, total // 4_000_000))), "able")
-    wanted = able.select("node", "class").hint("merge")  # the same way at every size
-    sets, frequent = _sets(texts.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "class", "text"))
-    links, roots = _group_links(able, sets)
-    grouped = able.select("node", "n") if roots is None else able.select("node", "n").join(roots, "node", "left")
-    grouped = stored(grouped.select("node", "n", F.col("node").alias("group") if roots is None else F.coalesce("root", "node").alias("group")), "grouped")
-    spans = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"), F.min("node").alias("only"))
-    placed = grouped.select("node", "group").join(spans.select("group", "low", "high"), "group")
-    postings = _firsts(sets, frequent).join(placed, "node").select("group", "low", "high", "first")
-    held = able.agg(F.sum("n")).first()[0] or 0
-    pairs = stored(_shared_groups(postings, int(max(4, held // 6_000_000))), "pairs")
-    if pairs.limit(1).count():
-        more = _open_groups(grouped, spans, sets, pairs)
-        if more.limit(1).count():
-            links = more if links is None else links.union(more)
-            roots = components(links)
-    known = classes.select("class", "node") if roots is None else classes.select("class", "node").join(roots, "node", "left")
-    known = known.select("class", F.col("node").alias("class_id"), F.col("node").alias("component_id") if roots is None else F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(known, "class", "left")
-    own = F.col("class_id").isNull() | F.col("doc_id").isNull()
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-
-
-def _firsts(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(node, first): first tokens of the sets."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
-
-    def scan(batches):
-        for whole in batches:
-            for part in pieces(whole, 4096, 16_000_000):
-                firsts = [prefix(np.array(t, np.int64).view(np.uint64), shared.value).view(np.int64) for t in part.column(1).to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["node", "first"])
-
-    return sets.select("node", "tokens").mapInArrow(scan, "node long, first array<long>")
-
-
-def _open_groups(grouped: DataFrame, spans: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links between the groups of ``pairs``: bound by the groups' token unions, then opened."""
-    members = grouped.select("node", "n", "group")
-    # queries: every member against the other group, if the sizes allow a link at all
-    ways = pairs.select("g", "h").union(pairs.select(F.col("h").alias("g"), F.col("g").alias("h")))
-    q = ways.join(members.select(F.col("group").alias("g"), F.col("node").alias("q"), "n"), "g").join(spans.select(F.col("group").alias("h"), "size", "low", "high", "only"), "h")
-    q = q.filter((F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("low") * PERCENT))
-    # a group of one is its own union: comparing it is the bound
-    single = q.filter("size = 1").select(F.least("q", "only").alias("a"), F.greatest("q", "only").alias("b"))
-    large = q.filter("size > 1").select("q", "h", "n")
-    needed_groups = large.select(F.col("h").alias("group")).distinct()
-    matrix = sets.select("node", "tokens").join(members.select("node", "group"), "node").join(needed_groups, "group", "left_semi").select("group", F.explode("tokens").alias("token")).distinct()
-    asked = large.join(sets.select(F.col("node").alias("q"), "tokens"), "q").select("q", "h", "n", F.explode("tokens").alias("token"))
-    overlap = asked.join(matrix.select(F.col("group").alias("h"), "token"), ["h", "token"]).groupBy("q", "h", "n").agg(F.countDistinct("token").alias("common"))
-    opened = overlap.filter(F.col("common") * 100 >= F.col("n") * PERCENT).join(members.select(F.col("group").alias("h"), F.col("node").alias("s"), F.col("n").alias("s_n")), "h")
-    opened = opened.filter(_sizes_fit(F.col("n"), F.col("s_n"))).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"))
-    return stored(_linked(single.union(opened).distinct(), sets), "more_links")
+    wanted = classes.select("class", F.coalesce("least.doc_id", F.lit(0)).alias("id"), F.col("least.no_id").alias("no_id"), F.col("least.text_key").alias("text_key")).hint("merge")  # the same way at every size
+    whole = texts.select("text", "text_key", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")).join(wanted, ["id", "no_id", "text_key"])
+    able = stored(shared_tokens(whole, _hot_tokens(rows, classes), int(max(12, total // PACKED))), "able")
+    links, roots = _hub_links(able)
+    more = _group_links(_grouped(able, roots))
+    if more.limit(1).count():
+        roots = components(more if links is None else links.union(more))
+    known = classes.select("class", "least") if roots is None else classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    known = known.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class"))
+    best = known.groupBy("root").agg(F.min("least").alias("best"))
+    known = known.join(best, "root").select("class", F.col("least.doc_id").alias("class_id"), "best")
+    found = rows.filter("class is not null").join(known, "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("kept"))
+    alone = rows.filter("class is null and n is not null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(alone)
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

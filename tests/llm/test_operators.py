@@ -98,39 +98,27 @@ def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.similar_documents(table(spark, [])).count() == 0
 
 
-def test_first_tokens_bound():
+def test_first_tokens_of_links_meet():
+    """A common token is among the first ones of both sets of a link, and leads in the smaller."""
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = np.unique(rng.integers(0, 400, rng.integers(1, 120)).astype(np.uint64) * np.uint64(7919))
-        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * 0.9)), replace=False), rng.integers(500, 600, rng.integers(1, 12)).astype(np.uint64)]))
-        common = len(np.intersect1d(a, b))
-        if 100 * common >= 75 * (len(a) + len(b) - common):
-            shared = len(np.intersect1d(ngram_join.prefix(a), ngram_join.prefix(b)))
-            assert shared >= 1 + max(len(a), len(b)) * ngram_join.EXTRA // 100
-            assert shared >= ngram_join._least_shared(min(len(a), len(b)), max(len(a), len(b)))
-
-
-def test_least_shared_is_never_more_than_a_link_shares():
-    """All size pairs at the threshold: the worst order of the tokens shared by two sets."""
-    demand = {}
-    for low in range(1, 130):
-        for high in range(low, low * 100 // ngram_join.PERCENT + 1):
-            common = -(-(low + high) * ngram_join.PERCENT // (100 + ngram_join.PERCENT))
-            first = {n: n - int(ngram_join.needed(n)) + 1 + n * ngram_join.EXTRA // 100 for n in (low, high)}
-            worst = min(common - (n - first[n]) for n in (low, high))
-            demand[low, high] = int(ngram_join._least_shared(low, high))
-            assert 1 + high * ngram_join.EXTRA // 100 <= max(1, worst)
-            assert demand[low, high] <= max(1, worst), (low, high)
-    low, high = (x.ravel() for x in np.meshgrid(np.arange(1, 91), np.arange(1, 91)))
-    low, high = low[low <= high], high[low <= high]
-    least = ngram_join._least_in_span(low, high)
-    for a, b, n in zip(low.tolist(), high.tolist(), least.tolist(), strict=True):
-        assert n == min(demand[x, y] for x in range(a, b + 1) for y in range(x, min(b, x * 100 // ngram_join.PERCENT) + 1)), (a, b)
+    for _ in range(3000):
+        low = int(rng.integers(1, 90))
+        high = int(rng.integers(low, low * 100 // ngram_join.PERCENT + 1))
+        common = int(rng.integers(min(low, -(-(low + high) * ngram_join.PERCENT // (100 + ngram_join.PERCENT))), low + 1))
+        order = rng.permutation(low + high - common)  # places of all tokens in the common order
+        a, b = np.sort(order[:low]), np.sort(order[low - common :])
+        if 100 * common < ngram_join.PERCENT * (low + high - common):
+            continue
+        first = min(set(a.tolist()) & set(b.tolist()))
+        others = {i: int(rng.integers(common, len(s) + 1)) for i, s in enumerate((a, b))}  # tokens that some other set has
+        for i, (s, place) in enumerate(((a, lambda f: f[1]), (b, lambda f: f[0]))):
+            alone = len(s) - others[i]
+            assert np.searchsorted(s, first) < place(ngram_join.first_tokens(len(s), others[i])) + alone
 
 
 def test_ngram_join_links_at_the_threshold_without_hubs(spark, monkeypatch):
     """Sets of 19 and 20 shingles with 17 in common, found by the matrix alone."""
-    monkeypatch.setattr(ngram_join, "_group_links", lambda able, sets: (None, None))
+    monkeypatch.setattr(ngram_join, "_hub_links", lambda able: (None, None))
     rng, rows = random.Random(21), []
     for i in range(150):
         words = [f"{rng.randrange(10**9)}" for _ in range(24)]
@@ -140,6 +128,39 @@ def test_ngram_join_links_at_the_threshold_without_hubs(spark, monkeypatch):
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
 
 
+@pytest.mark.parametrize("hubs", [True, False])
+def test_ngram_join_of_one_large_group_of_near_copies(spark, monkeypatch, hubs):
+    """Near copies on both sides of the threshold in small groups, some tokens in every document, and some texts very frequent."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 7)
+    monkeypatch.setattr(ngram_join, "PACKED", 500)
+    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 4)
+    if not hubs:
+        monkeypatch.setattr(ngram_join, "_hub_links", lambda able: (None, None))
+    rng = random.Random(17)
+    words, passage = [rng.choice(WORDS) for _ in range(80)], [rng.choice(WORDS) for _ in range(40)]
+    rows = []
+    for i in range(160):
+        copy = list(words) if i % 4 else [rng.choice(WORDS) for _ in range(rng.randint(3, 25))] + passage
+        for at in rng.sample(range(len(copy)), rng.randint(0, 5) if i % 4 else 1):
+            copy[at] = rng.choice(WORDS)
+        rows.append((500 - i, " ".join(copy), "en", "a", 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(table(spark, rows)).collect()}
+    want = brute_components([(r[0], r[1]) for r in rows])
+    assert got == want
+    assert len({c for _, c in want.values()}) > 20
+
+
+def test_ngram_join_keeps_one_row_of_a_group(spark):
+    """Null and repeated ids: rows count by their texts."""
+    a, b, c = prose(50), prose(50), prose(50)
+    rows = [(None, a, "en", "a", 1), (None, a, "en", "a", 1), (7, a, "en", "a", 1), (7, b, "en", "a", 1), (8, b, "en", "a", 1), (None, c, "en", "a", 1), (None, c, "de", "b", 2), (9, "", "en", "a", 0), (9, "", "en", "a", 0)]
+    got = ngram_join.similar_documents(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == sorted(
+        [(0, 7, False), (0, 7, False), (7, 7, True), (7, 7, True), (8, 7, False), (0, 0, True), (0, 0, True), (9, 9, True), (9, 9, True)]
+    )
+
+
 # --- mixing
 
 
