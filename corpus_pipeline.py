@@ -30,13 +30,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of smallest doc_id stays; of rows that repeat it, one."""
+    """Of each group of similar documents the row of smallest doc_id stays; of rows that repeat it, text and all, one.
+
+    Rows are decided one by one, by id and text, so that a null or repeated id loses no
+    text of its own.
+    """
     similar = stored(similar_documents(docs.select("doc_id", "text")), "similar")
-    gone = stored(similar.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if similar.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.xxhash64(F.col("row.text").cast("string")))
+
+    def those(found: DataFrame, how: str) -> DataFrame:
+        by = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("its")).distinct()
+        return rows.join(by, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("key") == F.col("its")), how)
+
+    kept = similar.filter("kept and n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
+    repeated = stored(kept, "repeated")
+    gone = similar.filter("not kept").select("doc_id", "text_key")
+    if not repeated.limit(1).count():
+        return those(gone, "left_anti").select("row.*")
+    one = those(repeated, "left_semi").groupBy(F.col("row.doc_id").alias("id"), "key").agg(F.first("row").alias("row"))
+    return those(gone.union(repeated.select("doc_id", "text_key")), "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
