@@ -11,14 +11,16 @@
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_binary, pieces, stored
+from ._common import as_binary, fresh, pieces, stored
 
 # Fixed values of the HTML standard: elements without content, with raw text, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +40,11 @@ NOISE = (
     "share* sharing social* related* recommend* newsletter* subscri* signup* login* breadcrumb* pagination* pager popup* modal* overlay* widget* form forms search searchbox searchform toolbar* masthead* "
     "copyright* skip* tags taglist hidden toc outbrain* taboola* dfp* discussion* feedback*"
 ).split()
+#: Words that may stand beside one of those; with any other word a name says something else ("notice-period", "form-factor").
+NEUTRAL = frozenset(
+    "a an and area article bar blog body bottom box btn button buttons block col column container content count cta custom element entry extra fixed float group has head header heading holder icon icons id image img in inline inner is item items js "
+    "label large latest layer left level link links list main more new of off on one outer page panel part post primary reader right row secondary section single site slot small stack sticky tab text the title to top two unit user view web wrap wrapper zone".split()
+)
 _NOISE = re.compile("^(?:" + "|".join(w[:-1] + r"[a-z]*" if w.endswith("*") else w for w in NOISE) + ")$")
 _HEADER = re.compile(r"^(?:header|topbar|sitehead)$")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -46,6 +53,8 @@ TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[
 ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: A container that holds less of a page's good text than this share gets no vote.
 LEAST_SHARE = 0.5
+#: Longer paths are named by a hash of their beginning, so that deep pages take memory by their number of tags.
+LONG_PATH = 1_000
 
 
 class _Open:
@@ -66,11 +75,15 @@ def _is_noise(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    for word in _NAME.findall(attrs.get("class", "") + " " + attrs.get("id", "")):
-        word = word.lower()
-        if _NOISE.match(word) or (not in_article and _HEADER.match(word)):
-            return True
-    return False
+    return any(_is_noise_name(x, in_article) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split())
+
+
+def _is_noise_name(name: str, in_article: bool) -> bool:
+    words = [w.lower() for w in _NAME.findall(name)]
+    noise = [bool(_NOISE.match(w)) or (not in_article and bool(_HEADER.match(w))) for w in words]
+    if in_article and words[:1] == ["article"]:  # a part or a state of the article, such as "article-comments-off"
+        return False
+    return any(noise) and all(n or w in NEUTRAL or len(w) < 3 or w.isdigit() for n, w in zip(noise, words, strict=True))
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[int, bool, str]]]:
@@ -80,8 +93,14 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[int, bool,
     containers: list[tuple[str, int, str]] = [("", -1, "root")]
     found: list[tuple[int, bool, str]] = []
     stack = [_Open("", "", False, False, False, 0)]
+    opened: collections.Counter = collections.Counter()
     at, n = 0, len(page)
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.name] -= 1
+        del stack[i:]
+
     def text(raw: str) -> None:
         top = stack[-1]
         if raw and not top.dropped:
@@ -108,24 +127,24 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[int, bool,
         if m.group(1):
             if name in BLOCK and not stack[-1].dropped:
                 found.append((stack[-1].node, False, "\n"))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[name] > 0 else 0, 0, -1):
                 if stack[i].name == name:
-                    del stack[i:]
+                    close(i)
                     break
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in CONTAINERS or stack[i].name in ("td", "th", "li", "button"):
                     break
-        elif name in SIBLINGS:
+        elif name in SIBLINGS and any(opened[x] > 0 for x in SIBLINGS[name]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in FENCE[name]:
                     break
                 if stack[i].name in SIBLINGS[name]:
-                    del stack[i:]
+                    close(i)
                     break
         top = stack[-1]
         if name in BLOCK and not top.dropped:
@@ -140,17 +159,20 @@ def parse(page: str) -> tuple[list[tuple[str, int, str]], list[tuple[int, bool,
             if end is None:
                 at = n
             else:
-                close = page.find(">", end.start())
-                at = n if close < 0 else close + 1
+                after = page.find(">", end.start())
+                at = n if after < 0 else after + 1
             continue
         dropped = top.dropped or _is_noise(name, attrs, top.article)
         label = name
         if attrs.get("class"):
             label += "." + ".".join(sorted(re.sub(r"\d+", "#", attrs["class"]).split()))
         path, node = top.path + "/" + label, top.node
+        if len(path) > LONG_PATH:
+            path = f"#{xxhash.xxh3_64_hexdigest(path)}/{label[:LONG_PATH]}"
         if name in CONTAINERS and not dropped:
             containers.append((path, top.node, name))
             node = len(containers) - 1
+        opened[name] += 1
         stack.append(_Open(name, path, dropped, top.link or name == "a", top.article or name in ("article", "main"), node))
     return containers, found
 
@@ -226,14 +248,17 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty pages and pages of boilerplate only give ''.  Null URLs share the
     host ''.  Repeated pages are extracted each; an input column named ``main_text`` is
-    replaced.  Winners are written first, so that Spark knows their size when it
+    replaced, other names do not matter.  Of paths with equal votes the last by code point
+    wins.  Very long and very deep pages are taken whole.  An empty table gives no rows.
+    Winners are written first, so that Spark knows their size when it
     chooses how to join them: a small table is broadcast, a large one is shuffled and
     its hot hosts split.
     """
     pages = pages.drop("main_text")
     carried = [c for c in pages.columns if c != "html"]
-    winners = stored(host_paths(pages), "host_paths").select(F.col("host").alias("__host"), F.col("path").alias("__path"))
-    joined = pages.withColumn("__host", host_of(F.col("url"))).join(winners, "__host", "left").select(*[f"`{c}`" for c in carried], F.col("html").cast("string").alias("__html"), "__path")
+    its_host, its_html, its_path = (fresh(pages, c) for c in ("host", "html", "path"))
+    winners = stored(host_paths(pages), "host_paths").select(F.col("host").alias(its_host), F.col("path").alias(its_path))
+    joined = pages.withColumn(its_host, host_of(F.col("url"))).join(winners, its_host, "left").select(*[f"`{c}`" for c in carried], F.col("html").cast("string").alias(its_html), its_path)
     schema = joined.select(*[f"`{c}`" for c in carried]).schema.add("main_text", "string")
     k = len(carried)
 
