@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, as_binary, by_group, mix64, pieces, stored, word_hashes
+from ._common import as_binary, by_group, mix64, pieces, stored, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -57,21 +57,16 @@ _LAST = 255
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def shingle_sets(texts: list[bytes | None], cache: WordHash) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; shorter texts give one hash of all their words."""
-    words, lengths = [], []
-    for t in texts:
-        w = t.lower().split() if t else ()
-        words += w
-        lengths.append(len(w))
-    h = word_hashes(words, cache)
+    h, lengths = word_hashes(texts)
     n = len(h)
     acc = np.zeros(max(0, n - WIDTH + 1), np.uint64)
     for k in range(WIDTH):
         acc = (acc ^ h[k : n - WIDTH + 1 + k]) * _M[k]
         acc ^= acc >> np.uint64(31)
     out, at = [], 0
-    for m in lengths:
+    for m in lengths.tolist():
         if m >= WIDTH:
             s = np.sort(acc[at : at + m - WIDTH + 1])
             keep = np.ones(len(s), bool)
@@ -122,7 +117,6 @@ def profiles(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, keys, *[pa.array(c, t) for c, t in zip((ns, classes, [None] * m, [None] * m), kinds[2:], strict=True)]] if m else [pa.nulls(k, pa.int64())] * 4 + [pa.array(tokens), pa.array(seen)], names)
 
     def scan(batches):
-        cache = WordHash()
         held, met, size = [], set(), 0
 
         def frequent():
@@ -131,9 +125,9 @@ def profiles(docs: DataFrame) -> DataFrame:
             return batch(None, None, (), (), token[often].view(np.int64), seen[often])
 
         for whole in batches:
-            for part in pieces(whole):
+            for part in pieces(whole, 1024, 1_000_000):
                 ns, classes = [], []
-                for s in shingle_sets(as_binary(part.column(2)).to_pylist(), cache):
+                for s in shingle_sets(as_binary(part.column(2)).to_pylist()):
                     key = _class_key(s) if len(s) else None
                     ns.append(len(s))
                     classes.append(None if key is None else _signed(key))
@@ -203,7 +197,6 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         return [np.repeat(names, count), np.repeat(ns, count), *[np.concatenate(r) for r in rest]]
 
     def pack(batches):
-        cache = WordHash()
         sets, size = {}, 0
 
         def flush():
@@ -219,8 +212,8 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([key, pa.array([flag] * len(key)), g, t], ["bucket", "often", "g", "t"])
 
         for whole in batches:
-            for part in pieces(whole, 1024, 2_000_000):
-                for key, s in zip(part.column(0).to_pylist(), shingle_sets(as_binary(part.column(1)).to_pylist(), cache), strict=True):
+            for part in pieces(whole, 1024, 1_000_000):
+                for key, s in zip(part.column(0).to_pylist(), shingle_sets(as_binary(part.column(1)).to_pylist()), strict=True):
                     if key not in sets:
                         sets[key] = s
                         size += len(s)

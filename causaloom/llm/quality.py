@@ -12,15 +12,12 @@ network was not trained on, makes its outputs probabilities.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, as_binary, by_group, fold, mix64, pieces
+from ._common import Words, _random, as_binary, by_group, fold, mix64, pieces
 from .labelled import labelled_sample
 
 #: Slots of the word table, and of the shape table (its last slot: the word before, again).
@@ -31,23 +28,14 @@ CHUNKS = 64
 SAMPLE = 8_000
 HIDDEN = 32
 THRESHOLD = 0.3
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_CLASSES = (("A", re.compile(r"[A-ZÀ-ÖØ-Þ]+")), ("0", re.compile(r"[0-9]+")), ("a", re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")))
-
-
-class Units(dict):
-    """word -> (slot of its core, slot of its shape), remembered; bounded."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        text = word.decode("utf-8", "replace")
-        core, shape = _EDGE.sub("", text).lower(), text
-        shape = _CLASSES[1][1].sub("0", _CLASSES[0][1].sub(lambda m: "A" if len(m[0]) == 1 else "AA", shape))
-        shape = re.sub(r"(.)\1{2,}", r"\1\1", _CLASSES[2][1].sub("a", shape))
-        found = (xxhash.xxh3_64_intdigest(core.encode()) % WORDS, xxhash.xxh3_64_intdigest(shape[:12].encode()) % (SHAPES - 1))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+#: Whether a byte is a letter or digit, its class in the shape, and random numbers of both, zero for white space.
+_CORE = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+_CLASS = np.array([c if not _CORE[c] else ord("0") if 48 <= c < 58 else ord("A") if 65 <= c < 91 else ord("a") for c in range(256)], np.uint8)
+_CLASS[9:14] = 0x20
+_CORE_BYTES = np.where(_CORE, _random(256, 11)[np.array([c + 32 if 65 <= c < 91 else c for c in range(256)])], np.uint64(0))
+_SHAPE_BYTES = _random(256, 12)
+_SHAPE_BYTES[0x20] = 0
+SHAPE_BYTES = 12
 
 
 def index_vectors(slots: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +45,27 @@ def index_vectors(slots: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return (bits % np.uint64(DIMENSIONS)).astype(np.int64), np.where((bits >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int8)
 
 
-def units_of(texts: list[bytes | None], cache: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(core slots, shape slots, number of words of each text) of a list of texts."""
-    words, lengths = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.split() if t else ()
-        words += w
-        lengths[i] = len(w)
-    both = np.array(list(map(cache.__getitem__, words)), dtype=np.int64).reshape(-1, 2)
-    core, shape = both[:, 0].copy(), both[:, 1].copy()
+def units_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(core slots, shape slots, number of words of each text) of a list of texts.
+
+    A word's core are its letters and digits, in lower case; its shape are the classes of
+    its bytes, of a run of one class two at most, the first ``SHAPE_BYTES`` of them.
+    """
+    w = Words(texts)
+    lengths = w.lengths
+    if not len(w.starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), lengths
+    lead, most = int(w.starts[0]), int(w.sizes.max())
+    rank = np.minimum(w.ranks(_CORE[w.bytes].astype(np.int32)), most)
+    core = (mix64(w.sums(_CORE_BYTES[w.bytes[lead:]] * (_random(most + 1, 13) | np.uint64(1))[rank])) % np.uint64(WORDS)).astype(np.int64)
+    kind = _CLASS[w.bytes]
+    kept = kind != 0x20
+    kept[2:] &= (kind[2:] != kind[1:-1]) | (kind[1:-1] != kind[:-2])
+    rank = np.minimum(w.ranks(kept.astype(np.int32)), SHAPE_BYTES)
+    factors = _random(SHAPE_BYTES + 1, 14) | np.uint64(1)
+    factors[-1] = 0
+    kind[~kept] = 0x20
+    shape = (mix64(w.sums(_SHAPE_BYTES[kind[lead:]] * factors[rank])) % np.uint64(SHAPES - 1)).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     again = np.zeros(len(core), bool)
     again[1:] = (core[1:] == core[:-1]) & (owner[1:] == owner[:-1])
@@ -82,13 +82,12 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def partial(batches):
-        cache = Units()
         pos_w, sign_w = index_vectors(WORDS, 1)
         pos_s, sign_s = index_vectors(SHAPES, 2)
         table = np.zeros((WORDS + SHAPES) * DIMENSIONS)  # whole numbers, exact up to 2**53
         for whole in batches:
-            for part in pieces(whole):
-                core, shape, lengths = units_of(as_binary(part.column(0)).to_pylist(), cache)
+            for part in pieces(whole, 1024, 1_000_000):
+                core, shape, lengths = units_of(as_binary(part.column(0)).to_pylist())
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 for off in range(1, WINDOW + 1):
                     at = np.flatnonzero(owner[off:] == owner[:-off])
@@ -126,15 +125,32 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray], cache: Units) -> np.ndarray:
+def _sums(v: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of each run of ids; long runs are cut, so that the rows held at a time are few."""
+    out = np.zeros((len(starts), v.shape[1]))
+    ends = np.append(starts[1:], len(ids))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 32_768)))
+        if hi == lo + 1:  # as counts by slot, however long
+            times = np.bincount(ids[starts[lo] : ends[lo]], minlength=len(v))
+            used = np.flatnonzero(times)
+            out[lo] = times[used] @ v[used].astype(np.float64)
+        else:
+            out[lo:hi] = np.add.reduceat(v[ids[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+        lo = hi
+    return out
+
+
+def pooled(texts: list[bytes | None], vectors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A row per text: means of its word and shape vectors, its length, and whether it is empty."""
-    core, shape, lengths = units_of(texts, cache)
+    core, shape, lengths = units_of(texts)
     out = np.zeros((len(texts), 2 * DIMENSIONS + 2), np.float64)
     full = np.flatnonzero(lengths)
     if len(full):
         starts = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
         for k, (ids, v) in enumerate(((core, vectors[0]), (shape, vectors[1]))):
-            out[full, k * DIMENSIONS : (k + 1) * DIMENSIONS] = np.add.reduceat(v[ids], starts, axis=0, dtype=np.float64) / lengths[full, None]
+            out[full, k * DIMENSIONS : (k + 1) * DIMENSIONS] = _sums(v, ids, starts) / lengths[full, None]
     out[:, -2], out[:, -1] = np.log1p(lengths) / 8, lengths == 0
     return out
 
@@ -194,10 +210,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches):
-        cache = Units()
         for whole in batches:
-            for part in pieces(whole):
-                x = pooled(as_binary(part.column("text")).to_pylist(), shared.value, cache)
+            for part in pieces(whole, 1024, 1_000_000):
+                x = pooled(as_binary(part.column("text")).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"]
                 )
@@ -222,11 +237,10 @@ def score_quality(docs: DataFrame, vectors, network: Network, threshold: float =
     schema = docs.select(*carried).schema.add("quality_score", "double")
 
     def scored(batches):
-        cache = Units()
         vectors, network = shared.value
         for whole in batches:
-            for part in pieces(whole):
-                x = pooled(as_binary(part.column(part.schema.get_field_index("text"))).to_pylist(), vectors, cache)
+            for part in pieces(whole, 1024, 1_000_000):
+                x = pooled(as_binary(part.column(part.schema.get_field_index("text"))).to_pylist(), vectors)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(network.score(x), pa.float64())], [*carried, "quality_score"]
                 )
