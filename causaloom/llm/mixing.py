@@ -20,6 +20,7 @@ in which a source's target is reached.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from ._common import WORD_PATTERN, stored
 
 SEED = 20_240_601
 BLOCK_DOCS = 256
-SHARD_LEVELS = 3  # 2 ** 3 output shards
+#: 2 ** 3 output shards at least, and words of a shard at most.
+SHARD_LEVELS, SHARD_WORDS = 3, 50_000_000
 MOST_REPEATS = 3.0
 
 
@@ -64,30 +66,45 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return s.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("most", "level", "stopped")
 
 
+def _log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series at x + 6, good to ten digits."""
+    y = x + 6.0
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return series - F.log((x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+
 def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Column:
     """A draw from the hypergeometric distribution by inversion, as a column expression.
 
-    ``good`` of ``good + bad`` are marked, ``draws`` are taken without replacement.
-    Probabilities come from the ratio of neighbours, summed as logarithms and scaled by
-    the largest, so that large counts neither overflow nor vanish.
+    ``good`` of ``good + bad`` are marked, ``draws`` are taken without replacement.  The
+    walk starts twelve deviations below the mode, where the probability comes from
+    factorials, and goes on by the ratio of neighbours, so that its length grows with the
+    deviation only; what lies beyond it is less than 1e-30.
     """
-    low, high = F.greatest(F.lit(0), draws - bad).cast("int"), F.least(good, draws).cast("int")
+    good, bad, draws = (c.cast("double") for c in (good, bad, draws))
+    all_ = good + bad
+    low, high = F.greatest(F.lit(0.0), draws - bad), F.least(good, draws)
+    mode = F.floor((draws + 1) * (good + 1) / (all_ + 2)).cast("double")
+    reach = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), draws * good * bad * (all_ - draws) / F.greatest(F.lit(1.0), all_ * all_ * (all_ - 1))))) + 30
+    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
 
-    def log_ratio(k: Column) -> Column:  # log p(k + 1) - log p(k)
-        k = k.cast("double")
-        return F.log((good - k) * (draws - k)) - F.log((k + 1) * (bad - draws + k + 1))
+    def choose(n: Column, k: Column) -> Column:
+        return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
-    ks = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
-    logs = F.aggregate(ks, F.array(F.lit(0.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + log_ratio(k))))
-    top = F.array_max(logs)
-    mass = F.transform(logs, lambda x: F.exp(x - top))
-    whole = F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
+    start = F.exp(choose(good, first) + choose(bad, draws - first) - choose(all_, draws))
     walked = F.aggregate(
-        mass,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("k")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + F.when(a["sum"] < u * whole, 1).otherwise(0)).alias("k")),
+        F.when(last > first, F.sequence(first.cast("long"), last.cast("long") - 1)).otherwise(F.array().cast("array<bigint>")),
+        F.struct(start.alias("sum"), start.alias("p"), first.alias("k")),
+        lambda a, x: F.struct(
+            (a["sum"] + _next(a["p"], x.cast("double"), good, bad, draws)).alias("sum"), _next(a["p"], x.cast("double"), good, bad, draws).alias("p"), (a["k"] + F.when(a["sum"] < u, 1.0).otherwise(0.0)).alias("k")
+        ),
     )
-    return F.least(high, low + F.greatest(F.lit(0), walked["k"]))
+    return F.least(high, walked["k"]).cast("long")
+
+
+def _next(p: Column, k: Column, good: Column, bad: Column, draws: Column) -> Column:
+    """Probability of k + 1 from that of k."""
+    return p * (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))
 
 
 def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
@@ -119,39 +136,47 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED
     return nodes.select("shard", F.explode("held").alias("x")).select("x.source", "shard", "x.blocks")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: float = MOST_REPEATS, block_docs: int = BLOCK_DOCS, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, block, shards and shard_order.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: float = MOST_REPEATS, block_docs: int = BLOCK_DOCS, levels: int | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` (doc_id, source, text and others) with size, source_size, target, taken, block, shards and shard_order.
 
     ``taken`` is the number of words that the mix takes of the document, repeats
     counted: at most ``repeats`` times its size.  ``shards`` lists the output shard of
     each draw of the document's block and ``shard_order`` its place in the local
-    shuffle.  Null texts and texts without words have size 0 and are taken with 0
-    words; a null source is a source; repeated rows are drawn each (they fall into the
-    same block, so give rows distinct ids).  Empty tables give no rows.  Input columns
-    with one of the added names are replaced.
+    shuffle.  There are 2 ** ``levels`` shards, by default as many as keep a shard below
+    ``SHARD_WORDS`` words and 8 at least.  Null texts and texts without words have size 0
+    and are taken with 0 words; a null source is a source.  Rows are told apart by id
+    and text, so that null and repeated ids are rows like others; rows that agree in
+    both share what the mix takes of them evenly (less than a word each is lost).  Ties in
+    the seeded orders go by id.  Very long texts are blocks' rows like others.  Empty tables
+    give no rows.  Input columns with one of the added names are replaced; other names
+    do not matter.
     """
     added = ["size", "source_size", "target", "taken", "block", "shards", "shard_order"]
     docs = docs.drop(*added)
     names = docs.columns
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+    words = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).select("row", F.col("row.source").cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("string"), F.xxhash64("row.text")).alias("key"), words.alias("size"))
     # small tables are written once: later joins know their size, and no count is made twice
-    light = stored(sized.select("doc_id", "source", "size"), "sizes")
+    light = stored(sized.select("key", "source", "size"), "sizes")
     sizes = light.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, repeats).withColumn("n_blocks", F.ceil(F.col("docs") / F.greatest(F.lit(block_docs), F.ceil(F.sqrt("docs")))))
     # a source's target as whole draws and words of one more, partial draw
     plan = plan.withColumn("words", F.floor("target")).withColumn("draws", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("draws", F.least("draws", F.lit(int(repeats)))).withColumn("rest", F.col("words") - F.col("draws") * F.col("source_size"))
     plan = stored(plan.select(F.col("source").alias("p_source"), "docs", "source_size", "target", "n_blocks", "draws", "rest"), "plan")
+    if levels is None:
+        levels = max(SHARD_LEVELS, math.ceil(math.log2(max(1, (plan.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))))
 
     def with_block(df: DataFrame) -> DataFrame:
         joined = df.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-        return joined.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
+        return joined.withColumn("block", F.pmod("key", "n_blocks"))
 
     by_block = with_block(light).groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("draws").alias("draws"), F.first("rest").alias("rest"))
     permuted = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = by_block.withColumn("before", F.coalesce(F.sum("block_size").over(permuted), F.lit(0)))
     # words that the partial draw takes of the block; a block taken in part is one more draw
     blocks = blocks.withColumn("part", F.greatest(F.lit(0), F.least("block_size", F.col("rest") - F.col("before")))).withColumn("drawn", F.col("draws") + (F.col("part") > 0).cast("int"))
+    blocks = stored(blocks, "blocks")
     quotas = blocks.groupBy("source").agg(F.sum("drawn").alias("blocks"))
     dealt = split_quotas(quotas, levels, seed)
     upto = W.partitionBy("source").orderBy("shard")
@@ -163,20 +188,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), r
     placed = tickets.join(by_source, F.col("source").eqNullSafe(F.col("r_source"))).withColumn("shard", F.filter("cuts", lambda c: c["to"] > F.col("ticket"))[0]["shard"])
     shards = placed.groupBy(F.col("source").alias("s_source"), F.col("block").alias("s_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "shard"))), lambda x: x["shard"]).alias("shards"))
     block_plan = blocks.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")), "left")
-    block_plan = stored(block_plan.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "part", "block_size", F.coalesce("shards", F.array().cast("array<int>")).alias("shards")), "blocks")
+    block_plan = stored(block_plan.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "part", "block_size", F.coalesce("shards", F.array().cast("array<int>")).alias("shards")), "block_plan")
     # in the block where the partial draw ends, documents are taken in a seeded order as long as words are left
     ends = block_plan.filter("part > 0 and part < block_size").select(F.col("b_source").alias("e_source"), F.col("b_block").alias("e_block"), F.col("part").alias("e_part"))  # one row a source
     edge = with_block(light).join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
-    seeded = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    edge = edge.groupBy("source", "block", "key").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.first("e_part").alias("e_part"))
+    seeded = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "key"), "key").rowsBetween(W.unboundedPreceding, -1)
     edge = edge.withColumn("d_before", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
-    edge = edge.select(F.col("doc_id").alias("e_doc"), F.greatest(F.lit(0), F.least("size", F.col("e_part") - F.col("d_before"))).alias("e_taken"))
-    edge = stored(edge.groupBy("e_doc").agg(F.min("e_taken").alias("e_taken")), "edge")
+    edge = edge.select(F.col("source").alias("e_source"), F.col("key").alias("e_key"), F.floor(F.greatest(F.lit(0), F.least("size", F.col("e_part") - F.col("d_before"))) / F.col("rows")).alias("e_taken"))
+    edge = stored(edge, "edge")
     out = with_block(sized).join(block_plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
-    out = out.join(edge, (F.col("doc_id") == F.col("e_doc")) & (F.col("part") < F.col("block_size")) & (F.col("part") > 0), "left")
+    out = out.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("key") == F.col("e_key")), "left")
     extra = F.when(F.col("part") <= 0, F.lit(0)).when(F.col("part") >= F.col("block_size"), F.col("size")).otherwise(F.coalesce("e_taken", F.lit(0)))
     out = out.withColumn("taken", (F.col("draws") * F.col("size") + extra).cast("long"))
-    out = out.withColumn("shard_order", F.xxhash64(F.lit(seed + 4), "doc_id"))
-    return out.select(*[f"`{c}`" for c in names], "size", "source_size", "target", "taken", "block", "shards", "shard_order")
+    out = out.withColumn("shard_order", F.xxhash64(F.lit(seed + 4), "key"))
+    return out.select("row.*", "size", "source_size", "target", "taken", "block", "shards", "shard_order")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
