@@ -5,7 +5,8 @@ are exact: two sets are in one if links of a Jaccard similarity of the threshold
 connect them.  Only connectivity is computed: links inside a component beyond those that
 connect it are not looked for, and no number of links is given.
 
-1. Equal sets form a class; one row stands for a class, whatever its copies.
+1. Equal sets form a class; one row stands for a class, whatever its copies: tasks know the
+   standing rows of the classes of most copies, and drop the copies of others that they meet.
 2. Only tokens of several classes can be shared.  Tokens travel as packed arrays to hash
    ranges, which tell each class which of its tokens others have and how frequent they
    are.  A class whose shared tokens are fewer than any link needs is done.
@@ -53,7 +54,11 @@ HOT_SHARE, HOT_MOST = 1024, 1 << 19
 PACKED = 2_000_000
 #: Members of a group, and their shared tokens, unless a single member has more.
 MEMBERS, MEMBER_TOKENS = 64, 32_000
+#: Classes of most copies whose standing rows the tasks know, 2 MB.
+COPIED_MOST = 1 << 16
 _LAST = 255
+#: Part of a packed row: a class, the size of its set, and how many of the row's tokens are its own.
+_HEAD = np.dtype([("class", "<i8"), ("n", "<i4"), ("count", "<i4")])
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -102,6 +107,12 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, new))
 
 
+def _heads(names: np.ndarray, ns: np.ndarray, count: np.ndarray) -> bytes:
+    head = np.empty(len(names), _HEAD)
+    head["class"], head["n"], head["count"] = names, ns, count
+    return head.tobytes()
+
+
 def needed(n: np.ndarray | int):
     """Least overlap of a set of n tokens with any set that it links to."""
     return -(-n * PERCENT // 100)
@@ -162,14 +173,24 @@ def _among(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)] == tokens
 
 
-def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(class, text) -> (class, n, tokens, mins) of the classes that have enough tokens in common with others.
+def _chosen_rows(classes: DataFrame) -> dict[int, tuple]:
+    """class -> (doc_id, text_key) of the row that stands for it, of the classes of most rows: at most ``COPIED_MOST``.
+
+    Any other class has fewer rows than each of these; its copies are dropped by the
+    tasks and ranges that meet them.
+    """
+    most = classes.filter(F.col("copies") >= 8).orderBy(F.desc("copies"), "class").limit(COPIED_MOST)
+    return {r["class"]: (r.doc_id, r.text_key) for r in most.select("class", "least.doc_id", "least.text_key").collect()}
+
+
+def shared_tokens(texts: DataFrame, hot: np.ndarray, chosen: dict[int, tuple], buckets: int) -> DataFrame:
+    """(doc_id, text_key, text) -> (class, n, tokens, mins) of the classes that have enough tokens in common with others.
 
     ``tokens`` are those that several classes hold, in the common order: the rarest first
     (by powers of two, then by hash), the very frequent ones last.  ``mins`` are their
     min-hashes.
     """
-    known = texts.sparkSession.sparkContext.broadcast(hot)
+    known = texts.sparkSession.sparkContext.broadcast((hot, chosen))
 
     def packed(keys, names, ns, owner, columns):
         """A row (key, (class, n, count), column...) for each run of ``keys``; owners are sorted within a run."""
@@ -179,7 +200,7 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             at = _starts(owner[lo:hi])
             own = owner[lo:hi][at]
             out[0].append(int(keys[lo]))
-            out[1].append(np.stack([names[own], ns[own], np.diff(np.append(at, hi - lo))]).astype("<i8").tobytes())
+            out[1].append(_heads(names[own], ns[own], np.diff(np.append(at, hi - lo))))
             for k, c in enumerate(columns):
                 out[2 + k].append(c[lo:hi].tobytes())
         return [pa.array(c, pa.int64() if not k else pa.binary()) for k, c in enumerate(out)]
@@ -188,12 +209,12 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         """(class of each token, n of each token, column...) of packed rows."""
         head, rest = [], [[] for _ in kinds]
         for b in batches:
-            head += [np.frombuffer(g, "<i8").reshape(3, -1) for g in b.column(first).to_pylist()]
+            head += [np.frombuffer(g, _HEAD) for g in b.column(first).to_pylist()]
             for k, kind in enumerate(kinds):
                 rest[k] += [np.frombuffer(x, kind) for x in b.column(first + 1 + k).to_pylist()]
         if not head:
             return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, k) for k in kinds]
-        names, ns, count = np.concatenate(head, axis=1)
+        names, ns, count = (np.concatenate(head)[c].astype(np.int64) for c in ("class", "n", "count"))
         return [np.repeat(names, count), np.repeat(ns, count), *[np.concatenate(r) for r in rest]]
 
     def pack(batches):
@@ -202,7 +223,7 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         def flush():
             names, ns = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
             tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ns)), ns)
-            often = _among(tokens, known.value)
+            often = _among(tokens, known.value[0])
             bucket = (mix64(np.where(often, names.view(np.uint64)[owner], tokens)) >> np.uint64(32)).astype(np.int64) % buckets
             for flag in (False, True):
                 ours = np.flatnonzero(often == flag)
@@ -213,8 +234,10 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
         for whole in batches:
             for part in pieces(whole, 1024, 1_000_000):
-                for key, s in zip(part.column(0).to_pylist(), shingle_sets(as_binary(part.column(1)).to_pylist()), strict=True):
-                    if key not in sets:
+                rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                for row, s in zip(rows, shingle_sets(as_binary(part.column(2)).to_pylist()), strict=True):
+                    key = _signed(_class_key(s)) if len(s) else None
+                    if key is not None and key not in sets and known.value[1].get(key, row) == row:
                         sets[key] = s
                         size += len(s)
                 if size >= PACKED:
@@ -265,7 +288,7 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             ["class", "n", "tokens", "mins"],
         )
 
-    told = texts.select("class", "text").mapInArrow(pack, "bucket long, often boolean, g binary, t binary")
+    told = texts.select("doc_id", "text_key", "text").mapInArrow(pack, "bucket long, often boolean, g binary, t binary")
     told = told.groupBy("bucket").applyInArrow(by_group(meet), "bucket long, g binary, r binary, t binary")
     return told.groupBy("bucket").applyInArrow(by_group(gather), "class long, n long, tokens array<long>, mins array<long>")
 
@@ -307,8 +330,10 @@ def _hub_links(able: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         hubs = known.groupBy("key").agg(F.min(order).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "hub")
         agree = F.size(F.filter(F.zip_with("mins", "hub.mins", lambda x, y: x == y), lambda x: x))
         near = known.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n")) & (agree >= AGREEING))
-        near = near.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-        more = stored(_linked(near, able), "links")
+        # of the hubs of a class the one that agrees most, and the one that most classes of its kind choose
+        near = near.groupBy("node").agg(F.max_by("hub.node", F.struct(agree, "hub.node")).alias("x"), F.min_by("hub.node", "hub").alias("y"))
+        near = near.select("node", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
+        more = stored(_linked(near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), able), "links")
         if not more.limit(1).count():
             break
         links = more if links is None else links.union(more)
@@ -319,7 +344,7 @@ def _hub_links(able: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
 def _grouped(able: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(class, n, tokens, root, gid): components in parts of bounded size, other classes by a min-hash; their root is null."""
     rooted = able.withColumn("root", F.lit(None).cast("long")) if roots is None else able.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    rooted = rooted.withColumn("near", F.coalesce(F.xxhash64(F.lit("r"), "root"), F.xxhash64(F.lit("s"), F.col("mins")[0]))).select("class", "n", "tokens", "root", "near")
+    rooted = rooted.withColumn("near", F.when(F.col("root").isNull(), F.xxhash64(F.lit("s"), F.col("mins")[0])).otherwise(F.xxhash64(F.lit("r"), "root"))).select("class", "n", "tokens", "root", "near")
     parts = rooted.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(F.size("tokens")) / MEMBER_TOKENS)).alias("parts"))
     return rooted.join(parts, "near").withColumn("gid", F.xxhash64("near", F.pmod(F.xxhash64("class"), "parts"))).drop("near", "parts")
 
@@ -455,11 +480,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = stored(profiles(texts), "profiles")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))).alias("least")
-    classes = stored(rows.filter("class is not null").groupBy("class").agg(least, F.first("n").alias("n")), "classes")
+    classes = stored(rows.filter("class is not null").groupBy("class").agg(least, F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    wanted = classes.select("class", F.coalesce("least.doc_id", F.lit(0)).alias("id"), F.col("least.no_id").alias("no_id"), F.col("least.text_key").alias("text_key")).hint("merge")  # the same way at every size
-    whole = texts.select("text", "text_key", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")).join(wanted, ["id", "no_id", "text_key"])
-    able = stored(shared_tokens(whole, _hot_tokens(rows, classes), int(max(12, total // PACKED))), "able")
+    chosen = _chosen_rows(classes)
+    able = stored(shared_tokens(texts, _hot_tokens(rows, classes), chosen, int(max(12, total // PACKED))), "able")
     links, roots = _hub_links(able)
     more = _group_links(_grouped(able, roots))
     if more.limit(1).count():
