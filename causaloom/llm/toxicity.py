@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, as_binary, fold, pieces
+from ._common import CACHE_WORDS, as_binary, by_group, fold, pieces, stored
 from .labelled import labelled_sample
 
 BUCKETS = 1 << 18
@@ -26,6 +26,8 @@ RANK = 4
 #: Labelled rows that the machine is fitted on, at most.
 SAMPLE = 10_000
 THRESHOLD = 0.7
+#: Parts in which counts by slot travel.
+CHUNKS = 16
 _TRIM = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
 
@@ -66,6 +68,16 @@ def slots_of(text: bytes | None, terms: Terms) -> np.ndarray:
     return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
 
 
+def slot_counts(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, positive rows) of each slot; the slots of a row are distinct."""
+    seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for slots, y in zip(rows, labels, strict=True):
+        seen[slots] += 1
+        if y:
+            toxic[slots] += 1
+    return seen, toxic
+
+
 class FactorizationMachine:
     """Binary features, logistic loss, AdaGrad; the slots that tell the classes apart keep parameters."""
 
@@ -73,20 +85,24 @@ class FactorizationMachine:
         self.bias, self.weight, self.vector, self.slot_of = bias, weight, vector, slot_of
 
     @staticmethod
-    def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> "FactorizationMachine":
+    def telling(seen: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
+        """Slots that tell the classes apart: by chi-square against the label; rare or indifferent ones get no parameters.
+
+        Keeping slots by their counts instead brought 60,000 to 80,000 of them and half the
+        held-out recall on 2,600 examples.
+        """
+        expected = seen * positive / n
+        chi = (toxic - expected) ** 2 / np.maximum(1e-9, expected * (1 - seen / n) * (1 - positive / n))
+        return np.flatnonzero((seen >= 2) & (chi >= 12.0) & (toxic > expected * 1.3) | (seen >= 20) & (chi >= 12.0))
+
+    @staticmethod
+    def fit(rows: list[np.ndarray], labels: np.ndarray, keep: np.ndarray | None = None, epochs: int = 12, batch: int = 64, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> "FactorizationMachine":
         n, positive = len(rows), float(labels.sum())
         if n == 0 or positive in (0.0, float(n)):
             base = (positive + 0.5) / (n + 1)
             return FactorizationMachine(float(np.log(base / (1 - base))), np.zeros(1), np.zeros((1, RANK)), np.zeros(BUCKETS, np.int32))
-        seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for slots, y in zip(rows, labels, strict=True):  # the slots of a row are distinct
-            seen[slots] += 1
-            if y:
-                toxic[slots] += 1
-        # chi-square of slot against label; rare or indifferent slots get no parameters
-        expected = seen * positive / n
-        chi = (toxic - expected) ** 2 / np.maximum(1e-9, expected * (1 - seen / n) * (1 - positive / n))
-        keep = np.flatnonzero((seen >= 2) & (chi >= 12.0) & (toxic > expected * 1.3) | (seen >= 20) & (chi >= 12.0))
+        if keep is None:
+            keep = FactorizationMachine.telling(*slot_counts(rows, labels), n, positive)
         slot_of = np.zeros(BUCKETS, np.int32)
         slot_of[keep] = np.arange(1, len(keep) + 1)
         rng = np.random.default_rng(seed)
@@ -135,8 +151,8 @@ class FactorizationMachine:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bound: int = SAMPLE, label: str = "toxic") -> FactorizationMachine:
     """Fit on at most ``bound`` labelled rows outside the held-out fold.
 
-    The executors send slot numbers, not texts; rows come in id order, so that
-    reruns agree.  Without examples of both classes the machine answers the base rate.
+    Slots are counted by the executors, who then send the numbers of telling slots only;
+    rows come in id order, so that reruns agree.  Without examples of both classes the machine answers the base rate.
     """
 
     def features(batches):
@@ -149,9 +165,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int
                     [part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "label", "slots"]
                 )
 
-    got = labelled_sample(docs, labels, label, modulus, held, bound).mapInArrow(features, "doc_id long, label int, slots binary").collect()
+    spark = docs.sparkSession
+    rows = stored(labelled_sample(docs, labels, label, modulus, held, bound).mapInArrow(features, "doc_id long, label int, slots binary"), "slots")
+
+    def counted(batches):
+        total = np.zeros((2, BUCKETS))
+        size = np.zeros(2)
+        for batch in batches:
+            y = np.asarray(batch.column(1).to_pylist(), float)
+            total += slot_counts([np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()], y)
+            size += (len(y), y.sum())
+        if size[0]:
+            parts = np.array_split(np.append(total.ravel(), size), CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "sums"])
+
+    def added(key, batches):
+        total = sum(np.frombuffer(x, np.float64) for b in batches for x in b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "sums"])
+
+    sums = rows.mapInArrow(counted, "chunk int, sums binary").groupBy("chunk").applyInArrow(by_group(added), "chunk int, sums binary").collect()
+    if not sums:
+        return FactorizationMachine.fit([], np.zeros(0))
+    *counts, n, positive = np.concatenate([np.frombuffer(r.sums) for r in sorted(sums, key=lambda r: r.chunk)])
+    seen, toxic = np.reshape(counts, (2, BUCKETS))
+    keep = FactorizationMachine.telling(seen, toxic, int(n), positive)
+    shared = spark.sparkContext.broadcast(np.isin(np.arange(BUCKETS), keep))
+
+    def telling(batches):
+        for batch in batches:
+            found = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[shared.value[x]].tobytes() for x in found], pa.binary())], ["doc_id", "label", "slots"])
+
+    got = rows.mapInArrow(telling, "doc_id long, label int, slots binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.slots)))
-    return FactorizationMachine.fit([np.frombuffer(r.slots, "<i4") for r in got], np.array([r.label for r in got], float))
+    return FactorizationMachine.fit([np.frombuffer(r.slots, "<i4") for r in got], np.array([r.label for r in got], float), keep)
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
