@@ -66,11 +66,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return s.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("most", "level", "stopped")
 
 
+def _let(value: Column, made) -> Column:
+    """``made(value)`` with the value computed once, so that expressions stay small."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def _log_factorial(x: Column) -> Column:
     """ln x! by Stirling's series at x + 6, good to ten digits."""
-    y = x + 6.0
-    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
-    return series - F.log((x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    def series(y: Column) -> Column:
+        return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - F.log((y - 1) * (y - 2) * (y - 3) * (y - 4) * (y - 5))
+
+    return _let(x + 6.0, series)
 
 
 def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Column:
@@ -81,30 +87,33 @@ def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Colum
     factorials, and goes on by the ratio of neighbours, so that its length grows with the
     deviation only; what lies beyond it is less than 1e-30.
     """
-    good, bad, draws = (c.cast("double") for c in (good, bad, draws))
-    all_ = good + bad
-    low, high = F.greatest(F.lit(0.0), draws - bad), F.least(good, draws)
-    mode = F.floor((draws + 1) * (good + 1) / (all_ + 2)).cast("double")
-    reach = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), draws * good * bad * (all_ - draws) / F.greatest(F.lit(1.0), all_ * all_ * (all_ - 1))))) + 30
-    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
-
-    def choose(n: Column, k: Column) -> Column:
-        return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
-
-    start = F.exp(choose(good, first) + choose(bad, draws - first) - choose(all_, draws))
-    walked = F.aggregate(
-        F.when(last > first, F.sequence(first.cast("long"), last.cast("long") - 1)).otherwise(F.array().cast("array<bigint>")),
-        F.struct(start.alias("sum"), start.alias("p"), first.alias("k")),
-        lambda a, x: F.struct(
-            (a["sum"] + _next(a["p"], x.cast("double"), good, bad, draws)).alias("sum"), _next(a["p"], x.cast("double"), good, bad, draws).alias("p"), (a["k"] + F.when(a["sum"] < u, 1.0).otherwise(0.0)).alias("k")
-        ),
-    )
-    return F.least(high, walked["k"]).cast("long")
-
-
-def _next(p: Column, k: Column, good: Column, bad: Column, draws: Column) -> Column:
-    """Probability of k + 1 from that of k."""
-    return p * (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))
+
+    def span(c: Column) -> Column:
+        all_ = c["good"] + c["bad"]
+        mode = F.floor((c["draws"] + 1) * (c["good"] + 1) / (all_ + 2))
+        reach = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), c["draws"] * c["good"] * c["bad"] * (all_ - c["draws"]) / F.greatest(F.lit(1.0), all_ * all_ * (all_ - 1))))) + 30
+        low, high = F.greatest(F.lit(0.0), c["draws"] - c["bad"]), F.least(c["good"], c["draws"])
+        return _let(
+            F.struct(mode.cast("double").alias("mode"), reach.cast("double").alias("reach")),
+            lambda m: F.struct(c["good"].alias("good"), c["bad"].alias("bad"), c["draws"].alias("draws"), F.greatest(low, m["mode"] - m["reach"]).alias("first"), F.least(high, m["mode"] + m["reach"]).alias("last")),
+        )
+
+    def walk(c: Column) -> Column:
+        def choose(n: Column, k: Column) -> Column:
+            return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+
+        start = F.exp(choose(c["good"], c["first"]) + choose(c["bad"], c["draws"] - c["first"]) - choose(c["good"] + c["bad"], c["draws"]))
+
+        def step(a: Column, x: Column) -> Column:  # p belongs to k, and sum to what is below k
+            k, on = x.cast("double"), (a["sum"] + a["p"]) < u
+            ratio = (c["good"] - k) * (c["draws"] - k) / ((k + 1) * (c["bad"] - c["draws"] + k + 1))
+            return F.struct(F.when(on, a["sum"] + a["p"]).otherwise(a["sum"]).alias("sum"), F.when(on, a["p"] * ratio).otherwise(a["p"]).alias("p"), F.when(on, a["k"] + 1.0).otherwise(a["k"]).alias("k"))
+
+        ks = F.when(c["last"] > c["first"], F.sequence(c["first"].cast("long"), c["last"].cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(ks, F.struct(F.lit(0.0).alias("sum"), start.alias("p"), c["first"].alias("k")), step, lambda a: a["k"].cast("long"))
+
+    counts = F.struct(good.cast("double").alias("good"), bad.cast("double").alias("bad"), draws.cast("double").alias("draws"))
+    return _let(_let(counts, span), walk)
 
 
 def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED) -> DataFrame:
