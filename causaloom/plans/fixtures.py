@@ -105,12 +105,20 @@ def causal_presence(d):
 
 @fixture
 def record_edges(d):
-    """Distinct (record, src, dst) with the strength of the first link of the pair."""
-    return """SELECT l.record_id, s.factor_type AS src, t.factor_type AS dst, s.class AS src_class, t.class AS dst_class,
+    """Distinct (record, src, dst) of links between factors that are no outcomes, with the strength of the first link of the pair."""
+    return """SELECT l.record_id, s.factor_type AS src, t.factor_type AS dst,
       min_by(l.strength, l.dst_idx * 1000 + l.link_pos) AS strength
     FROM links l JOIN nodes s ON l.record_id = s.record_id AND l.src_idx = s.idx JOIN nodes t ON l.record_id = t.record_id AND l.dst_idx = t.idx
-    WHERE s.factor_type <> t.factor_type AND s.class <> 'outcome'
-    GROUP BY l.record_id, s.factor_type, t.factor_type, s.class, t.class"""
+    WHERE s.factor_type <> t.factor_type AND s.class <> 'outcome' AND t.class <> 'outcome'
+    GROUP BY l.record_id, s.factor_type, t.factor_type"""
+
+
+@fixture
+def record_outcomes(d):
+    """Distinct (record, src, dst) of links into outcomes."""
+    return """SELECT DISTINCT l.record_id, s.factor_type AS src, t.factor_type AS dst
+    FROM links l JOIN nodes s ON l.record_id = s.record_id AND l.src_idx = s.idx JOIN nodes t ON l.record_id = t.record_id AND l.dst_idx = t.idx
+    WHERE s.factor_type <> t.factor_type AND s.class <> 'outcome' AND t.class = 'outcome'"""
 
 
 @fixture
@@ -132,7 +140,7 @@ def pair_counts(d):
 @fixture
 def precede_counts(d):
     return """SELECT r.category, e.src AS i, e.dst AS j, count(*) AS n FROM record_edges e JOIN records r ON e.record_id = r.record_id
-    WHERE e.dst_class <> 'outcome' GROUP BY r.category, e.src, e.dst"""
+    GROUP BY r.category, e.src, e.dst"""
 
 
 @fixture

@@ -50,7 +50,7 @@ def category_edges(d):
 
 @operator
 def outcome_edges(d):
-    return "SELECT src, dst, count(*) AS support FROM record_edges WHERE dst_class = 'outcome' GROUP BY src, dst"
+    return "SELECT src, dst, count(*) AS support FROM record_outcomes GROUP BY src, dst"
 
 
 @operator
@@ -59,7 +59,7 @@ def outcome_layer(d):
     return f"""WITH base AS (SELECT avg(CASE WHEN sev_ordinal >= 3 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM records),
     per AS (SELECT p.factor_type, count(*) AS n_records, avg(CASE WHEN r.sev_ordinal >= 3 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM presence p JOIN records r ON p.record_id = r.record_id GROUP BY p.factor_type),
     top AS (SELECT src, {d.joined(f"concat(dst, ':', CAST(n AS {d.S}))", 'rn', ';')} AS top_outcomes FROM (
-        SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM (SELECT src, dst, count(*) AS n FROM record_edges WHERE dst_class = 'outcome' GROUP BY src, dst) c) t WHERE rn <= 3 GROUP BY src)
+        SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM (SELECT src, dst, count(*) AS n FROM record_outcomes GROUP BY src, dst) c) t WHERE rn <= 3 GROUP BY src)
     SELECT per.factor_type, per.n_records, round(per.p, 6) AS p_serious_or_fatal, round(base.p, 6) AS baseline, round(per.p / nullif(base.p, 0), 6) AS risk_ratio, coalesce(top.top_outcomes, '') AS top_outcomes
     FROM per CROSS JOIN base LEFT JOIN top ON per.factor_type = top.src"""
 

@@ -149,6 +149,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert 'target="B&amp;"' in sinks.graphml(nodes, edges)
 
 
+def test_edges_count_a_record_once_and_leave_outcomes_out(spark):
+    """A factor of two classes in one record, a repeated link, a link out of range, and a link into an outcome."""
+    from causaloom.plans import catalog, registry  # noqa: F401
+
+    nodes = spark.createDataFrame(
+        [(1, 0, "fuel", "human"), (1, 1, "fuel", "machine"), (1, 2, "engine", "machine"), (1, 3, "crash", "outcome"), (2, 0, "fuel", "human"), (2, 1, "engine", "machine")],
+        "record_id long, idx int, factor_type string, class string",
+    )
+    links = spark.createDataFrame([(1, 2, 0, 0, "inferred"), (1, 2, 1, 1, "direct"), (1, 3, 2, 0, "direct"), (2, 1, 0, 0, "direct"), (2, 1, 7, 1, "direct")], "record_id long, dst_idx int, src_idx int, link_pos int, strength string")
+    got = [tuple(r) for r in registry.apply("causation_edges", spark, nodes=nodes, links=links).select("src", "dst", "support", "p_dst_given_src", "lift", "direct_share").collect()]
+    assert got == [("fuel", "engine", 2, 1.0, 1.0, 0.5)]
+    assert [tuple(r) for r in registry.apply("outcome_edges", spark, nodes=nodes, links=links).collect()] == [("engine", "crash", 1)]
+
+
 def test_streamed_edges_equal_the_batch(spark, tmp_path):
     rows = [(f"r{i}", "A", "B") for i in range(5)] + [("r1", "A", "B"), ("r2", "B", "C")]
     data = str(tmp_path / "in")
