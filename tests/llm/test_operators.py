@@ -320,6 +320,28 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.find_leaks(table(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_bit_sampling_reaches_items_with_edits():
+    rng = random.Random(11)
+    items = [(k, prose(rng.randint(12, 60), rng).encode()) for k in range(60)]
+    index = decontam.ItemIndex(items)
+    for share, least in ((0.0, 1.0), (0.1, 0.97), (0.2, 0.92)):
+        texts = []
+        for _, text in items:
+            words = text.decode().split()
+            for _ in range(int(share * len(words))):
+                at = rng.randrange(len(words))
+                rng.choice([lambda: words.__setitem__(at, "zz"), lambda: words.insert(at, "qq"), lambda: words.pop(at)])()
+            texts.append(decontam.cores_of(f"{prose(rng.randint(0, 30), rng)} {' '.join(words)} {prose(rng.randint(0, 30), rng)}".encode(), decontam.CoreHash()))
+        found = [any(m[0] == k for m in of) for k, of in enumerate(index.matches(texts))]
+        assert sum(found) >= least * len(items)
+
+
+def test_every_stretch_of_an_item_holds_a_window():
+    for n in range(1, 300):
+        size, stride = decontam.window_size(n)
+        assert 0 < size <= n and size + stride - 1 <= max(n, 1) and 2 * size > n
+
+
 # --- classifiers
 
 
