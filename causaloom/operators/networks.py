@@ -55,13 +55,15 @@ def independent(patterns: np.ndarray, counts: np.ndarray, i: int, j: int, given:
     return df == 0 or chi2_tail(stat, df) > alpha
 
 
-def pc(patterns: np.ndarray, counts: np.ndarray, alpha: float = 0.05, most_given: int = 3) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+def pc(patterns: np.ndarray, counts: np.ndarray, alpha: float = 0.05) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
     """(directed, undirected) edges: stable skeleton, colliders (first found wins a conflict), Meek's rules 1 to 3."""
     k = patterns.shape[1]
     near = {i: set(range(k)) - {i} for i in range(k)}
     apart: dict[frozenset, tuple[int, ...]] = {}
-    for size in range(most_given + 1):
+    for size in itertools.count():
         frozen = {i: sorted(near[i]) for i in near}
+        if all(len(others) <= size for others in frozen.values()):
+            break
         for i in range(k):
             for j in frozen[i]:
                 if j not in near[i]:
@@ -181,11 +183,14 @@ def break_cycles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("category").applyInPandas(acyclic, edges.schema)
 
 
-def laplacian_prior(similarity: DataFrame) -> DataFrame:
-    """(category, i, j, similarity) -> (category, i, j, prior): Gaussian kernel on the Laplacian's eigenvectors 2 to 9."""
+def laplacian_prior(similarity: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """(category, i, j, similarity) -> (category, i, j, prior): kernel of the squared distances in the Laplacian's eigenvectors 2 to 9.
+
+    The scale is the median of the positive distances.  ``vocabulary`` adds factors without a pair.
+    """
 
     def embed(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf.i) | set(pdf.j))
+        names = sorted(set(pdf.i) | set(pdf.j) | set(vocabulary or ()))
         at = {f: k for k, f in enumerate(names)}
         s = np.zeros((len(names), len(names)))
         for r in pdf.itertuples():
@@ -193,8 +198,8 @@ def laplacian_prior(similarity: DataFrame) -> DataFrame:
         _, vectors = np.linalg.eigh(np.diag(s.sum(1)) - s)
         v = vectors[:, 1:9]
         d2 = ((v[:, None] - v[None]) ** 2).sum(-1)
-        off = d2[~np.eye(len(names), dtype=bool)]
-        kernel = np.exp(-d2 / max(1e-12, 2 * np.median(off))) if len(off) else d2
+        apart = d2[d2 > 0]
+        kernel = np.exp(-d2 / max(1e-9, np.median(apart) if len(apart) else 1.0))
         return pd.DataFrame([(pdf.category.iloc[0], a, b, float(kernel[at[a], at[b]])) for a in names for b in names if a < b], columns=["category", "i", "j", "prior"])
 
     return similarity.groupBy("category").applyInPandas(embed, "category string, i string, j string, prior double")

@@ -60,13 +60,16 @@ def isotonic_out_of_fold(rows: DataFrame, score: str = "score", label: str = "y"
 
 
 def classifier_out_of_fold(rows: DataFrame, features: list[str], kind: str = "logistic", label: str = "y", key: str = "doc_id", k: int = 5) -> DataFrame:
-    """(key, y, p): logistic regression (C = 1) or boosted trees, scored out of fold."""
-    data = VectorAssembler(inputCols=features, outputCol="raw").transform(folds(rows.na.fill(0.0), label, key, k)).withColumn(label, F.col(label).cast("double"))
-    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data).cache()
-    n, out = data.count(), None
+    """(key, y, p): logistic regression (C = 1) or boosted trees, scored out of fold; features are scaled by the rows fitted on."""
+    data = VectorAssembler(inputCols=features, outputCol="raw").transform(folds(rows.na.fill(0.0), label, key, k)).withColumn(label, F.col(label).cast("double")).cache()
+    sizes = {r.fold: r["count"] for r in data.groupBy("fold").count().collect()}
+    out = None
     for fold in range(k):
+        others, own = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(others)
+        n = sum(sizes.values()) - sizes.get(fold, 0)
         learner = LogisticRegression(labelCol=label, regParam=1.0 / max(1, n), maxIter=50) if kind == "logistic" else GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=1)
-        part = learner.fit(data.filter(F.col("fold") != fold)).transform(data.filter(F.col("fold") == fold))
+        part = learner.fit(scaler.transform(others)).transform(scaler.transform(own))
         part = part.select(key, F.col(label).alias("y"), vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -97,8 +97,10 @@ def injury_rollup(d):
 
 @operator
 def primary_cause(d):
-    """The first finding flagged C or F, else the first subject of all."""
-    return "SELECT ev_id, coalesce(min_by(CASE WHEN cause_factor IN ('C', 'F') THEN description END, CASE WHEN cause_factor IN ('C', 'F') THEN pos ELSE pos + 1000 END), min_by(subject, pos)) AS primary_cause FROM findings GROUP BY ev_id"
+    """The first finding flagged C or F; without one the subject of the first sequence entry flagged C, else null."""
+    return """SELECT coalesce(f.ev_id, s.ev_id) AS ev_id, CASE WHEN f.flagged > 0 THEN f.description ELSE s.subject END AS primary_cause
+    FROM (SELECT ev_id, count(*) FILTER (WHERE upper(cause_factor) IN ('C', 'F')) AS flagged, min_by(description, pos) FILTER (WHERE upper(cause_factor) IN ('C', 'F')) AS description FROM findings GROUP BY ev_id) f
+    FULL OUTER JOIN (SELECT ev_id, nullif(min_by(subject, pos) FILTER (WHERE upper(cause_factor) = 'C'), '') AS subject FROM coded_sequence GROUP BY ev_id) s ON f.ev_id = s.ev_id"""
 
 
 @operator
@@ -162,18 +164,16 @@ def report_date(d):
 @fixture
 def tail_texts(d):
     s = d.S
-    return f"SELECT c_custkey, concat('seen N', CAST(c_custkey AS {s}), 'AB near C-FABC and G-WXYZ then JA', CAST(1000 + c_custkey % 500 AS {s}), CASE WHEN c_custkey % 2 = 0 THEN ' EC-XYZ' ELSE '' END) AS t FROM customer"
+    return f"SELECT c_custkey, concat('seen N', CAST(c_custkey AS {s}), 'AB near C-FABC and G-WXYZ then JA', CAST(1000 + c_custkey % 500 AS {s}), ' and C-FABC again', CASE WHEN c_custkey % 2 = 0 THEN ' EC-XYZ' ELSE '' END) AS t FROM customer"
 
 
 @operator
 def extract_tails(d):
-    """All registration marks, in pattern order."""
-    parts = d.concat_arrays(*(d.extract_all("t", p) for p in vocab.TAIL_PATTERNS)) if d.name == "spark" else None
-    if parts is None:
-        parts = d.extract_all("t", vocab.TAIL_PATTERNS[0])
-        for p in vocab.TAIL_PATTERNS[1:]:
-            parts = d.concat_arrays(parts, d.extract_all("t", p))
-    return f"SELECT c_custkey, {d.join_array(parts)} AS tails FROM tail_texts"
+    """All registration marks in pattern order, upper-cased, each once at its first place."""
+    parts = d.extract_all("t", vocab.TAIL_PATTERNS[0])
+    for p in vocab.TAIL_PATTERNS[1:]:
+        parts = d.concat_arrays(parts, d.extract_all("t", p))
+    return f"SELECT c_custkey, {d.join_array(d.distinct('marks'))} AS tails FROM (SELECT c_custkey, {d.transform(parts, 'm', 'upper(m)')} AS marks FROM tail_texts) x"
 
 
 @operator
@@ -230,9 +230,11 @@ def gold_severity(d):
 
 @operator
 def cause_strings(d):
-    """Cause-flagged findings, then cause-flagged subjects with their modifier."""
-    first = d.joined("description", "pos", "|")
-    return f"SELECT ev_id, {first} AS causes, count(*) AS n FROM findings WHERE cause_factor IN ('C', 'F') GROUP BY ev_id"
+    """Findings flagged C or F, then the subjects of sequence entries flagged C with their modifier."""
+    text = d.joined("cause", "part, pos", "|")
+    return f"""SELECT ev_id, {text} AS causes, count(*) AS n FROM (
+      SELECT ev_id, 0 AS part, pos, description AS cause FROM findings WHERE upper(cause_factor) IN ('C', 'F') AND description <> ''
+      UNION ALL SELECT ev_id, 1 AS part, pos, CASE WHEN coalesce(modifier, '') IN ('', 'None') THEN subject ELSE concat(subject, ' (', modifier, ')') END AS cause FROM coded_sequence WHERE upper(cause_factor) = 'C' AND subject <> '') c GROUP BY ev_id"""
 
 
 @operator

@@ -125,7 +125,8 @@ class Duck(Spark):
         return f"array_to_string({array}, '{sep}')"
 
     def distinct(self, array: str) -> str:
-        raise NotImplementedError("list_distinct does not keep the order")
+        """By place, for list_distinct does not keep the order."""
+        return f"list_filter({array}, lambda v, k: list_position({array}, v) = k)"
 
     def concat_arrays(self, *arrays: str) -> str:
         return f"list_concat({', '.join(arrays)})"

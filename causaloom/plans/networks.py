@@ -85,13 +85,18 @@ def reorient(d):
 
 @operator
 def pmi_similarity(d):
-    """Similarity of factors: judged relation by confidence plus a little positive mutual information."""
-    return """WITH n AS (SELECT category, count(DISTINCT record_id) AS n FROM causal_presence GROUP BY category),
-    f AS (SELECT category, factor_type, count(*) AS k FROM causal_presence GROUP BY category, factor_type)
-    SELECT c.category, c.i, c.j, round(CASE q.relation WHEN 'concurrent' THEN q.confidence WHEN 'a_before_b' THEN 0.6 * q.confidence WHEN 'b_before_a' THEN 0.6 * q.confidence ELSE 0 END
-      + 0.05 * greatest(0, ln((CAST(c.cooccur AS DOUBLE) * n.n) / (CAST(a.k AS DOUBLE) * b.k))), 6) AS similarity
-    FROM pair_counts c JOIN n ON c.category = n.category JOIN f a ON c.category = a.category AND c.i = a.factor_type JOIN f b ON c.category = b.category AND c.j = b.factor_type
-      JOIN judgments q ON c.category = q.category AND c.i = q.a AND c.j = q.b"""
+    """Similarity of factors i < j: the judged relation by confidence, plus a twentieth of the positive mutual information of their co-occurrence.
+
+    Shares are those of the category's co-occurrences, both orders counted.
+    """
+    return """WITH t AS (SELECT category, CAST(sum(cooccur) AS DOUBLE) AS total FROM pair_counts GROUP BY category),
+    m AS (SELECT category, i AS factor, CAST(sum(cooccur) AS DOUBLE) AS k FROM pair_counts GROUP BY category, i),
+    p AS (SELECT c.category, c.i, c.j, 0.05 * greatest(0E0, ln((c.cooccur / t.total) / ((a.k / t.total) * (b.k / t.total) + 1E-12) + 1E-9)) AS mutual
+      FROM pair_counts c JOIN t ON c.category = t.category JOIN m a ON c.category = a.category AND c.i = a.factor JOIN m b ON c.category = b.category AND c.j = b.factor WHERE c.i < c.j),
+    q AS (SELECT category, least(a, b) AS i, greatest(a, b) AS j, sum(CASE relation WHEN 'concurrent' THEN confidence WHEN 'a_before_b' THEN 0.6E0 * confidence WHEN 'b_before_a' THEN 0.6E0 * confidence ELSE 0E0 END) AS judged
+      FROM judgments GROUP BY category, least(a, b), greatest(a, b))
+    SELECT coalesce(p.category, q.category) AS category, coalesce(p.i, q.i) AS i, coalesce(p.j, q.j) AS j, round(coalesce(q.judged, 0E0) + coalesce(p.mutual, 0E0), 6) AS similarity
+    FROM p FULL OUTER JOIN q ON p.category = q.category AND p.i = q.i AND p.j = q.j"""
 
 
 @operator
@@ -130,14 +135,24 @@ def skeleton_compare(d):
     FROM m LEFT JOIN r ON m.category = r.category GROUP BY m.category"""
 
 
+@fixture
+def touched(d):
+    """(record, factor) where the factor or one of its parents is present: treatment, stratum of parents, and whether the outcome is severe."""
+    return """SELECT t.factor, t.z, t.x, CASE WHEN r.sev_ordinal >= 3 THEN 1 ELSE 0 END AS y FROM (
+      SELECT coalesce(p.record_id, s.record_id) AS record_id, coalesce(p.factor_type, s.factor) AS factor, CASE WHEN p.record_id IS NOT NULL THEN 1 ELSE 0 END AS x, coalesce(s.z, '') AS z
+      FROM causal_presence p FULL OUTER JOIN strata s ON p.record_id = s.record_id AND p.factor_type = s.factor) t
+    JOIN records r ON r.record_id = t.record_id"""
+
+
 @fixture
 def cells(d):
-    """Per record: target severe, treatment and up to three parents of it as a stratum."""
-    return """SELECT r.record_id, CASE WHEN r.sev_ordinal >= 3 THEN 1 ELSE 0 END AS y, x.factor AS factor,
-      CASE WHEN p.record_id IS NOT NULL THEN 1 ELSE 0 END AS x, coalesce(z.z, '') AS z
-    FROM records r CROSS JOIN (SELECT DISTINCT factor_type AS factor FROM causal_presence) x
-    LEFT JOIN causal_presence p ON p.record_id = r.record_id AND p.factor_type = x.factor
-    LEFT JOIN strata z ON z.record_id = r.record_id AND z.factor = x.factor"""
+    """Counts of a factor's strata; records without the factor and its parents are counted as the rest of all."""
+    return """SELECT factor, z, sum(nz) AS nz, sum(n1) AS n1, sum(n0) AS n0, sum(y1) AS y1, sum(y0) AS y0 FROM (
+      SELECT g.factor, coalesce(g.z, '') AS z, CASE WHEN g.whole = 1 THEN a.n - g.nz ELSE g.nz END AS nz, CASE WHEN g.whole = 1 THEN 0 ELSE g.n1 END AS n1, CASE WHEN g.whole = 1 THEN a.n - g.nz ELSE g.nz - g.n1 END AS n0,
+        CASE WHEN g.whole = 1 THEN 0 ELSE g.y1 END AS y1, CASE WHEN g.whole = 1 THEN a.y - g.y1 - g.y0 ELSE g.y0 END AS y0
+      FROM (SELECT factor, z, grouping(z) AS whole, count(*) AS nz, sum(x) AS n1, sum(x * y) AS y1, sum((1 - x) * y) AS y0 FROM touched GROUP BY GROUPING SETS ((factor, z), (factor))) g
+      CROSS JOIN (SELECT count(*) AS n, count(*) FILTER (WHERE sev_ordinal >= 3) AS y FROM records) a) c
+    GROUP BY factor, z HAVING sum(nz) > 0"""
 
 
 @fixture
@@ -158,8 +173,7 @@ def effects(d):
       SELECT g.factor, sum(g.nz) AS n, sum(g.n1) AS n1, (sum(g.y1) + 1.0E0) / (sum(g.n1) + 2.0E0) AS crude1, (sum(g.y0) + 1.0E0) / (sum(g.n0) + 2.0E0) AS crude0,
         sum(g.nz * CASE WHEN g.n1 > 0 THEN (g.y1 + 1.0E0) / (g.n1 + 2.0E0) ELSE (g.y1 + g.y0 + 1.0E0) / (g.nz + 2.0E0) END) / sum(g.nz) AS adj1,
         sum(g.nz * CASE WHEN g.n0 > 0 THEN (g.y0 + 1.0E0) / (g.n0 + 2.0E0) ELSE (g.y1 + g.y0 + 1.0E0) / (g.nz + 2.0E0) END) / sum(g.nz) AS adj0
-      FROM (SELECT factor, z, count(*) AS nz, count(*) FILTER (WHERE x = 1) AS n1, count(*) FILTER (WHERE x = 0) AS n0,
-          count(*) FILTER (WHERE x = 1 AND y = 1) AS y1, count(*) FILTER (WHERE x = 0 AND y = 1) AS y0 FROM cells GROUP BY factor, z) g
+      FROM cells g
       GROUP BY g.factor) e"""
 
 
