@@ -13,6 +13,7 @@ from causaloom.functions import physics_sql as px
 from causaloom.functions import vocab
 from causaloom.operators import dedupe, networks, noisyor, stats, text
 from causaloom.operators.components import connected_components
+from causaloom.plans import catalog, registry  # noqa: F401  (registers the operators)
 from causaloom.sources import loaders, sinks
 from causaloom.streaming import incremental
 
@@ -176,3 +177,78 @@ def test_streamed_edges_equal_the_batch(spark, tmp_path):
 
 def test_frames_of_fitted_models(spark):
     assert isinstance(stats.stall_prior(spark).toPandas(), pd.DataFrame)
+
+
+def test_primary_cause_and_cause_strings(spark):
+    findings = spark.createDataFrame([(1, 1, "", "first"), (1, 2, "F", "second"), (1, 3, "C", "third"), (2, 1, "", "none"), (3, 1, None, "none")], "ev_id long, pos int, cause_factor string, description string")
+    entries = spark.createDataFrame([(1, 1, "C", "ICE", "ON WING"), (2, 1, "F", "FUEL", ""), (2, 2, "C", "ROTOR", "None"), (2, 3, "c", "GEAR", "BENT"), (3, 1, "", "WIND", "")], "ev_id long, pos int, cause_factor string, subject string, modifier string")
+    got = registry.apply("primary_cause", spark, findings=findings, coded_sequence=entries).collect()
+    assert {r.ev_id: r.primary_cause for r in got} == {1: "second", 2: "ROTOR", 3: None}
+    got = registry.apply("cause_strings", spark, findings=findings, coded_sequence=entries).collect()
+    assert {r.ev_id: (r.causes, r.n) for r in got} == {1: ("second|third|ICE (ON WING)", 3), 2: ("ROTOR|GEAR (BENT)", 2)}
+
+
+def test_tails_once_each_in_order(spark):
+    texts = spark.createDataFrame([(1, "N12AB and C-FABC, then N12AB again"), (2, "none")], "c_custkey long, t string")
+    got = {r.c_custkey: r.tails.split() for r in registry.apply("extract_tails", spark, tail_texts=texts).collect()}
+    assert got[2] == [] and len(got[1]) == len(set(got[1])) and {"N12AB", "C-FABC"} <= set(got[1])
+
+
+def test_pair_similarity_from_margins(spark):
+    counts = {("a", "b"): 6, ("a", "c"): 1, ("b", "c"): 1, ("c", "d"): 4}
+    pairs = spark.createDataFrame([("k", *p, n) for (x, y), n in counts.items() for p in ((x, y), (y, x))], "category string, i string, j string, cooccur long")
+    judged = spark.createDataFrame([("k", "a", "b", "concurrent", 0.5), ("k", "b", "d", "a_before_b", 0.5), ("k", "a", "c", None, 0.9)], "category string, a string, b string, relation string, confidence double")
+    got = {(r.i, r.j): r.similarity for r in registry.apply("pmi_similarity", spark, pair_counts=pairs, judgments=judged).collect()}
+    total, margin = 24, {"a": 7, "b": 7, "c": 6, "d": 4}
+    want = {p: 0.05 * max(0.0, math.log(n * total / (margin[p[0]] * margin[p[1]]))) for p, n in counts.items()}
+    want["a", "b"] += 0.5
+    want["b", "d"] = 0.3
+    assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_laplacian_kernel(spark):
+    rows = [("k", "a", "b", 1.0), ("k", "b", "c", 0.5), ("k", "c", "d", 0.25)]
+    got = {(r.i, r.j): r.prior for r in networks.laplacian_prior(spark.createDataFrame(rows, "category string, i string, j string, similarity double")).collect()}
+    s = np.zeros((4, 4))
+    for _, i, j, v in rows:
+        s["abcd".index(i), "abcd".index(j)] = s["abcd".index(j), "abcd".index(i)] = v
+    v = np.linalg.eigh(np.diag(s.sum(1)) - s)[1][:, 1:]
+    d2 = np.array([[((x - y) ** 2).sum() for y in v] for x in v])
+    scale = np.median(d2[d2 > 0])
+    assert got == pytest.approx({(a, b): math.exp(-d2["abcd".index(a), "abcd".index(b)] / scale) for a, b in itertools.combinations("abcd", 2)})
+
+
+def test_search_goes_on_beyond_three_neighbours():
+    """x and y depend on four common causes, and on nothing else together: only all four part them."""
+    rng = np.random.default_rng(4)
+    z = rng.random((60_000, 4)) < 0.5
+    share = 0.06 + 0.22 * z.sum(1)
+    x, y = (rng.random(60_000) < share for _ in range(2))
+    table, counts = np.unique(np.column_stack([z, x, y]), axis=0, return_counts=True)
+    arrows, plain = networks.pc(table, counts.astype(float), alpha=0.001)
+    assert not {(4, 5), (5, 4)} & (arrows | plain) and len(arrows | plain) >= 8
+
+
+def test_adjusted_effects_by_hand(spark):
+    rng = random.Random(8)
+    have = {i: {f for f in "abcd" if rng.random() < 0.4} for i in range(200)}
+    severe = {i: rng.random() < 0.2 + 0.3 * ("a" in f) for i, f in have.items()}
+    parents = {"a": [], "b": ["a"], "c": ["a", "b"], "d": ["c"]}
+    got = registry.apply(
+        "backdoor_effect", spark,
+        records=spark.createDataFrame([(i, 4 if s else 1) for i, s in severe.items()], "record_id long, sev_ordinal int"),
+        causal_presence=spark.createDataFrame([(i, f) for i, fs in have.items() for f in fs], "record_id long, factor_type string"),
+        parents=spark.createDataFrame([(f, p) for f, ps in parents.items() for p in ps], "factor string, parent string"),
+    ).collect()
+    want = {}
+    for f, ps in parents.items():
+        arms = []
+        for treated in (True, False):
+            total = 0.0
+            for pattern in {frozenset(have[i] & set(ps)) for i in have}:
+                stratum = [i for i in have if have[i] & set(ps) == pattern]
+                arm = [i for i in stratum if (f in have[i]) == treated] or stratum
+                total += len(stratum) * (sum(severe[i] for i in arm) + 1) / (len(arm) + 2)
+            arms.append(total / len(have))
+        want[f] = arms
+    assert {r.factor: [r.p_do_1, r.p_do_0] for r in got} == {f: pytest.approx(v, abs=1e-6) for f, v in want.items()}
