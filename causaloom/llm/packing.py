@@ -20,7 +20,9 @@ partition.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +34,26 @@ from pyspark.sql import functions as F
 from ._common import CACHE_WORDS, as_binary, pieces, stored
 
 CAPACITY, END_ID = 2048, 1
-#: Words of more bytes are encoded each time and not remembered.
-LONGEST_WORD = 64
+#: Longer runs are encoded each time and not remembered.
+LONGEST_RUN = 64
+
+
+#: Characters of the texts that are cut here entirely; other words are left to the tokenizer whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_PLAIN = re.compile(f"[\\t-\\r -~{_LETTERS}]*")
+#: Fixed values of the tokenizer file: contractions, letters, single digits, other signs.
+_RUNS = f"[{_LETTERS}]+|'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[0-9]|[^\\t-\\r {_LETTERS}0-9]+"
+_CUT = re.compile(_RUNS)
+_CUT_MIXED = re.compile(f"(?<![^\\t-\\r ])[^\\t-\\r ]*(?:[^\\t-\\r -~{_LETTERS}]|<\\|)[^\\t-\\r ]*|{_RUNS}")
 
 
 class Ids:
-    """Token ids of texts by a tokenizer that drops white space and looks at words one by one; remembers words."""
+    """Token ids of texts by a tokenizer that drops white space and case and looks at words one by one.
+
+    Texts are cut into runs of letters, digits and signs; ids of runs are remembered, so
+    only what is new is encoded.  A word with other letters or a special token is a run.
+    The memory starts afresh at CACHE_WORDS runs, the generation before at hand.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
@@ -45,35 +61,45 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def of(self, texts: list[bytes], end: int) -> list[bytes]:
+    def of(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id as little-endian numbers of ``kind``."""
-        split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.known]
+        cut = [_CUT.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else _CUT_MIXED.findall(t) for t in texts]
+        new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(set().union(*split))
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        now = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found, strict=True)}
-        self.known |= now
-        last, known = np.array([end], self.kind).tobytes(), self.known
-        out = [b"".join([known[w] for w in words]) + last for words in split]
-        for w in new:
-            if len(w) > LONGEST_WORD:
-                del known[w]
+            self.known, self.older = {}, self.known
+            new = set().union(*cut)
+        known, older = self.known, self.older
+        known.update((run, older[run]) for run in new if run in older)
+        new = list(new.difference(known))
+        for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[run] = np.array(e.ids, self.kind).tobytes()
+        last = np.array([end], self.kind).tobytes()
+        out = [b"".join(map(known.__getitem__, runs)) + last for runs in cut]
+        for run in new:
+            if len(run) > LONGEST_RUN:
+                del known[run]
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def _ids(path: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """(part, row, doc_id, n, ids) of every row, stored: ``part`` and ``row`` name a row, ids are 2 bytes each (4 if the vocabulary needs them)."""
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def made(batches):
-        ids, part, row = Ids(tokenizer), TaskContext.get().partitionId(), 0
+        ids, part, row = _ids(tokenizer), TaskContext.get().partitionId(), 0
         size = np.dtype(ids.kind).itemsize
         for whole in batches:
             for batch in pieces(whole):
-                found = ids.of(as_binary(batch.column(1)).to_pylist(), end_id)
+                found = ids.of(batch.column(1).to_pylist(), end_id)
                 n = len(found)
                 arrays = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0), pa.array([len(x) // size for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array(np.full(n, size, np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["part", "row", "doc_id", "n", "ids", "id_bytes"])
