@@ -36,6 +36,8 @@ from ._common import CACHE_WORDS, as_binary, pieces, stored
 CAPACITY, END_ID = 2048, 1
 #: Longer runs are encoded each time and not remembered.
 LONGEST_RUN = 64
+#: Runs that are encoded at a time, and rows and bytes of texts that are cut at a time.
+RUNS, ROWS, BYTES = 64, 256, 2_000_000
 
 
 #: Characters of the texts that are cut here entirely; other words are left to the tokenizer whole.
@@ -61,6 +63,11 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -74,8 +81,7 @@ class Ids:
         known, older = self.known, self.older
         known.update((run, older[run]) for run in new if run in older)
         new = list(new.difference(known))
-        for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[run] = np.array(e.ids, self.kind).tobytes()
+        self._encode(new)
         last = np.array([end], self.kind).tobytes()
         out = [b"".join(map(known.__getitem__, runs)) + last for runs in cut]
         for run in new:
@@ -83,10 +89,24 @@ class Ids:
                 del known[run]
         return out
 
+    def _encode(self, new: list[str]) -> None:
+        """Puts the ids of runs into ``known``; runs of plain letters, words to the tokenizer, are encoded RUNS at a time."""
+        plain, size = [r for r in new if _PLAIN.fullmatch(r) and "<|" not in r], np.dtype(self.kind).itemsize
+        groups = [plain[k : k + RUNS] for k in range(0, len(plain), RUNS)]
+        for runs, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids)
+            ends = (size * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(runs):
+                data = ids.astype(self.kind).tobytes()
+                self.known.update(zip(runs, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [r for r in new if r not in self.known]
+        for run, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[run] = np.array(e.ids, self.kind).tobytes()
+
 
 @functools.lru_cache(maxsize=2)
 def _ids(path: str) -> Ids:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker; a task begins and ends with an empty memory."""
     return Ids(path)
 
 
@@ -97,13 +117,15 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def made(batches):
         ids, part, row = _ids(tokenizer), TaskContext.get().partitionId(), 0
         size = np.dtype(ids.kind).itemsize
+        ids.forget()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, ROWS, BYTES):
                 found = ids.of(batch.column(1).to_pylist(), end_id)
                 n = len(found)
                 arrays = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0), pa.array([len(x) // size for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array(np.full(n, size, np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["part", "row", "doc_id", "n", "ids", "id_bytes"])
                 row += n
+        ids.forget()
 
     return stored(given.mapInArrow(made, f"part int, row long, doc_id {dict(given.dtypes)['doc_id']}, n long, ids binary, id_bytes int"), "tokens")
 
