@@ -55,25 +55,30 @@ def independent(patterns: np.ndarray, counts: np.ndarray, i: int, j: int, given:
     return df == 0 or chi2_tail(stat, df) > alpha
 
 
-def pc(patterns: np.ndarray, counts: np.ndarray, alpha: float = 0.05) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """(directed, undirected) edges: stable skeleton, colliders (first found wins a conflict), Meek's rules 1 to 3."""
-    k = patterns.shape[1]
+def skeleton(k: int, test, depth: int = -1) -> tuple[dict[int, set[int]], dict[frozenset, tuple[int, ...]]]:
+    """(neighbours, separating sets) of k variables by the order-free search; ``test(i, j, given)`` says independent."""
     near = {i: set(range(k)) - {i} for i in range(k)}
     apart: dict[frozenset, tuple[int, ...]] = {}
     for size in itertools.count():
         frozen = {i: sorted(near[i]) for i in near}
-        if all(len(others) <= size for others in frozen.values()):
-            break
+        if all(len(others) <= size for others in frozen.values()) or 0 <= depth < size:
+            return near, apart
         for i in range(k):
             for j in frozen[i]:
                 if j not in near[i]:
                     continue
                 for given in itertools.combinations([x for x in frozen[i] if x != j], size):
-                    if independent(patterns, counts, i, j, given, alpha):
+                    if test(i, j, given):
                         near[i].discard(j)
                         near[j].discard(i)
                         apart[frozenset((i, j))] = given
                         break
+
+
+def pc(patterns: np.ndarray, counts: np.ndarray, alpha: float = 0.05) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """(directed, undirected) edges: stable skeleton, colliders (first found wins a conflict), Meek's rules 1 to 3."""
+    k = patterns.shape[1]
+    near, apart = skeleton(k, lambda i, j, given: independent(patterns, counts, i, j, given, alpha))
     arrows: set[tuple[int, int]] = set()
     for z in range(k):
         for x, y in itertools.combinations(sorted(near[z]), 2):
