@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder (a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causaloom-"))
-    return df.checkpoint()
+from .shared import once
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root), the smallest node reachable; isolated nodes do not appear."""
     half = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
-    both = _cut(half.union(half.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
-    for _ in range(most_rounds):
+    both = once(half.union(half.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = once(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    while True:  # labels only fall, so it ends
         near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = hooked.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        jumped = _cut(hooked.join(up, F.col("root") == F.col("up"), "left").select("node", "old", F.least("root", F.coalesce("up_root", "root")).alias("root")))
+        jumped = once(hooked.join(up, F.col("root") == F.col("up"), "left").select("node", "old", F.least("root", F.coalesce("up_root", "root")).alias("root")))
         labels = jumped.select("node", "root")
         if not jumped.filter("old <> root").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")

@@ -12,4 +12,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     found = {name: registry.oracle(name) for name in registry.OPERATORS}
-    return found | {"near_duplicates": registry.statement(custom.near_duplicates_oracle(DUCK), DUCK)}
+    return found | {name: registry.statement(body(DUCK), DUCK) for name, body in custom.ORACLES.items()}

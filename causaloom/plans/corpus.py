@@ -255,16 +255,40 @@ def finding_group(d):
 
 @operator
 def supervision_block(d):
-    """Sequence entries (at most thirty) and findings (at most fifteen) as lines of a prompt, with notes on how many are left out."""
+    """Coded causes, occurrences, sequence entries (at most thirty), findings (at most fifteen), injuries and damage of an event as the lines of a prompt.
+
+    Events without a cause, a sequence and findings have no block.  An event that only
+    ``coded_sequence`` or ``findings`` know has no cause, injury and damage lines.
+    """
     flag = "CASE WHEN trim(coalesce(cause_factor, '')) = '' THEN '-' ELSE trim(cause_factor) END"
     entry = f"CASE WHEN pos <= 30 AND trim(subject) NOT IN ('', 'None') THEN concat('  [occ ', coalesce(CAST(occurrence AS {d.S}), '?'), '] [', {flag}, '] ', trim(subject), CASE WHEN trim(coalesce(modifier, '')) = '' THEN '' ELSE concat(' - ', trim(modifier)) END) END"
     finding = f"CASE WHEN pos <= 15 THEN concat('  [', {flag}, '] ', coalesce(nullif(trim(description), ''), '?')) END"
+    place = f"concat('  ', CAST(pos AS {d.S}), '. ', coalesce(nullif(trim(code_text), ''), '?'), CASE WHEN trim(coalesce(phase_text, '')) = '' THEN '' ELSE concat(' (phase: ', trim(phase_text), ')') END)"
+    br = "chr(10)"
 
     def part(title, line, most, what, rows):
-        return f"SELECT ev_id, concat('{title}: ', coalesce({d.joined(line, 'pos', '; ')}, ''), CASE WHEN count(*) > {most} THEN concat('; ... (', CAST(count(*) - {most} AS {d.S}), ' more {what} omitted)') ELSE '' END) AS lines FROM {rows} GROUP BY ev_id"
-
-    return f"""WITH entry_lines AS ({part('Sequence of events', entry, 30, 'entries', 'coded_sequence')}), finding_lines AS ({part('Findings', finding, 15, 'findings', 'findings')})
-    SELECT coalesce(a.ev_id, b.ev_id) AS ev_id, concat(coalesce(a.lines, ''), CASE WHEN a.lines IS NOT NULL AND b.lines IS NOT NULL THEN '; ' ELSE '' END, coalesce(b.lines, '')) AS block FROM entry_lines a FULL OUTER JOIN finding_lines b ON a.ev_id = b.ev_id"""
+        more = f"CASE WHEN count(*) > {most} THEN concat({br}, '  ... (', CAST(count(*) - {most} AS {d.S}), ' more {what} omitted)') ELSE '' END" if most else "''"
+        listed = d.joined(line, "pos", "#BR#")
+        return f"SELECT ev_id, concat('{title}:', CASE WHEN coalesce({listed}, '') = '' THEN '' ELSE concat({br}, {listed}) END, {more}) AS lines FROM {rows} GROUP BY ev_id".replace("'#BR#'", br)
+
+    def after(x):
+        return f"CASE WHEN {x} IS NULL THEN '' ELSE concat({br}, {x}) END"
+
+    def said(title, x):
+        return f"CASE WHEN {x} IS NULL THEN '' ELSE concat({br}, '{title}: ', {x}) END"
+
+    def some(x):
+        return f"nullif(trim({x}), '')"
+
+    hurt = f"CASE WHEN fatal IS NULL AND serious IS NULL AND minor IS NULL AND unhurt IS NULL THEN NULL ELSE concat('Injury: ', {', '.join(f"CAST(coalesce({c}, 0) AS {d.S}), ' {name}{sep}'" for c, name, sep in (('fatal', 'fatal', ', '), ('serious', 'serious', ', '), ('minor', 'minor', ', '), ('unhurt', 'none', '')))}) END"
+    return f"""WITH entry_lines AS ({part('Sequence of events', entry, 30, 'entries', 'coded_sequence')}), finding_lines AS ({part('Findings', finding, 15, 'findings', 'findings')}),
+    place_lines AS ({part('Occurrences', place, 0, '', 'occurrences')}),
+    coded AS (SELECT coalesce(a.ev_id, b.ev_id) AS ev_id, a.lines AS entry_part, b.lines AS finding_part FROM entry_lines a FULL OUTER JOIN finding_lines b ON a.ev_id = b.ev_id),
+    whole AS (SELECT ev_id, {some('primary_cause_text')} AS first_cause, {some('secondary_cause_text')} AS second_cause, {hurt} AS hurt, {some('damage')} AS damage FROM structured)
+    SELECT coalesce(w.ev_id, c.ev_id) AS ev_id, concat('STRUCTURED FINDINGS (official investigation):', {said('Primary cause', 'first_cause')}, {said('Secondary cause', 'second_cause')}, {after('p.lines')}, {after('entry_part')}, {after('finding_part')},
+      CASE WHEN hurt IS NULL AND damage IS NULL THEN '' ELSE concat({br}, coalesce(hurt, ''), CASE WHEN hurt IS NOT NULL AND damage IS NOT NULL THEN '. ' ELSE '' END, CASE WHEN damage IS NULL THEN '' ELSE concat('Aircraft damage: ', damage) END, '.') END) AS block
+    FROM whole w FULL OUTER JOIN coded c ON w.ev_id = c.ev_id LEFT JOIN place_lines p ON p.ev_id = coalesce(w.ev_id, c.ev_id)
+    WHERE first_cause IS NOT NULL OR entry_part IS NOT NULL OR finding_part IS NOT NULL"""
 
 
 @operator

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, networks, noisyor, stats, text
+from ..operators import ancestral, dedupe, effects, networks, noisyor, stats, text
+from ..operators.shared import once
 from .registry import OPERATORS, custom, query
 
 
@@ -73,6 +74,55 @@ def bootstrap_stability(spark, sf_dir):
     return networks.bootstrap_stability(query("presence_patterns")(spark, sf_dir))
 
 
+@custom
+def pag_edges(spark, sf_dir):
+    """Partial ancestral graphs of all categories: what remains if hidden causes and selection are allowed."""
+    return ancestral.fci_by_category(query("outcome_patterns")(spark, sf_dir))
+
+
+@custom
+def pag_marks(spark, sf_dir):
+    """How many edges of each kind the partial ancestral graph of a category has."""
+    return ancestral.edge_kinds(pag_edges(spark, sf_dir))
+
+
+def _stable(spark, sf_dir):
+    patterns = once(query("presence_patterns")(spark, sf_dir))
+    return once(networks.pc_by_category(patterns).filter("directed")), once(networks.bootstrap_stability(patterns))
+
+
+@custom
+def stable_network(spark, sf_dir):
+    """The twelve edges of most support of each category's network among those found in half of the redraws."""
+    edges, stability = _stable(spark, sf_dir)
+    return effects.strongest_edges(edges.join(query("category_edges")(spark, sf_dir), ["category", "src", "dst"]), stability)
+
+
+@custom
+def category_effects(spark, sf_dir):
+    """Crude and adjusted effects by category, adjusted for the three most frequent factors that lead to a factor there."""
+    patterns, parents = once(query("outcome_patterns")(spark, sf_dir)), query("category_parents")(spark, sf_dir)
+    sets = once(effects.adjustment_sets(patterns, parents))
+    found = effects.adjusted_effects(effects.effect_cells(patterns, sets), sets)
+    return found.select("category", "factor", F.array_join("adjustment", "|").alias("adjustment"), "n", "n_present", *[F.round(c, 6).alias(c) for c in ("crude", "p0", "p1", "adjusted", "shift")])
+
+
+@custom
+def do_intervals(spark, sf_dir):
+    """Interventions of every category by the parents of its stable network, with intervals of 400 redraws."""
+    found = effects.interventions(once(query("outcome_patterns")(spark, sf_dir)), effects.stable_parents(*_stable(spark, sf_dir)))
+    return found.withColumn("adjustment", F.array_join("adjustment", "|"))
+
+
+@custom
+def hidden_causes(spark, sf_dir):
+    """Adjusted effects against the partial ancestral graph, with E-values of effect and bound."""
+    patterns = once(query("outcome_patterns")(spark, sf_dir))
+    found = once(effects.interventions(patterns, effects.stable_parents(*_stable(spark, sf_dir))))
+    checked = effects.hidden_cause_check(patterns, found, ancestral.relations(once(ancestral.fci_by_category(patterns))))
+    return checked.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in checked.dtypes])
+
+
 @custom
 def acyclic_edges(spark, sf_dir):
     return networks.break_cycles(query("dense_edges")(spark, sf_dir).withColumnRenamed("direction_score", "score").select("category", "src", "dst", "score", "support"))
@@ -124,8 +174,30 @@ def permuted_drivers(spark, sf_dir):
     return stats.permuted_pairs(w.select("record_id"), w.select(F.col("record_id").alias("from_record"), "t_c", "td_c", "wind_kts"))
 
 
+def category_effects_oracle(d):
+    """The effects of ``category_effects`` record by record: every record of a category against every factor."""
+    return """WITH vectors AS (SELECT r.record_id, r.category, r.sev_ordinal >= 3 AS severe, list(DISTINCT n.factor_type) FILTER (n.factor_type NOT LIKE 'PURCHASE%') AS f
+        FROM records r JOIN nodes n USING (record_id) GROUP BY ALL),
+    support AS (SELECT category, factor, count(*) AS k FROM (SELECT category, unnest(f) AS factor FROM vectors) GROUP BY ALL HAVING count(*) >= 30),
+    led AS (SELECT v.category, t.factor_type AS factor, s.factor_type AS parent, count(DISTINCT l.record_id) AS c FROM links l JOIN vectors v USING (record_id)
+      JOIN nodes s ON s.record_id = l.record_id AND s.idx = l.src_idx JOIN nodes t ON t.record_id = l.record_id AND t.idx = l.dst_idx
+      WHERE s.factor_type <> t.factor_type AND s.factor_type NOT LIKE 'PURCHASE%' AND t.factor_type NOT LIKE 'PURCHASE%' GROUP BY ALL HAVING count(DISTINCT l.record_id) >= 30),
+    sets AS (SELECT s.category, s.factor, coalesce(list(p.parent ORDER BY p.k DESC, p.parent) FILTER (p.parent IS NOT NULL), [])[1:3] AS z FROM support s
+      LEFT JOIN (SELECT led.*, q.k FROM led JOIN support q ON q.category = led.category AND q.factor = led.parent) p ON p.category = s.category AND p.factor = s.factor GROUP BY ALL),
+    rows AS (SELECT v.category, s.factor, s.z, list_contains(coalesce(v.f, []), s.factor) AS x, list_transform(s.z, lambda p: list_contains(coalesce(v.f, []), p)) AS stratum, v.severe FROM vectors v JOIN sets s ON s.category = v.category),
+    counted AS (SELECT category, factor, z, stratum, count(*) AS n, count(*) FILTER (severe) AS y, count(*) FILTER (x) AS n1, count(*) FILTER (x AND severe) AS y1, count(*) FILTER (NOT x) AS n0, count(*) FILTER (NOT x AND severe) AS y0 FROM rows GROUP BY ALL),
+    done AS (SELECT category, factor, z, sum(n) AS n, sum(n1) AS n1, (sum(y1) + 1) / (sum(n1) + 2) - (sum(y0) + 1) / (sum(n0) + 2) AS crude, sum(n0) AS n0,
+      sum(n * CASE WHEN n0 > 0 THEN (y0 + 1) / (n0 + 2) ELSE (y + 1) / (n + 2) END) / sum(n) AS p0, sum(n * CASE WHEN n1 > 0 THEN (y1 + 1) / (n1 + 2) ELSE (y + 1) / (n + 2) END) / sum(n) AS p1, sum(y) / sum(n) AS mean FROM counted GROUP BY ALL),
+    fair AS (SELECT category, factor, z, n, n1, CASE WHEN n0 > 0 THEN crude END AS crude, CASE WHEN n0 = 0 AND len(z) = 0 THEN mean ELSE p0 END AS p0, p1 FROM done)
+    SELECT category, factor, array_to_string(z, '|') AS adjustment, CAST(n AS BIGINT) AS n, CAST(n1 AS BIGINT) AS n_present, round(crude, 6) AS crude, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p1 - p0, 6) AS adjusted, round(crude - (p1 - p0), 6) AS shift FROM fair"""
+
+
 def near_duplicates_oracle(d):
     """The pairs of ``near_duplicates`` by a join of all shingles."""
     return """WITH n AS (SELECT doc_id, count(*) AS n FROM doc_shingles GROUP BY doc_id),
     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM doc_shingles a JOIN doc_shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
     SELECT c.a, c.b, round(CAST(c.k AS DOUBLE) / (x.n + y.n - c.k), 6) AS jaccard FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE CAST(c.k AS DOUBLE) / (x.n + y.n - c.k) >= 0.8"""
+
+
+#: Queries that SQL can check, by statements of their own.
+ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle}

@@ -89,27 +89,42 @@ def structured(d):
     """Orders as events with their coded outcome."""
     return """SELECT o_orderkey AS ev_id, o_orderstatus, o_orderpriority, o_custkey, o_totalprice,
       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 23 END AS fatal, o_orderkey % 7 AS serious, o_orderkey % 3 AS minor,
-      CASE o_orderkey % 6 WHEN 0 THEN 'DEST' WHEN 1 THEN 'SUBS' WHEN 2 THEN 'MINR' WHEN 3 THEN 'NONE' ELSE NULL END AS damage FROM orders"""
+      CASE o_orderkey % 6 WHEN 0 THEN 'DEST' WHEN 1 THEN 'SUBS' WHEN 2 THEN 'MINR' WHEN 3 THEN 'NONE' ELSE NULL END AS damage,
+      o_orderkey % 4 AS unhurt, CASE WHEN o_orderkey % 3 = 0 THEN concat(' ', o_orderpriority, ' ') WHEN o_orderkey % 3 = 1 THEN '' END AS primary_cause_text,
+      CASE WHEN o_orderkey % 9 = 0 THEN o_orderstatus END AS secondary_cause_text FROM orders"""
+
+
+@fixture
+def occurrences(d):
+    """Coded occurrences of an event, in order."""
+    return "SELECT ev_id, pos, description AS code_text, CASE WHEN pos = 1 THEN ' CRUISE' ELSE '' END AS phase_text FROM findings WHERE pos <= 2"
+
+
+@fixture
+def vocabulary(d):
+    """Factors that count, and which of them are outcomes; users bind their own."""
+    return "SELECT factor_type, is_outcome FROM (VALUES " + ", ".join(f"('{e}_{k}', {'TRUE' if e == 'PURCHASE' else 'FALSE'})" for e in ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW") for k in range(3)) + ") AS v(factor_type, is_outcome)"
 
 
 @fixture
 def presence(d):
-    """Distinct (record, factor)."""
-    return "SELECT DISTINCT record_id, factor_type FROM nodes"
+    """Distinct (record, factor) of the vocabulary."""
+    return "SELECT DISTINCT n.record_id, n.factor_type, v.is_outcome FROM nodes n JOIN vocabulary v ON n.factor_type = v.factor_type"
 
 
 @fixture
 def causal_presence(d):
-    return "SELECT DISTINCT n.record_id, r.category, r.sev_ordinal, n.factor_type FROM nodes n JOIN records r ON n.record_id = r.record_id WHERE n.class <> 'outcome'"
+    return "SELECT p.record_id, r.category, r.sev_ordinal, p.factor_type FROM presence p JOIN records r ON p.record_id = r.record_id WHERE NOT p.is_outcome"
 
 
 @fixture
 def record_edges(d):
     """Distinct (record, src, dst) of links between factors that are no outcomes, with the strength of the first link of the pair."""
     return """SELECT l.record_id, s.factor_type AS src, t.factor_type AS dst,
-      min_by(l.strength, l.dst_idx * 1000 + l.link_pos) AS strength
+      min_by(l.strength, (l.dst_idx, l.link_pos)) AS strength
     FROM links l JOIN nodes s ON l.record_id = s.record_id AND l.src_idx = s.idx JOIN nodes t ON l.record_id = t.record_id AND l.dst_idx = t.idx
-    WHERE s.factor_type <> t.factor_type AND s.class <> 'outcome' AND t.class <> 'outcome'
+    JOIN vocabulary vs ON vs.factor_type = s.factor_type JOIN vocabulary vt ON vt.factor_type = t.factor_type
+    WHERE s.factor_type <> t.factor_type AND NOT vs.is_outcome AND NOT vt.is_outcome
     GROUP BY l.record_id, s.factor_type, t.factor_type"""
 
 
@@ -118,7 +133,8 @@ def record_outcomes(d):
     """Distinct (record, src, dst) of links into outcomes."""
     return """SELECT DISTINCT l.record_id, s.factor_type AS src, t.factor_type AS dst
     FROM links l JOIN nodes s ON l.record_id = s.record_id AND l.src_idx = s.idx JOIN nodes t ON l.record_id = t.record_id AND l.dst_idx = t.idx
-    WHERE s.factor_type <> t.factor_type AND s.class <> 'outcome' AND t.class = 'outcome'"""
+    JOIN vocabulary vs ON vs.factor_type = s.factor_type JOIN vocabulary vt ON vt.factor_type = t.factor_type
+    WHERE s.factor_type <> t.factor_type AND NOT vs.is_outcome AND vt.is_outcome"""
 
 
 @fixture

@@ -55,9 +55,9 @@ def outcome_edges(d):
 
 @operator
 def outcome_layer(d):
-    """P(serious or fatal | factor), the baseline over all records, risk ratio, and the three most frequent outcomes."""
+    """For every causal factor: P(serious or fatal | factor), the baseline over all records, risk ratio, and the three most frequent outcomes."""
     return f"""WITH base AS (SELECT avg(CASE WHEN sev_ordinal >= 3 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM records),
-    per AS (SELECT p.factor_type, count(*) AS n_records, avg(CASE WHEN r.sev_ordinal >= 3 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM presence p JOIN records r ON p.record_id = r.record_id GROUP BY p.factor_type),
+    per AS (SELECT p.factor_type, count(*) AS n_records, avg(CASE WHEN p.sev_ordinal >= 3 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM causal_presence p GROUP BY p.factor_type),
     top AS (SELECT src, {d.joined(f"concat(dst, ':', CAST(n AS {d.S}))", 'rn', ';')} AS top_outcomes FROM (
         SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM (SELECT src, dst, count(*) AS n FROM record_outcomes GROUP BY src, dst) c) t WHERE rn <= 3 GROUP BY src)
     SELECT per.factor_type, per.n_records, round(per.p, 6) AS p_serious_or_fatal, round(base.p, 6) AS baseline, round(per.p / nullif(base.p, 0), 6) AS risk_ratio, coalesce(top.top_outcomes, '') AS top_outcomes
@@ -71,9 +71,9 @@ def severity_distribution(d):
 
 @operator
 def kg_summary(d):
-    """Counts of the graph: records, edges, edges of at least 30 records, factors."""
+    """Counts of the graph: records, edges, edges of at least 30 records, causal factors."""
     return """SELECT (SELECT count(DISTINCT record_id) FROM nodes) AS n_records, (SELECT count(*) FROM edge_table) AS n_edges,
-      (SELECT count(*) FROM edge_table WHERE support >= 30) AS n_edges_30, (SELECT count(DISTINCT factor_type) FROM nodes) AS n_factors,
+      (SELECT count(*) FROM edge_table WHERE support >= 30) AS n_edges_30, (SELECT count(DISTINCT factor_type) FROM presence WHERE NOT is_outcome) AS n_factors,
       (SELECT count(DISTINCT category) FROM records) AS n_categories"""
 
 

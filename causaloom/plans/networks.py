@@ -105,6 +105,20 @@ def presence_patterns(d):
     return f"SELECT category, pattern, count(*) AS n FROM (SELECT category, record_id, {d.joined('factor_type')} AS pattern FROM causal_presence GROUP BY category, record_id) t GROUP BY category, pattern"
 
 
+@operator
+def outcome_patterns(d):
+    """Distinct sets of causal factors of all records, the empty one too, with their counts and how many are serious or fatal."""
+    return f"""SELECT category, pattern, count(*) AS n, CAST(sum(y) AS BIGINT) AS y FROM (
+      SELECT r.category, r.record_id, CASE WHEN r.sev_ordinal >= 3 THEN 1 ELSE 0 END AS y, coalesce(p.pattern, '') AS pattern
+      FROM records r LEFT JOIN (SELECT record_id, {d.joined('factor_type')} AS pattern FROM causal_presence GROUP BY record_id) p ON p.record_id = r.record_id) t GROUP BY category, pattern"""
+
+
+@operator
+def category_parents(d):
+    """Factors that lead to a factor in at least thirty records of a category."""
+    return "SELECT category, dst AS factor, src AS parent, support FROM (SELECT r.category, e.src, e.dst, count(*) AS support FROM record_edges e JOIN records r ON e.record_id = r.record_id GROUP BY r.category, e.src, e.dst) t WHERE support >= 30"
+
+
 @operator
 def chisq_pairs(d):
     """Chi-square statistic of every pair of factors within a category."""
@@ -220,15 +234,6 @@ def topk_overlap(d):
     JOIN (SELECT factor FROM (SELECT factor, row_number() OVER (ORDER BY adj1 - adj0 DESC, factor) AS rn FROM effects) b WHERE rn <= 10) b ON a.factor = b.factor"""
 
 
-@operator
-def pag_marks(d):
-    """Edge marks of a partial ancestral graph as classes, with their census."""
-    h = d.md5_number("concat(category, i, j)")
-    return f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN m1 = 'tail' AND m2 = 'arrow' THEN 'directed' WHEN m1 = 'arrow' AND m2 = 'tail' THEN 'reversed' WHEN m1 = 'arrow' AND m2 = 'arrow' THEN 'bidirected'
-        WHEN m1 = 'circle' AND m2 = 'arrow' THEN 'possibly_directed' WHEN m1 = 'arrow' AND m2 = 'circle' THEN 'possibly_reversed' WHEN m1 = 'circle' AND m2 = 'circle' THEN 'undetermined' ELSE 'undirected' END AS kind
-      FROM (SELECT CASE {h} % 3 WHEN 0 THEN 'tail' WHEN 1 THEN 'arrow' ELSE 'circle' END AS m1, CASE CAST(floor({h} / 3) AS BIGINT) % 3 WHEN 0 THEN 'tail' WHEN 1 THEN 'arrow' ELSE 'circle' END AS m2 FROM pair_counts WHERE i < j) t) k GROUP BY kind"""
-
-
 @fixture
 def strengths(d):
     """Leak and link strengths of a leaky noisy-OR for the target: link probability by edges, base rate by presence."""

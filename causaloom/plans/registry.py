@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .dialect import DUCK, SPARK, Spark
 
@@ -91,7 +92,13 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
-    """Run operator ``name`` on the given frames, which stand for its inputs of those names."""
+    """Run operator ``name`` on the given frames, which stand for its inputs of those names.
+
+    Chains (``nodes``) without a ``vocabulary`` (factor_type, is_outcome) take every factor
+    that they have; outcomes are those that some node is classed as.
+    """
+    if "nodes" in frames and "vocabulary" not in frames and {"class", "factor_type"} <= set(frames["nodes"].columns):
+        frames["vocabulary"] = frames["nodes"].groupBy("factor_type").agg(F.max(F.col("class") == "outcome").alias("is_outcome"))
     body = OPERATORS[name](SPARK)
     kept = {n: f for n, f in FIXTURES.items() if n in frames}
     for n in kept:

@@ -78,15 +78,39 @@ def test_evaluation_and_task_operators_take_all_rows(spark):
     assert registry.apply("dryden_gust_stall", spark, speeds=speeds).groupBy("kt").count().filter("count = 46").count() == 3
 
 
-def test_supervision_block_keeps_fifteen_findings_and_thirty_entries(spark):
+def test_supervision_block_lines(spark):
+    """The block that the prompt expects, line by line."""
     findings = spark.createDataFrame([("a", i, "C" if i % 2 else "", f"d{i}") for i in range(1, 18)] + [("b", i, "F", f"e{i}") for i in range(1, 16)], "ev_id string, pos int, cause_factor string, description string")
-    entries = spark.createDataFrame([("a", i, 1, "", "None" if i == 2 else f"s{i}", "m" if i == 1 else None) for i in range(1, 34)] + [("c", 1, 2, "C", "only", "")], "ev_id string, pos int, occurrence int, cause_factor string, subject string, modifier string")
-    got = {r.ev_id: r.block for r in registry.apply("supervision_block", spark, findings=findings, coded_sequence=entries).collect()}
-    sequence = ["  [occ 1] [-] s1 - m"] + [f"  [occ 1] [-] s{i}" for i in range(3, 31)] + ["... (3 more entries omitted)"]
-    coded = [f"  [{'C' if i % 2 else '-'}] d{i}" for i in range(1, 16)] + ["... (2 more findings omitted)"]
-    assert got["a"] == f"Sequence of events: {'; '.join(sequence)}; Findings: {'; '.join(coded)}"
-    assert got["b"] == "Findings: " + "; ".join(f"  [F] e{i}" for i in range(1, 16))
-    assert got["c"] == "Sequence of events:   [occ 2] [C] only"
+    entries = spark.createDataFrame([("a", i, 1, "", "None" if i == 2 else f"s{i}", "m" if i == 1 else None) for i in range(1, 34)] + [("c", 1, 2, "C", "only", "")] + [("n", 1, 1, "", "None", "")], "ev_id string, pos int, occurrence int, cause_factor string, subject string, modifier string")
+    places = spark.createDataFrame([("a", 2, "FIRE", ""), ("a", 1, " LOSS ", "CRUISE "), ("x", 1, "FIRE", "")], "ev_id string, pos int, code_text string, phase_text string")
+    whole = spark.createDataFrame([("a", " wind ", "ice", 1, None, 2, 0, " DEST "), ("b", "", None, None, None, None, None, "SUBS"), ("x", " ", None, 1, 0, 0, 0, "DEST"), ("p", "fuel", "", None, None, None, None, "")],
+                                  "ev_id string, primary_cause_text string, secondary_cause_text string, fatal int, serious int, minor int, unhurt int, damage string")
+    got = {r.ev_id: r.block for r in registry.apply("supervision_block", spark, findings=findings, coded_sequence=entries, occurrences=places, structured=whole).collect()}
+    head = ["STRUCTURED FINDINGS (official investigation):"]
+    sequence = ["Sequence of events:", "  [occ 1] [-] s1 - m"] + [f"  [occ 1] [-] s{i}" for i in range(3, 31)] + ["  ... (3 more entries omitted)"]
+    coded = ["Findings:"] + [f"  [{'C' if i % 2 else '-'}] d{i}" for i in range(1, 16)] + ["  ... (2 more findings omitted)"]
+    causes = ["Primary cause: wind", "Secondary cause: ice", "Occurrences:", "  1. LOSS (phase: CRUISE)", "  2. FIRE"]
+    assert got == {
+        "a": "\n".join(head + causes + sequence + coded + ["Injury: 1 fatal, 0 serious, 2 minor, 0 none. Aircraft damage: DEST."]),
+        "b": "\n".join(head + ["Findings:"] + [f"  [F] e{i}" for i in range(1, 16)] + ["Aircraft damage: SUBS."]),
+        "c": "\n".join(head + ["Sequence of events:", "  [occ 2] [C] only"]),
+        "n": "\n".join(head + ["Sequence of events:"]),
+        "p": "\n".join(head + ["Primary cause: fuel"]),
+    }
+
+
+def test_graph_takes_the_vocabulary_and_its_outcomes(spark):
+    """Factors outside of the vocabulary make no edge; an outcome stays one however a node of it is classed."""
+    chains = {"r1": ["ICE", "FAIL", "CRASH"], "r2": ["ICE", "other", "CRASH"], "r3": ["FAIL"], "r4": ["CRASH", "ICE"]}
+    nodes = spark.createDataFrame([(r, i, "event", f) for r, c in chains.items() for i, f in enumerate(c)], "record_id string, idx int, class string, factor_type string")
+    links = spark.createDataFrame([(r, i, 0, i - 1, "direct") for r, c in chains.items() for i in range(1, len(c))] + [("r1", 2, 1, 0, "direct")], "record_id string, dst_idx int, link_pos int, src_idx int, strength string")
+    records = spark.createDataFrame([("r1", "A", 4), ("r2", "A", 3), ("r3", "A", 0), ("r4", "B", -1)], "record_id string, category string, sev_ordinal int")
+    words = spark.createDataFrame([("ICE", False), ("FAIL", False), ("CRASH", True), ("unused", False)], "factor_type string, is_outcome boolean")
+    given = {"nodes": nodes, "links": links, "records": records, "vocabulary": words}
+    assert [tuple(r) for r in registry.apply("edge_support", spark, **given).collect()] == [("ICE", "FAIL", 1)]
+    assert sorted(tuple(r) for r in registry.apply("outcome_edges", spark, **given).collect()) == [("FAIL", "CRASH", 1), ("ICE", "CRASH", 1)]
+    assert sorted(tuple(r) for r in registry.apply("outcome_layer", spark, **given).collect()) == [("FAIL", 2, 0.5, 0.5, 1.0, "CRASH:1"), ("ICE", 3, 0.666667, 0.5, 1.333333, "CRASH:1")]
+    assert registry.apply("kg_summary", spark, **given).first().n_factors == 2
 
 
 def test_resampled_queries_run_the_whole_study(spark, sf_dir, monkeypatch):
