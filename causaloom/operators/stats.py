@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import once
+
 # Sea-level standard atmosphere.
 T0, P0, LAPSE, R_AIR, G0 = 288.15, 101325.0, 0.0065, 287.05287, 9.80665
 
@@ -102,22 +104,24 @@ def stall_prior(spark: SparkSession, weight_n: float = 1111 * G0, area: float =
     return grid.groupBy("phase", "altitude_kft").applyInPandas(simulate, "phase string, altitude_kft double, p_stall double, low double, high double")
 
 
-def permuted_pairs(left: DataFrame, right: DataFrame, seed: int = 2) -> DataFrame:
-    """Null arm: the rows of ``right`` dealt to those of ``left`` in another, seeded order.
+def numbered(df: DataFrame, salt: int) -> DataFrame:
+    """``df`` with ``_row``: places from 1 in the order of a salted hash of the row.
 
     Places come from a range partitioning on the hash (counts by partition give the
-    offsets), so that no task orders all rows.
+    offsets), so that no task orders all rows; the numbered rows are written once.
     """
+    ids = df.withColumn("_h", F.xxhash64(F.lit(salt), *df.columns)).repartitionByRange(F.col("_h"), *df.columns).sortWithinPartitions("_h", *df.columns)
+    ids = once(ids.drop("_h").withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r.p, r["count"]) for r in ids.groupBy(part.alias("p")).count().collect())  # a row a partition
+    total, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p long, _o long")
+    return ids.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn("_row", F.col("_o") + place + 1).drop("_p", "_o", "_at")
 
-    def numbered(df: DataFrame, salt: int) -> DataFrame:
-        ids = df.withColumn("_h", F.xxhash64(F.lit(salt), *df.columns)).repartitionByRange(F.col("_h")).sortWithinPartitions("_h").withColumn("_p", F.spark_partition_id())
-        ids = ids.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_h", *df.columns)))
-        sizes = sorted((r["_p"], r["count"]) for r in ids.groupBy("_p").count().collect())
-        total, offsets = 0, []
-        for p, n in sizes:
-            offsets.append((p, total))
-            total += n
-        table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _o long")
-        return ids.join(F.broadcast(table), "_p").withColumn("_row", F.col("_o") + F.col("_i")).drop("_h", "_p", "_i", "_o")
 
+def permuted_pairs(left: DataFrame, right: DataFrame, seed: int = 2) -> DataFrame:
+    """Null arm: the rows of ``right`` dealt to those of ``left`` in another, seeded order."""
     return numbered(left, seed).join(numbered(right, seed + 1), "_row").drop("_row")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestral, dedupe, effects, networks, noisyor, stats, text
+from ..operators import ancestral, arms, controls, dedupe, effects, networks, noisyor, stats, text
 from ..operators.shared import once
 from .registry import OPERATORS, custom, query
 
@@ -192,6 +192,33 @@ def category_effects_oracle(d):
     SELECT category, factor, array_to_string(z, '|') AS adjustment, CAST(n AS BIGINT) AS n, CAST(n1 AS BIGINT) AS n_present, round(crude, 6) AS crude, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p1 - p0, 6) AS adjusted, round(crude - (p1 - p0), 6) AS shift FROM fair"""
 
 
+@custom
+def zone_ratio(spark, sf_dir):
+    """Risk of the target by icing zone against routine hours of the same station, month and time of day, relative to other records, with intervals of 2,000 redraws."""
+    windows = controls.hour_windows(_fixture(spark, sf_dir, "routine_hours"))
+    return controls.zone_ratio(once(controls.case_profiles(_fixture(spark, sf_dir, "risk_cases"), windows)))
+
+
+@custom
+def hour_windows(spark, sf_dir):
+    """Routine hours by icing zone within three hours of each hour of the clock, and of the whole month."""
+    return controls.hour_windows(_fixture(spark, sf_dir, "routine_hours"))
+
+
+@custom
+def monitor_arms(spark, sf_dir):
+    """Violations of the guards with true, sign-turned, permuted and foreign drivers."""
+    drivers = _fixture(spark, sf_dir, "clean_weather").select(*arms.DRIVERS)
+    return arms.monitor_arms(_fixture(spark, sf_dir, "guarded"), drivers)
+
+
+def hour_windows_oracle(d):
+    """Every hour of the clock against every hour of its station and month, pair by pair."""
+    zones = ", ".join(f"count(*) FILTER (zone = '{z}') AS n{i}" for i, z in enumerate(controls.ZONES))
+    return f"""WITH clock AS (SELECT unnest(range(24)) AS hour), pairs AS (SELECT h.station, h.month, CAST(c.hour AS INT) AS hour, h.zone FROM routine_hours h JOIN clock c ON least(abs(h.hour - c.hour), 24 - abs(h.hour - c.hour)) <= 3)
+    SELECT station, month, hour, {zones} FROM pairs GROUP BY ALL UNION ALL SELECT station, month, -1, {zones} FROM routine_hours GROUP BY ALL"""
+
+
 def near_duplicates_oracle(d):
     """The pairs of ``near_duplicates`` by a join of all shingles."""
     return """WITH n AS (SELECT doc_id, count(*) AS n FROM doc_shingles GROUP BY doc_id),
@@ -200,4 +227,4 @@ def near_duplicates_oracle(d):
 
 
 #: Queries that SQL can check, by statements of their own.
-ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle}
+ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import physics_sql as px
+from ..operators import arms
 from .registry import fixture, operator
 
 # Aircraft key, wing area (m2), gross mass (kg), largest clean lift coefficient.
@@ -155,16 +156,7 @@ def guard_dispatch(d):
 @operator
 def violation_rate(d):
     """Violations by guard among checkable transitions: with the true margins and with their signs turned."""
-    margin = "greatest(" + ", ".join(px.icing_margin(T, TD, p) for p in px.COOLING) + ")"
-    least = "least(" + ", ".join(px.icing_margin(T, TD, p) for p in px.COOLING) + ")"
-    gust = px.p_exceed_dryden(px.stall_gust(px.f(px.APPROACH_KT)), "wind_kts", px.f(px.APPROACH_KT * px.KT_TO_FPS))
-    over = px.p_exceed_dryden(f"({px.f(1.5 * px.N_LIMIT - 1)} / {px.pratt(px.f(px.VC_KT))})", "wind_kts", px.f(px.VC_KT * px.KT_TO_FPS))
-    need = px.f(px.APPROACH_KT - px.VS_KT)
-    return f"""WITH a AS (SELECT guard,
-      CASE guard WHEN 'carb_icing' THEN t_c IS NOT NULL AND td_c IS NOT NULL WHEN 'stall_prior' THEN false WHEN 'fuel_exhaustion' THEN false ELSE wind_kts IS NOT NULL AND coalesce(phase, '') IN {LOW_PHASES} END AS checkable,
-      CASE guard WHEN 'carb_icing' THEN CASE WHEN {margin} >= 0 THEN 1E0 ELSE 0E0 END WHEN 'gust_stall' THEN {gust} WHEN 'shear_stall' THEN CASE WHEN wind_kts - {need} >= 0 THEN 1E0 ELSE 0E0 END WHEN 'gust_overload' THEN {over} END AS avail,
-      CASE guard WHEN 'carb_icing' THEN CASE WHEN {least} <= 0 THEN 1E0 ELSE 0E0 END WHEN 'gust_stall' THEN 1E0 - {gust} WHEN 'shear_stall' THEN CASE WHEN wind_kts - {need} <= 0 THEN 1E0 ELSE 0E0 END WHEN 'gust_overload' THEN 1E0 - {over} END AS negated
-      FROM guarded WHERE guard IS NOT NULL)
+    return f"""WITH a AS (SELECT guard, {arms.checkable()} AS checkable, {arms.availability()} AS avail, {arms.availability(turned=True)} AS negated FROM guarded WHERE guard IS NOT NULL)
     SELECT guard, count(*) AS n, count(*) FILTER (WHERE checkable) AS n_checkable, count(*) FILTER (WHERE checkable AND avail < 1E-9) AS violations, count(*) FILTER (WHERE checkable AND negated < 1E-9) AS violations_negated FROM a GROUP BY guard"""
 
 
@@ -202,6 +194,22 @@ def zone_relative_risk(d):
     SELECT zone, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_target, round((CAST(sum(y) AS DOUBLE) / nullif(sum(sum(y)) OVER (), 0)) / (CAST(count(*) AS DOUBLE) / sum(count(*)) OVER ()), 6) AS relative_risk FROM z GROUP BY zone"""
 
 
+@fixture
+def risk_cases(d):
+    """Records with weather as cases: a user's months stand for a station's, the target is a factor."""
+    return f"""SELECT w.record_id AS case_id, n.user_id AS station, n.month, n.hour, CASE WHEN e.record_id IS NULL THEN 0 ELSE 1 END AS target, {px.zone(px.p_ice(T, TD))} AS zone
+    FROM clean_weather w JOIN (SELECT record_id, min(user_id) AS user_id, CAST(min(extract(month FROM ts)) AS INT) AS month, CAST(min(extract(hour FROM ts)) AS INT) AS hour FROM (SELECT concat(CAST(user_id AS {d.S}), '_', {d.day('ts')}) AS record_id, user_id, ts FROM events) x GROUP BY record_id) n ON n.record_id = w.record_id
+    LEFT JOIN (SELECT record_id FROM presence WHERE factor_type = 'ERROR_0') e ON e.record_id = w.record_id"""
+
+
+@fixture
+def routine_hours(d):
+    """Hours of a station with their icing zone."""
+    return f"""SELECT station, month, hour, {px.zone(px.p_ice(T, TD))} AS zone FROM (
+      SELECT user_id AS station, CAST(extract(month FROM ts) AS INT) AS month, CAST(extract(hour FROM ts) AS INT) AS hour, (w.temp_f - 32) * 5 / 9 AS t_c, least((w.dew_f - 32) * 5 / 9, (w.temp_f - 32) * 5 / 9) AS td_c
+      FROM events e JOIN weather w ON w.event_id = e.event_id WHERE w.temp_f IS NOT NULL AND w.dew_f IS NOT NULL) h"""
+
+
 @operator
 def weather_join(d):
     """Records with factors and weather, one weather row each."""
