@@ -69,7 +69,7 @@ def adjusted_effects(cells: DataFrame, sets: DataFrame, alpha: float = 1.0) -> D
     """
     one = lambda c, x: F.coalesce(F.sum(F.when(F.col("x") == x, F.col(c))), F.lit(0))
     strata = cells.groupBy("category", "factor", "z").agg(one("n", 1).alias("n1"), one("y", 1).alias("y1"), one("n", 0).alias("n0"), one("y", 0).alias("y0"))
-    risk = lambda y, n: (y + alpha) / (n + 2 * alpha)
+    risk = lambda y, n: F.try_divide(y + alpha, n + 2 * alpha)
     nz, yz = F.col("n1") + F.col("n0"), F.col("y1") + F.col("y0")
     arm = lambda x: F.sum(nz * F.when(F.col(f"n{x}") > 0, risk(F.col(f"y{x}"), F.col(f"n{x}"))).otherwise(risk(yz, nz))) / F.sum(nz)
     total = [F.sum(c).alias(c) for c in ("n1", "y1", "n0", "y0")]
@@ -135,7 +135,7 @@ def interventions(patterns: DataFrame, parents: DataFrame, least: int = 30, most
 
 def e_value(ratio):
     """Least association that a hidden cause needs with factor and outcome to explain a risk ratio away."""
-    r = F.when(ratio < 1, 1 / ratio).otherwise(ratio)
+    r = F.when(ratio < 1, F.try_divide(F.lit(1.0), ratio)).otherwise(ratio)
     return r + F.sqrt(r * (r - 1))
 
 
@@ -160,5 +160,5 @@ def hidden_cause_check(patterns: DataFrame, effects: DataFrame, relations: DataF
     for name in ("definite", "possible"):
         sets = said.select("category", "factor", F.col(name).alias("adjustment"))
         out = out.join(adjusted_effects(effect_cells(patterns, sets), sets).select("category", "factor", F.col("adjusted").alias(f"adjusted_{name}")), ["category", "factor"])
-    ratio, bound = F.col("p1") / F.col("p0"), (F.col("p0") + F.when(F.col("adjusted") > 0, F.col("low")).otherwise(F.col("high"))) / F.col("p0")
+    ratio, bound = F.try_divide("p1", "p0"), F.try_divide(F.col("p0") + F.when(F.col("adjusted") > 0, F.col("low")).otherwise(F.col("high")), F.col("p0"))
     return out.withColumn("risk_ratio", ratio).withColumn("e_value", e_value(ratio)).withColumn("e_value_bound", F.when((bound - 1) * F.col("adjusted") > 0, e_value(bound)).otherwise(F.lit(1.0)))

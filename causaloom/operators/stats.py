@@ -10,7 +10,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import once
 
@@ -45,9 +44,8 @@ def bootstrap_auc(scored: DataFrame, rounds: int = 1000, parts: int = 8, seed: i
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """Stratified folds in id-hash order."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Stratified folds in the order of a hash of key and row; rows without a label of 0 or 1 are in none."""
+    return numbered(rows.filter(F.col(label) == 0), 11).unionByName(numbered(rows.filter(F.col(label) == 1), 11)).withColumn("fold", ((F.col("_row") - 1) % k).cast("int")).drop("_row")
 
 
 def isotonic_out_of_fold(rows: DataFrame, score: str = "score", label: str = "y", key: str = "doc_id", k: int = 5, clip: float = 1e-4) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestral, arms, controls, dedupe, effects, networks, noisyor, stats, text
+from ..operators import ancestral, arms, controls, dedupe, effects, heldout, networks, ranking, noisyor, stats, text
 from ..operators.shared import once
 from .registry import OPERATORS, custom, query
 
@@ -212,6 +212,44 @@ def monitor_arms(spark, sf_dir):
     return arms.monitor_arms(_fixture(spark, sf_dir, "guarded"), drivers)
 
 
+OCCURRENCE = heldout.Columns(categories=["category", "phase"], weather=["t_c", "td_c"])
+
+
+@custom
+def heldout_arms(spark, sf_dir):
+    """Seven arms of the occurrence model on the years from 2015 on."""
+    return heldout.time_split(_fixture(spark, sf_dir, "occurrence_rows"), OCCURRENCE, 2015)[0]
+
+
+@custom
+def drift_windows(spark, sf_dir):
+    """Arms on the years from 2015 on, learned on longer and longer windows."""
+    return heldout.drift_windows(_fixture(spark, sf_dir, "occurrence_rows"), OCCURRENCE, 2015, (2000, 2005, 2010, 2015))
+
+
+@custom
+def score_statistics(spark, sf_dir):
+    """Rank statistics, Brier score and average precision of two scores for two labels, from counts by score."""
+    s = _fixture(spark, sf_dir, "scored")
+    arm = lambda p, y: s.select(F.lit(f"{p}:{y}").alias("arm"), F.col(p).alias("p"), F.col(y).alias("y"))
+    found = ranking.score_summary(ranking.score_table(arm("score", "y").union(arm("score2", "y")).union(arm("score", "y2")).union(arm("score2", "y2"))))
+    return found.select("arm", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("auc", "low", "high", "average_precision", "brier")])
+
+
+def score_statistics_oracle(d):
+    """Pair by pair: every positive against every negative; precision at every score."""
+    return """WITH s AS (SELECT p || ':' || l AS arm, CASE p WHEN 'score' THEN score ELSE score2 END AS p, CASE l WHEN 'y' THEN y ELSE y2 END AS y, doc_id FROM scored, (VALUES ('score'), ('score2')) a(p), (VALUES ('y'), ('y2')) b(l)),
+    pairs AS (SELECT a.arm, a.doc_id AS i, b.doc_id AS j, CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END AS v FROM s a JOIN s b ON a.arm = b.arm AND a.y = 1 AND b.y = 0),
+    v10 AS (SELECT arm, avg(v) AS auc, var_samp(v) / count(*) AS s FROM (SELECT arm, i, avg(v) AS v FROM pairs GROUP BY ALL) GROUP BY arm),
+    v01 AS (SELECT arm, var_samp(v) / count(*) AS s FROM (SELECT arm, j, avg(v) AS v FROM pairs GROUP BY ALL) GROUP BY arm),
+    cut AS (SELECT DISTINCT arm, p FROM s WHERE y = 1),
+    prec AS (SELECT c.arm, c.p, count(*) FILTER (s.y = 1) / count(*) AS precision, count(*) FILTER (s.y = 1 AND s.p = c.p) AS k FROM cut c JOIN s ON s.arm = c.arm AND s.p >= c.p GROUP BY ALL),
+    ap AS (SELECT arm, sum(precision * k) / sum(k) AS ap FROM prec GROUP BY arm),
+    n AS (SELECT arm, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, avg(power(least(1.0, greatest(0.0, p)) - y, 2)) AS brier FROM s GROUP BY arm)
+    SELECT n.arm, n_pos, n_neg, round(auc, 6) AS auc, round(auc - 1.96 * sqrt(v10.s + v01.s), 6) AS low, round(auc + 1.96 * sqrt(v10.s + v01.s), 6) AS high, round(ap, 6) AS average_precision, round(brier, 6) AS brier
+    FROM n JOIN v10 USING (arm) JOIN v01 USING (arm) JOIN ap USING (arm)"""
+
+
 def hour_windows_oracle(d):
     """Every hour of the clock against every hour of its station and month, pair by pair."""
     zones = ", ".join(f"count(*) FILTER (zone = '{z}') AS n{i}" for i, z in enumerate(controls.ZONES))
@@ -227,4 +265,4 @@ def near_duplicates_oracle(d):
 
 
 #: Queries that SQL can check, by statements of their own.
-ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle}
+ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle, "score_statistics": score_statistics_oracle}

@@ -210,6 +210,15 @@ def routine_hours(d):
       FROM events e JOIN weather w ON w.event_id = e.event_id WHERE w.temp_f IS NOT NULL AND w.dew_f IS NOT NULL) h"""
 
 
+@fixture
+def occurrence_rows(d):
+    """Records with weather as rows of an occurrence model: year, covariates, chart probability, margin and target."""
+    return f"""SELECT w.record_id, 1990 + CAST({d.md5_number('w.record_id')} % 30 AS INT) AS year, CASE WHEN e.record_id IS NULL THEN 0 ELSE 1 END AS y, r.category, f.phase, w.t_c, w.td_c,
+      {px.p_ice(T, TD)} AS chart, {px.condensable(T, TD)} AS margin
+    FROM clean_weather w JOIN records r ON r.record_id = w.record_id LEFT JOIN (SELECT record_id, min_by(coalesce(phase_of_flight, 'unknown'), idx) AS phase FROM nodes WHERE class = 'event' GROUP BY record_id) f ON f.record_id = w.record_id
+    LEFT JOIN (SELECT record_id FROM presence WHERE factor_type = 'ERROR_0') e ON e.record_id = w.record_id"""
+
+
 @operator
 def weather_join(d):
     """Records with factors and weather, one weather row each."""
