@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .shared import once, spread
 
 SHINGLE_WORDS, PERMUTATIONS, THRESHOLD = 5, 128, 0.8
 
@@ -55,7 +56,7 @@ def candidate_stars(sigs: DataFrame, permutations: int = PERMUTATIONS, threshold
 def near_duplicate_clusters(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, verify: bool = False) -> DataFrame:
     """(doc_id, cluster): candidates united without check, as the batch deduper does; with ``verify`` only
     candidates whose exact Jaccard similarity reaches the threshold."""
-    sets = shingles(docs)
+    sets = shingles(spread(docs.select("doc_id", "text")))
     edges = candidate_stars(signatures(sets, permutations), permutations, threshold)
     if verify:
         a, b = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
@@ -65,20 +66,36 @@ def near_duplicate_clusters(docs: DataFrame, threshold: float = THRESHOLD, permu
     return docs.select("doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of all pairs at or above the threshold, exactly, through shared rare shingles.
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, rep) of all documents with a word, (a, b, jaccard) of the representatives at or above the threshold), exactly.
 
-    Two sets that reach the threshold share one of the first ``n - ceil(t n) + 1``
-    shingles of each in the order of rising frequency, so only these are joined.
+    Documents of equal sets are one class, named after its smallest id.  Two sets that
+    reach the threshold share one of the first ``n - ceil(t n) + 1`` shingles of each in the
+    order of rising frequency among classes, so only these are joined; shingles that one
+    class alone holds come first in that order and are only counted.
     """
-    sets = shingles(docs)
-    tokens = sets.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(frequency, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
-    first = ranked.select("doc_id", "n", F.explode(F.slice("ordered", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)).alias("x")).filter("x.df > 1").select("doc_id", "n", "x.token")
-    a, b = (first.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
+    sets = once(shingles(spread(docs.select("doc_id", "text"))).withColumn("key", F.xxhash64(F.sort_array("set"))))
+    named = sets.groupBy("key", F.size("set").alias("n")).agg(F.min("doc_id").alias("rep"))
+    members = once(sets.select("doc_id", "key", F.size("set").alias("n")).join(named, ["key", "n"]).select("doc_id", "rep", "n"))
+    own = once(sets.join(members.filter("doc_id = rep").select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "set").dropDuplicates(["rep"]))
+    tokens = own.select("rep", "n", F.explode("set").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = tokens.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("ordered"))  # less those that are not shared
+    first = ranked.withColumn("most", most).filter("most > 0").select("rep", "n", F.explode(F.slice("ordered", 1, F.col("most"))).alias("x")).select("rep", "n", "x.token")
+    a, b = (first.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
     fits = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    sa, sb = (own.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb")).cast("double")
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    found = pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return members.select("doc_id", "rep"), found
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard) of all pairs at or above the threshold, exactly: the classes of :func:`jaccard_classes` spelled out."""
+    members, found = jaccard_classes(docs, threshold)
+    between = once(found)
+    between = between.union(between.select("b", "a", "jaccard")).union(members.select("rep", F.col("rep").alias("other"), F.lit(1.0)).distinct())
+    left, right = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"))
+    return left.join(between, "a").join(right, "b").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard")

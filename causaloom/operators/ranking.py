@@ -56,8 +56,22 @@ def _parts():
     return F.try_divide(F.col("n_before") + F.col("n") / 2, F.col("n_all")), F.try_divide(F.col("p_all") - F.col("p_before") - F.col("p") / 2, F.col("p_all"))
 
 
+def average_ranks(scored: DataFrame, key: str) -> DataFrame:
+    """(key, avg_rank) of scored rows (arm, key, y, p): equal scores share the mean of their ranks."""
+    table = score_table(scored)
+    rank = F.col("p_before") + F.col("n_before") + (F.col("p") + F.col("n") + 1) / 2
+    return scored.select("arm", key, F.col("p").cast("double").alias("score")).join(table.select("arm", "score", rank.alias("avg_rank")), ["arm", "score"]).select("arm", key, "avg_rank")
+
+
+def equal_parts(rows: DataFrame, order: list[str], parts: int = 10) -> DataFrame:
+    """``rows`` with ``part``: as many rows in each of the parts, in the order of the columns."""
+    names = rows.columns
+    placed = cumulated(rows.select(F.lit(0).alias("_g"), F.struct(*order).alias("_o"), *names, F.lit(1).cast("long").alias("_n")), "_g", "_o", ["_n"])
+    return placed.withColumn("part", F.floor(F.col("_n_before") * float(parts) / rows.count()).cast("long")).select(*names, "part")
+
+
 def score_summary(table: DataFrame, group: str = "arm") -> DataFrame:
-    """(group, n_pos, n_neg, auc, low, high, average_precision, brier) of a score table; the interval is DeLong's of 95 %.
+    """(group, n_pos, n_neg, auc, se, low, high, average_precision, brier) of a score table; standard error and interval of 95 % are DeLong's.
 
     Without positives or negatives the rank statistics are null, with one of either the
     interval is.  Scores beyond 0 and 1 count as these for the Brier score.
@@ -72,20 +86,21 @@ def score_summary(table: DataFrame, group: str = "arm") -> DataFrame:
     )
     variance = lambda s, ss, k: F.try_divide(F.try_divide(F.col(ss) - F.try_divide(F.col(s) ** 2, F.col(k)), F.col(k) - 1), F.col(k))
     both = (F.col("P") > 1) & (F.col("N") > 1)
-    half = F.when(both, 1.96 * F.sqrt(F.greatest(F.lit(0.0), variance("a", "aa", "P") + variance("b", "bb", "N"))))
+    se = F.when(both, F.sqrt(F.greatest(F.lit(0.0), variance("a", "aa", "P") + variance("b", "bb", "N"))))
     auc = F.when(F.col("N") > 0, F.try_divide("a", "P"))
-    return sums.select(group, F.col("P").alias("n_pos"), F.col("N").alias("n_neg"), auc.alias("auc"), (auc - half).alias("low"), (auc + half).alias("high"), "average_precision", "brier")
+    return sums.select(group, F.col("P").alias("n_pos"), F.col("N").alias("n_neg"), auc.alias("auc"), se.alias("se"), (auc - 1.96 * se).alias("low"), (auc + 1.96 * se).alias("high"), "average_precision", "brier")
 
 
 def paired_difference(scored: DataFrame, table: DataFrame, first: str, second: str, key: str) -> DataFrame:
-    """(first, second, difference, z, p_two_sided): DeLong's paired test of two arms (arm, key, y, p) on the same records."""
+    """(first, second, difference, se, z, p_two_sided): DeLong's paired test of two arms (arm, key, y, p) on the same records."""
     v10, v01 = _parts()
     parts = table.select("arm", "score", v10.alias("v10"), v01.alias("v01"))
     own = scored.withColumn("score", F.col("p").cast("double")).join(parts, ["arm", "score"]).select("arm", key, "y", F.when(F.col("y") == 1, F.col("v10")).otherwise(F.col("v01")).alias("v"))
     pairs = own.filter(F.col("arm") == first).select(key, "y", F.col("v").alias("a")).join(own.filter(F.col("arm") == second).select(key, F.col("v").alias("b")), key)
     d = F.col("a") - F.col("b")
     sums = pairs.groupBy().agg(*[f(F.when(F.col("y") == t, d)).alias(f"{name}{t}") for t in (1, 0) for f, name in ((F.avg, "mean"), (F.var_samp, "var"), (F.count, "n"))])
-    z = F.try_divide("mean1", F.sqrt(F.try_divide("var1", "n1") + F.try_divide("var0", "n0")))
+    se = F.sqrt(F.try_divide("var1", "n1") + F.try_divide("var0", "n0"))
+    z = F.try_divide("mean1", se)
 
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
@@ -93,7 +108,7 @@ def paired_difference(scored: DataFrame, table: DataFrame, first: str, second: s
 
         return pd.Series([None if pd.isna(x) else erfc(abs(x) / sqrt(2)) for x in z], dtype="float64")
 
-    return sums.select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.col("mean1").alias("difference"), z.alias("z"), tail(z).alias("p_two_sided"))
+    return sums.select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.col("mean1").alias("difference"), se.alias("se"), z.alias("z"), tail(z).alias("p_two_sided"))
 
 
 def reliability(table: DataFrame, group: str = "arm", bins: int = 10) -> DataFrame:

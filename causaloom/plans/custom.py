@@ -236,6 +236,59 @@ def score_statistics(spark, sf_dir):
     return found.select("arm", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("auc", "low", "high", "average_precision", "brier")])
 
 
+def _two_scores(spark, sf_dir):
+    """The fixture's two scores as arms; rows of one id are told apart."""
+    s = once(_fixture(spark, sf_dir, "scored").select("doc_id", "score", "score2", F.col("y").cast("int").alias("y")).withColumn("id", F.monotonically_increasing_id()))
+    return s, s.select(F.lit("score").alias("arm"), "id", "y", F.col("score").alias("p")).union(s.select(F.lit("score2"), "id", "y", F.col("score2")))
+
+
+def _summary(spark, sf_dir):
+    return ranking.score_summary(ranking.score_table(_two_scores(spark, sf_dir)[1]))
+
+
+@custom
+def auc(spark, sf_dir):
+    """Rank statistic with ties at one half."""
+    return _summary(spark, sf_dir).filter("arm = 'score'").select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+
+
+@custom
+def delong_ci(spark, sf_dir):
+    half = 1.959964 * F.col("se")
+    return _summary(spark, sf_dir).filter("arm = 'score'").select(F.round("auc", 6).alias("auc"), F.round("se", 6).alias("se"), F.round(F.col("auc") - half, 6).alias("low"), F.round(F.col("auc") + half, 6).alias("high"))
+
+
+@custom
+def average_precision(spark, sf_dir):
+    return _summary(spark, sf_dir).filter("arm = 'score'").select(F.round("average_precision", 6).alias("average_precision"))
+
+
+@custom
+def ceiling_ratio(spark, sf_dir):
+    """Share of the attainable discrimination: (auc - 0.5) / (best - 0.5)."""
+    best = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("auc"))) - 0.5
+    return _summary(spark, sf_dir).agg(F.round(F.try_divide(best("score"), best("score2")), 6).alias("ratio"))
+
+
+@custom
+def delong_paired(spark, sf_dir):
+    scored = _two_scores(spark, sf_dir)[1]
+    return ranking.paired_difference(scored, ranking.score_table(scored), "score", "score2", "id").select(F.round("difference", 6).alias("difference"), F.round("se", 6).alias("se"))
+
+
+@custom
+def average_ranks(spark, sf_dir):
+    rows, scored = _two_scores(spark, sf_dir)
+    return ranking.average_ranks(scored.filter("arm = 'score'"), "id").join(rows.select("id", "doc_id"), "id").select("doc_id", F.round("avg_rank", 6).alias("avg_rank"))
+
+
+@custom
+def reliability_deciles(spark, sf_dir):
+    """Mean score and rate by rank-first deciles."""
+    parts = ranking.equal_parts(_two_scores(spark, sf_dir)[0].select("score", "y", "doc_id", "id"), ["score", "doc_id", "id"])
+    return parts.groupBy(F.col("part").alias("decile")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("y"), 6).alias("rate"))
+
+
 def score_statistics_oracle(d):
     """Pair by pair: every positive against every negative; precision at every score."""
     return """WITH s AS (SELECT p || ':' || l AS arm, CASE p WHEN 'score' THEN score ELSE score2 END AS p, CASE l WHEN 'y' THEN y ELSE y2 END AS y, doc_id FROM scored, (VALUES ('score'), ('score2')) a(p), (VALUES ('y'), ('y2')) b(l)),
