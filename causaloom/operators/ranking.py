@@ -46,6 +46,11 @@ def cumulated(rows: DataFrame, group: str, order: str, values: list[str]) -> Dat
 def score_table(scored: DataFrame, group: str = "arm") -> DataFrame:
     """(group, score, p, n, p_before, n_before, p_all, n_all): positives and negatives by score, of smaller scores, and of all."""
     counts = scored.groupBy(group, F.col("p").cast("double").alias("score")).agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") == 0).cast("long")).alias("n"))
+    return counted_table(counts, group)
+
+
+def counted_table(counts: DataFrame, group: str = "arm") -> DataFrame:
+    """The score table of (group, score, p, n)."""
     table = once(cumulated(counts, group, "score", ["p", "n"]))
     whole = table.groupBy(group).agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
     return table.join(F.broadcast(whole), group)

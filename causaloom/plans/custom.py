@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestral, arms, controls, dedupe, effects, heldout, networks, ranking, noisyor, stats, text
+from ..operators import ancestral, arms, controls, dedupe, density, effects, heldout, networks, ranking, stations, noisyor, stats, text
 from ..operators.shared import once
 from .registry import OPERATORS, custom, query
 
@@ -303,6 +303,29 @@ def score_statistics_oracle(d):
     FROM n JOIN v10 USING (arm) JOIN v01 USING (arm) JOIN ap USING (arm)"""
 
 
+@custom
+def density_ratio_auc(spark, sf_dir):
+    """What densities of temperature and dew point allow, out of fold, at four bandwidths."""
+    return density.density_ratio_auc(_fixture(spark, sf_dir, "occurrence_rows"), "t_c", "td_c", "y", "record_id")
+
+
+@custom
+def station_resolution(spark, sf_dir):
+    """The station of every site: named first, then known and near, the first with 100 hours in the month."""
+    found = stations.resolve_stations(*[_fixture(spark, sf_dir, name) for name in ("named_sites", "coded_stations", "station_months")])
+    return found.withColumn("km", F.round("km", 3))
+
+
+def station_resolution_oracle(d):
+    """Every site against every station."""
+    return """WITH near AS (SELECT c.case_id, c.month, c.year, s.station, 2 * 6371 * asin(least(1, sqrt(power(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - c.lon) / 2), 2)))) AS km, s.known,
+        coalesce(c.facility <> '' AND s.code = 'K' || upper(c.facility), FALSE) AS named FROM named_sites c, coded_stations s WHERE s.begin_year <= c.year AND s.end_year >= c.year),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY named DESC, known DESC, km, station) AS place FROM near WHERE km <= 60),
+    enough AS (SELECT o.*, h.n_hours FROM ordered o JOIN station_months h ON h.station = o.station AND h.year = o.year AND h.month = o.month WHERE place <= 3 AND h.n_hours >= 100),
+    won AS (SELECT * FROM enough QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY place) = 1)
+    SELECT s.case_id, w.station, CAST(w.place AS INT) AS place, round(w.km, 3) AS km, w.n_hours FROM named_sites s LEFT JOIN won w ON w.case_id = s.case_id"""
+
+
 def hour_windows_oracle(d):
     """Every hour of the clock against every hour of its station and month, pair by pair."""
     zones = ", ".join(f"count(*) FILTER (zone = '{z}') AS n{i}" for i, z in enumerate(controls.ZONES))
@@ -318,4 +341,4 @@ def near_duplicates_oracle(d):
 
 
 #: Queries that SQL can check, by statements of their own.
-ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle, "score_statistics": score_statistics_oracle}
+ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle, "station_resolution": station_resolution_oracle, "score_statistics": score_statistics_oracle}

@@ -275,6 +275,23 @@ def nearest_station(d):
       SELECT c.site, s.station, s.wban, {km} AS km FROM sites c JOIN ({cells}) s ON s.cell = floor(c.lat / 0.6) AND c.yr BETWEEN s.begin_year AND s.end_year AND abs(c.lon - s.lon) <= 3) j WHERE km <= 60) r WHERE rn <= 3"""
 
 
+@fixture
+def named_sites(d):
+    """Sites with the facility that observed and a month."""
+    return f"SELECT site AS case_id, lat, lon, yr AS year, CAST(site % 12 + 1 AS INT) AS month, CASE WHEN site % 4 = 0 THEN concat('f', CAST(site % 60 AS {d.S})) WHEN site % 4 = 1 THEN '' END AS facility FROM sites"
+
+
+@fixture
+def coded_stations(d):
+    return f"SELECT station, concat('KF', CAST(station % 60 AS {d.S})) AS code, lat, lon, begin_year, end_year, wban AS known FROM stations"
+
+
+@fixture
+def station_months(d):
+    """Hours that a station has in a month; some have few."""
+    return f"SELECT station, year, month, (station * 37 + year * 11 + month * 5) % 160 AS n_hours FROM (SELECT station, CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM coded_stations CROSS JOIN (SELECT {d.explode}({d.sequence('1990', '2020')}) AS y) a CROSS JOIN (SELECT {d.explode}({d.sequence('1', '12')}) AS m) b) t"
+
+
 @operator
 def hour_matched_controls(d):
     """Routine hours of the same user and month within three hours of the clock."""
