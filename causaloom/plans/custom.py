@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestral, arms, controls, dedupe, density, effects, heldout, networks, ranking, stations, noisyor, stats, text
+from ..operators import ancestral, arms, controls, dedupe, density, effects, heldout, networks, ranking, stations, validate, noisyor, stats, text
 from ..operators.shared import once
+from . import graph
 from .registry import OPERATORS, custom, query
 
 
@@ -316,6 +317,60 @@ def station_resolution(spark, sf_dir):
     return found.withColumn("km", F.round("km", 3))
 
 
+#: Value lists of the fixture's chains as a JSON schema; some values that occur are left out.
+CHAIN_SCHEMA = {
+    "$defs": {"ChainNode": {"properties": {
+        "class": {"enum": ["condition", "event", "outcome"]}, "cause_role": {"enum": ["primary", "contributing"]}, "phase_of_flight": {"oneOf": [{"enum": ["takeoff", "cruise", "approach"]}, {"type": "null"}]},
+        "factor_type": {"enum": [f for f in graph.FACTORS if f != "VIEW_2"]}, "strength": {"enum": ["direct", "contributing"]},
+    }}},
+}
+
+
+def _chain_lines(spark, sf_dir):
+    """The fixture's chains, one JSON record a row."""
+    nodes, links = _fixture(spark, sf_dir, "nodes"), _fixture(spark, sf_dir, "links")
+    cited = links.groupBy("record_id", F.col("dst_idx").alias("idx")).agg(F.sort_array(F.collect_list(F.struct("link_pos", F.col("src_idx").alias("src"), "strength"))).alias("caused_by"))
+    each = nodes.join(cited, ["record_id", "idx"], "left").select("record_id", F.struct("idx", "class", "factor_type", "cause_role", "phase_of_flight", "caused_by").alias("node"))
+    return each.groupBy("record_id").agg(F.sort_array(F.collect_list("node")).alias("chain")).select(F.to_json(F.struct("record_id", "chain")).alias("value"))
+
+
+@custom
+def schema_violations(spark, sf_dir):
+    """Violations of the chains by rule: values outside of the schema's lists and broken references."""
+    return validate.rule_counts(once(validate.validated(_chain_lines(spark, sf_dir), validate.schema_enums(CHAIN_SCHEMA))))
+
+
+@custom
+def outside_values(spark, sf_dir):
+    """The most frequent values that the schema does not list."""
+    return validate.values_outside(once(validate.validated(_chain_lines(spark, sf_dir), validate.schema_enums(CHAIN_SCHEMA))))
+
+
+def _listed(field):
+    values = validate.schema_enums(CHAIN_SCHEMA)["ChainNode"][field]
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _places(d):
+    """Every broken place as (record, rule, value), rule by rule from nodes and links."""
+    by_field = " UNION ALL ".join(f"SELECT record_id, '{rule}' AS rule, {f} AS value FROM nodes WHERE {f} NOT IN ({_listed(f)})" for f, rule in validate.CHAIN_FIELDS.items())
+    return f"""{by_field}
+      UNION ALL SELECT l.record_id, 'strength_oov', l.strength FROM links l WHERE l.strength NOT IN ({_listed('strength')})
+      UNION ALL SELECT l.record_id, 'outcome_as_cause', NULL FROM links l JOIN nodes s ON s.record_id = l.record_id AND s.idx = l.src_idx JOIN nodes t ON t.record_id = l.record_id AND t.idx = l.dst_idx WHERE s.class = 'outcome' AND t.class <> 'outcome'
+      UNION ALL SELECT l.record_id, 'type_level_self_loop', s.factor_type FROM links l JOIN nodes s ON s.record_id = l.record_id AND s.idx = l.src_idx JOIN nodes t ON t.record_id = l.record_id AND t.idx = l.dst_idx WHERE s.factor_type = t.factor_type
+      UNION ALL SELECT l.record_id, 'caused_by_out_of_range', NULL FROM links l JOIN (SELECT record_id, count(*) AS n FROM nodes GROUP BY record_id) c ON c.record_id = l.record_id WHERE l.src_idx < 0 OR l.src_idx >= c.n
+      UNION ALL SELECT record_id, 'caused_by_forward_reference', NULL FROM links WHERE src_idx >= dst_idx"""
+
+
+def schema_violations_oracle(d):
+    return f"SELECT rule, count(*) AS n_places, count(DISTINCT record_id) AS n_records FROM ({_places(d)}) p GROUP BY rule"
+
+
+def outside_values_oracle(d):
+    return f"""SELECT rule, place, value, n FROM (SELECT rule, value, count(*) AS n, row_number() OVER (PARTITION BY rule ORDER BY count(*) DESC, value) AS place FROM ({_places(d)}) p
+      WHERE rule LIKE '%_oov' OR rule = 'type_level_self_loop' GROUP BY rule, value) t WHERE place <= 25"""
+
+
 def station_resolution_oracle(d):
     """Every site against every station."""
     return """WITH near AS (SELECT c.case_id, c.month, c.year, s.station, 2 * 6371 * asin(least(1, sqrt(power(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - c.lon) / 2), 2)))) AS km, s.known,
@@ -341,4 +396,4 @@ def near_duplicates_oracle(d):
 
 
 #: Queries that SQL can check, by statements of their own.
-ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle, "station_resolution": station_resolution_oracle, "score_statistics": score_statistics_oracle}
+ORACLES = {"near_duplicates": near_duplicates_oracle, "category_effects": category_effects_oracle, "hour_windows": hour_windows_oracle, "station_resolution": station_resolution_oracle, "schema_violations": schema_violations_oracle, "outside_values": outside_values_oracle, "score_statistics": score_statistics_oracle}
