@@ -77,10 +77,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     sets = once(shingles(spread(docs.select("doc_id", "text"))).withColumn("key", F.xxhash64(F.sort_array("set"))))
     named = sets.groupBy("key", F.size("set").alias("n")).agg(F.min("doc_id").alias("rep"))
     members = once(sets.select("doc_id", "key", F.size("set").alias("n")).join(named, ["key", "n"]).select("doc_id", "rep", "n"))
-    own = once(sets.join(members.filter("doc_id = rep").select("doc_id", "n"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "set").dropDuplicates(["rep"]))
-    tokens = own.select("rep", "n", F.explode("set").alias("token"))
+    own = sets.join(members.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "n", "set")
+    tokens = own.select("rep", F.explode("set").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = tokens.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    sizes = members.filter("doc_id = rep").select("rep", "n").distinct()
+    ranked = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ordered")).join(sizes, "rep")
     most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("ordered"))  # less those that are not shared
     first = ranked.withColumn("most", most).filter("most > 0").select("rep", "n", F.explode(F.slice("ordered", 1, F.col("most"))).alias("x")).select("rep", "n", "x.token")
     a, b = (first.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
@@ -88,7 +89,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     sa, sb = (own.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb")).cast("double")
-    found = pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    found = pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold).dropDuplicates(["a", "b"])
     return members.select("doc_id", "rep"), found
 
 
