@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, custom, evaluation, fixtures, graph, networks, physics, registry  # noqa: F401  (imports register)
+from . import corpus, custom, evaluation, fixtures, graph, networks, packed, physics, registry  # noqa: F401  (imports register)
 from .dialect import DUCK
 
 
