@@ -149,10 +149,10 @@ def bootstrap_stability(patterns: DataFrame, rounds: int = 30, share: float = 0.
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
-    """(category, src, dst, score, support) without cycles: of each cycle the weakest edge goes."""
+    """(category, src, dst, score, support) without cycles: of each cycle the weakest edge goes, by score, then confidence of the judgment (``judged``, if there is such a column), then support."""
 
     def acyclic(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = {(r.src, r.dst): (r.score, r.support) for r in pdf.itertuples()}
+        weight = {(r.src, r.dst): (r.score, 0.0 if pd.isna(sure := getattr(r, "judged", None)) else sure, r.support) for r in pdf.itertuples()}
 
         def cycle():
             after: dict[str, list[str]] = {}
@@ -208,3 +208,64 @@ def laplacian_prior(similarity: DataFrame, vocabulary: list[str] | None = None)
         return pd.DataFrame([(pdf.category.iloc[0], a, b, float(kernel[at[a], at[b]])) for a in names for b in names if a < b], columns=["category", "i", "j", "prior"])
 
     return similarity.groupBy("category").applyInPandas(embed, "category string, i string, j string, prior double")
+
+
+def _evidence(pairs: DataFrame, cooccurrence: DataFrame, precedence: DataFrame, judgments: DataFrame | None, priors: DataFrame | None) -> DataFrame:
+    """(category, i, j) with support, score (smoothed share of i before j), relation, confidence and prior.
+
+    ``judgments`` and ``priors`` give a pair in either order; of several judgments the surest counts, ties by relation.
+    """
+    key = ["category", "i", "j"]
+    ahead = precedence.select(*key, F.col("n").alias("_ij"))
+    behind = precedence.select("category", F.col("j").alias("i"), F.col("i").alias("j"), F.col("n").alias("_ji"))
+    rows = pairs.join(cooccurrence.select(*key, F.col("cooccur").alias("support")), key, "left").join(ahead, key, "left").join(behind, key, "left")
+    before, after = F.coalesce("_ij", F.lit(0)), F.coalesce("_ji", F.lit(0))
+    rows = rows.withColumn("support", F.coalesce("support", F.lit(0))).withColumn("score", (before + 1) / (before + after + 2)).drop("_ij", "_ji")
+
+    def both(table, *values):
+        return table.select(*key, *values).union(table.select("category", F.col("j").alias("i"), F.col("i").alias("j"), *values))
+
+    if judgments is None:
+        rows = rows.select("*", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("double").alias("confidence"))
+    else:
+        turned = F.when(F.col("relation") == "a_before_b", "b_before_a").when(F.col("relation") == "b_before_a", "a_before_b").otherwise(F.col("relation"))
+        seen = judgments.filter("relation IS NOT NULL").select(*key, "relation", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+        seen = seen.union(seen.select("category", F.col("j").alias("i"), F.col("i").alias("j"), turned, "confidence"))
+        best = seen.groupBy(*key).agg(F.max(F.struct("confidence", "relation")).alias("b")).select(*key, "b.relation", "b.confidence")
+        rows = rows.join(best, key, "left")
+    if priors is None:
+        return rows.withColumn("prior", F.lit(None).cast("double"))
+    return rows.join(both(priors, "prior").groupBy(*key).agg(F.max("prior").alias("prior")), key, "left")
+
+
+def finished_network(found: DataFrame, cooccurrence: DataFrame, precedence: DataFrame, judgments: DataFrame | None = None, priors: DataFrame | None = None, least: int = 10, least_prior: float = 0.4) -> DataFrame:
+    """The edges that a constraint-based search found (category, src, dst, directed) with what else is known, as (category, src, dst, direction_score, support, judged, prior, searched, oriented, open).
+
+    Pairs that occur together in fewer than ``least`` records or whose prior is below ``least_prior``
+    go; a pair without a prior stays.  A directed edge (``searched``) keeps its direction and
+    scores the share of records in which the source comes first.  An undirected one takes the direction
+    that a judgment (category, i, j, relation, confidence) gives it (``oriented``), and the confidence as its score;
+    without one (also if judged concurrent or unrelated) it becomes two edges of score 0.5.
+    """
+    edges = found.select("category", F.col("src").alias("i"), F.col("dst").alias("j"), "directed").distinct()
+    rows = _evidence(edges, cooccurrence, precedence, judgments, priors).filter(F.col("support") >= least).filter(F.col("prior").isNull() | (F.col("prior") >= least_prior))
+    told = ~F.col("directed") & F.coalesce(F.col("relation").isin("a_before_b", "b_before_a"), F.lit(False))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    ways = F.when(F.col("directed") | (told & (F.col("relation") == "a_before_b")), F.array(way("i", "j"))).when(told, F.array(way("j", "i"))).otherwise(F.array(way("i", "j"), way("j", "i")))
+    score = F.when(F.col("directed"), F.col("score")).when(told, F.col("confidence")).otherwise(0.5)
+    rows = rows.select("category", F.explode(ways).alias("w"), score.alias("direction_score"), "support", F.when(told, F.col("confidence")).alias("judged"), "prior", F.col("directed").alias("searched"), told.alias("oriented"), (~F.col("directed")).alias("open"))
+    return rows.select("category", "w.src", "w.dst", "direction_score", "support", "judged", "prior", "searched", "oriented", "open")
+
+
+def dense_network(cooccurrence: DataFrame, precedence: DataFrame, judgments: DataFrame | None = None, priors: DataFrame | None = None, least: int = 5, least_prior: float = 0.2, sure: float = 0.5, ahead: float = 0.65) -> DataFrame:
+    """Every pair in the direction that a sure judgment gives it or, where it is silent or unsure, the records: (category, src, dst, score, support, judged, prior, evidence), before cycles are broken.
+
+    Pairs of fewer than ``least`` records or with a prior below ``least_prior`` make no edge, nor do pairs
+    judged concurrent or unrelated.  The records give a direction from a share of ``ahead`` on.
+    """
+    rows = _evidence(cooccurrence.select("category", "i", "j").filter("i <> j").distinct(), cooccurrence, precedence, judgments, priors)
+    rows = rows.filter(F.col("support") >= least).filter(F.col("prior").isNull() | (F.col("prior") >= least_prior))
+    relation, surely = F.coalesce("relation", F.lit("")), F.coalesce("confidence", F.lit(0.0)) >= sure
+    evidence = F.when((relation == "a_before_b") & surely, "judgment").when((relation == "b_before_a") & surely, None).when(relation.isin("concurrent", "unrelated"), None).when(F.col("score") >= ahead, "precedence")
+    rows = rows.withColumn("evidence", evidence).filter("evidence IS NOT NULL")
+    return rows.select("category", F.col("i").alias("src"), F.col("j").alias("dst"), "score", "support", F.when(F.col("evidence") == "judgment", F.col("confidence")).alias("judged"), "prior", "evidence")

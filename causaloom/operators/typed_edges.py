@@ -94,7 +94,11 @@ def chain_pairs(chains: DataFrame, vocabulary: DataFrame) -> DataFrame:
     def factor(idx):
         return F.try_element_at(F.filter("nodes", lambda n: n.isNotNull() & n["idx"].eqNullSafe(idx) & F.array_contains(F.col("_words"), n["factor_type"])), F.lit(-1))["factor_type"]
 
-    cited = F.flatten(F.transform(F.filter("nodes", lambda n: n.isNotNull()), lambda n: F.transform(F.coalesce(n["caused_by"], F.array().cast("array<struct<src:string>>")), lambda x: F.struct(factor(x["src"]).alias("src"), factor(n["idx"]).alias("dst")))))
+    def ends(n):
+        own = F.transform(n["caused_by"], lambda x: F.struct(factor(x["src"]).alias("src"), factor(n["idx"]).alias("dst")))
+        return F.when(n["caused_by"].isNotNull(), own).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
+
+    cited = F.flatten(F.transform(F.filter("nodes", lambda n: n.isNotNull()), ends))
     return rows.select("record_id", F.explode(F.array_distinct(F.filter(cited, lambda p: p["src"] != p["dst"]))).alias("p")).select("record_id", "p.src", "p.dst")
 
 

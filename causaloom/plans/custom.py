@@ -134,6 +134,24 @@ def laplacian_prior(spark, sf_dir):
     return networks.laplacian_prior(query("pmi_similarity")(spark, sf_dir))
 
 
+def _known(spark, sf_dir):
+    """Co-occurrence, precedence, judgments and priors of pairs, by category."""
+    judged = _fixture(spark, sf_dir, "judgments").select("category", F.col("a").alias("i"), F.col("b").alias("j"), "relation", "confidence")
+    return _fixture(spark, sf_dir, "pair_counts"), _fixture(spark, sf_dir, "precede_counts"), judged, laplacian_prior(spark, sf_dir)
+
+
+@custom
+def pc_network(spark, sf_dir):
+    """The networks of ``pc_skeleton`` with support and prior, open edges turned by judgments."""
+    return networks.finished_network(pc_skeleton(spark, sf_dir), *_known(spark, sf_dir))
+
+
+@custom
+def dense_network(spark, sf_dir):
+    """Association networks whose pairs a prior supports, without cycles."""
+    return networks.break_cycles(networks.dense_network(*_known(spark, sf_dir)))
+
+
 @custom
 def noisy_or_fit(spark, sf_dir):
     """Leak and strengths of the target with intervals of 500 redraws."""
