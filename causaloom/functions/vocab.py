@@ -45,3 +45,17 @@ FINDING_KEYWORDS = [
 ]
 HEADER_FRAGMENTS = r"(?i)National Transportation Safety Board|E\s*PLURIBUS\s*U\s*NUM|SAFETYBO\s*AR\s*D"
 PAGE_ARTIFACTS = r"(?i)NTSB/[A-Z]+-\d{2}/\d{2}|\bPage\s+\d+(\s+of\s+\d+)?\b|\bWashington,?\s+D\.?C\.?\s+20594\b"
+
+#: How a factor's occurrence is modelled, and by what; factors that are not listed have the corpus rate ("data").
+TIERS = {
+    "STALL": ("physics", "6-DOF"),
+    "AIRFRAME_STRUCTURAL_FAILURE": ("physics", "V--n"),
+    "TURBULENCE_ENCOUNTER": ("physics", "gust"),
+    "WIND_SHEAR_OR_GUST": ("physics", "gust"),
+    "CARBURETOR_OR_INDUCTION_ICING": ("physics", "icing"),
+    "FUEL_EXHAUSTION_OR_STARVATION": ("physics", "endurance"),
+    "ENGINE_FAILURE": ("surrogate", "hazard"),
+    "CONTROL_SURFACE_ANOMALY": ("surrogate", "reliability"),
+    "FUEL_SYSTEM_ANOMALY": ("surrogate", "reliability"),
+    "FUEL_CONTAMINATION": ("surrogate", "reliability"),
+}

@@ -59,12 +59,13 @@ def target_patterns(presence: DataFrame, records: DataFrame, target: str, factor
 
 
 def fit_target(presence: DataFrame, records: DataFrame, target: str, factors: list[str], draws: int = 0, seed: int = 1) -> pd.DataFrame:
-    """Leak and strengths with bootstrap intervals; the patterns are a small table whatever the records are."""
+    """Leak and strengths with bootstrap intervals, and base rates of the factors with those of the same redraws; the patterns are a small table whatever the records are."""
     pdf = target_patterns(presence, records, target, factors).toPandas().sort_values([*[f"f{i}" for i in range(len(factors))], "y"])
     x, y, n = pdf[[f"f{i}" for i in range(len(factors))]].to_numpy(float), pdf.y.to_numpy() == 1, pdf.n.to_numpy(float)
     leak, p, nll = fit_leaky_noisy_or(x, y, n)
     rows = [("leak", leak, nll)] + [(f, float(v), nll) for f, v in zip(factors, p, strict=True)]
     out = pd.DataFrame(rows, columns=["factor", "p", "nll"])
+    out["base"] = [None, *(n @ x / n.sum()).tolist()]
     if draws:
         logit = np.log(np.clip(np.concatenate([[leak], p]), 1e-9, 1 - 1e-9))
         logit = logit - np.log1p(-np.exp(logit))
@@ -75,11 +76,14 @@ def fit_target(presence: DataFrame, records: DataFrame, target: str, factors: li
                 for draw in table.id.tolist():
                     redrawn = np.random.default_rng([seed, draw]).multinomial(int(n.sum()), n / n.sum()).astype(float)
                     a, b, _ = fit_leaky_noisy_or(x, y, redrawn, start=logit, rounds=60)
-                    found.append([a, *b.tolist()])
+                    found.append([a, *b.tolist(), *(redrawn @ x / redrawn.sum()).tolist()])
                 yield pd.DataFrame({"fitted": found})
 
         spark = presence.sparkSession
         spread = spark.range(0, draws, 1, min(draws, 24)).mapInPandas(refit, "fitted array<double>")
         found = np.array([r.fitted for r in spread.collect()])
-        out["low"], out["high"] = np.percentile(found, 2.5, axis=0), np.percentile(found, 97.5, axis=0)
+        low, high = np.percentile(found, 2.5, axis=0), np.percentile(found, 97.5, axis=0)
+        fitted = len(p) + 1
+        out["low"], out["high"] = low[:fitted], high[:fitted]
+        out["base_low"], out["base_high"] = [None, *low[fitted:]], [None, *high[fitted:]]
     return out

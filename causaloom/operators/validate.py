@@ -189,3 +189,26 @@ def totals(checked: DataFrame) -> DataFrame:
     """(n_lines, n_parse_errors, n_not_ok, n_validated, n_records_with_violations)."""
     of = lambda s: F.count_if(F.col("state") == s)
     return checked.agg(F.count("*").alias("n_lines"), of("parse_error").alias("n_parse_errors"), of("not_ok").alias("n_not_ok"), of("validated").alias("n_validated"), F.count_if(F.size("problems") > 0).alias("n_records_with_violations"))
+
+
+def gold_states(answers: DataFrame, enums: Enums, raw: str = "raw", most: int = 5) -> DataFrame:
+    """``answers`` with ``status`` (done or invalid) and ``problems``, the first ``most`` that count.
+
+    An answer is one JSON object, a fence of backticks around it aside.  It is done if it has a
+    chain that is not empty and no violation but factors that the vocabulary does not know, which do
+    not count.  What is no object, also null, has the problem ``json parse error``.
+    """
+    names = [c for c in answers.columns if c not in ("status", "problems")]
+    text = F.btrim(F.col(raw), F.lit(" \t\n\r\f\x0b"))
+    bare = F.btrim(text, F.lit("`"))
+    inner = F.when(text.startswith("```"), F.when(bare.startswith("json"), F.regexp_replace(bare, r"\A[^\n]*\n", "")).otherwise(bare)).otherwise(text)
+    whole = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>")
+    item = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+    rows = answers.select(*names, F.when(F.ltrim(item).startswith("{"), F.from_json(item, "map<string,string>")).alias("_f"))
+    chain = F.try_element_at("_f", F.lit("chain"))
+    rows = rows.select(*names, "_f", chain_nodes(F.when(F.ltrim(chain).startswith("["), chain)).alias("_nodes"))
+    found = F.filter(chain_violations(F.col("_nodes"), F.try_element_at("_f", F.lit("outcome_severity")), enums), lambda p: p["rule"] != CHAIN_FIELDS["factor_type"])
+    rows = rows.select(*names, "_f", "_nodes", found.alias("_hard"))
+    told = F.when(F.col("_f").isNull(), F.array(F.lit("json parse error"))).otherwise(F.transform(F.slice("_hard", 1, most), lambda p: F.concat_ws(": ", p["rule"], p["value"])))
+    done = F.col("_f").isNotNull() & (F.size("_hard") == 0) & (F.size("_nodes") > 0)
+    return rows.select(*names, F.when(F.coalesce(done, F.lit(False)), "done").otherwise("invalid").alias("status"), told.alias("problems"))

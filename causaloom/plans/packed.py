@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, prompts, sensitivity, typed_edges
+from ..operators import enrich, links, prompts, sensitivity, typed_edges
 from ..operators.shared import once
 from .custom import ORACLES, _fixture
-from .registry import custom, fixture
+from .registry import custom, fixture, operator
 
 PATHS = enrich.Paths(keyed={"coded:pre": ("pre", "coded_pre"), "coded:new": ("new", "coded_new")}, databases=("pre", "new"), reports="report", by_number="report_by_number", manifest_only="manifest_only", coded="own:", coded_name="own")
 
@@ -246,4 +246,59 @@ def icing_sensitivity_summary_oracle(d):
       max(auc) FILTER (a = 1) - min(auc) FILTER (a = 1) < 1e-9 AS auc_invariant_to_exposure, bool_and(kept) AS ranking_preserved_everywhere FROM whole_grid"""
 
 
-ORACLES |= {f.__name__.removesuffix("_oracle"): f for f in (enriched_records_oracle, enrichment_coverage_oracle, packed_prompts_oracle, strict_graphs_oracle, typed_precedence_oracle, icing_sensitivity_oracle, icing_sensitivity_summary_oracle)}
+@fixture
+def wind_rows(d):
+    """All records with their wind, if they have one, and whether they have the factors of both links."""
+    return """SELECT r.record_id, w.wind_kts, CASE WHEN g.record_id IS NULL THEN 0 ELSE 1 END AS gust, CASE WHEN s.record_id IS NULL THEN 0 ELSE 1 END AS shear FROM records r LEFT JOIN clean_weather w ON w.record_id = r.record_id
+    LEFT JOIN (SELECT record_id FROM presence WHERE factor_type = 'VIEW_0') g ON g.record_id = r.record_id LEFT JOIN (SELECT record_id FROM presence WHERE factor_type = 'ERROR_0') s ON s.record_id = r.record_id"""
+
+
+@custom
+def wind_scenarios(spark, sf_dir):
+    """Shares of records with a factor by the wind, through rising links on gust exceedance and shear margin, as flown and ten knots faster."""
+    rows = _fixture(spark, sf_dir, "wind_rows")
+    return links.wind_scenarios(rows.filter("wind_kts IS NOT NULL"), rows).select("link", F.col("wind_kts").cast("long").alias("wind_kts"), *[F.round(c, 6).alias(c) for c in ("score", "calibrated", "score_faster", "calibrated_faster", "rescaled")])
+
+
+def wind_scenarios_oracle(d):
+    """Links by the greatest of least means over all stretches of scores."""
+    gust = lambda w, v: links.px.p_exceed_dryden(links.px.stall_gust(f"{v!r}::DOUBLE"), w, f"({v * links.px.KT_TO_FPS!r}::DOUBLE)")
+    shear = lambda w, v: f"({w} - ({v!r}::DOUBLE - {links.px.VS_KT}))"
+    slow, fast = links.px.APPROACH_KT, links.FASTER * links.px.VS_KT
+    winds = ", ".join(f"({w}.0::DOUBLE)" for w in links.WINDS)
+    given = " UNION ALL ".join(f"SELECT '{k}' AS link, wind, {f('wind', slow)} AS score, {f('wind', fast)} AS faster FROM (VALUES {winds}) v(wind)" for k, f in (("gust", gust), ("shear", shear)))
+    seen = " UNION ALL ".join(f"SELECT '{k}' AS link, {f('wind_kts', slow)} AS x, {k} AS y FROM wind_rows WHERE wind_kts IS NOT NULL" for k, f in (("gust", gust), ("shear", shear)))
+    at = lambda s: f"""(SELECT CASE WHEN lo.x IS NULL THEN hi.p WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.p ELSE lo.p + (hi.p - lo.p) * (g.{s} - lo.x) / (hi.x - lo.x) END FROM (SELECT max(x) AS x, arg_max(p, x) AS p FROM fit WHERE fit.link = g.link AND x <= g.{s}) lo, (SELECT min(x) AS x, arg_min(p, x) AS p FROM fit WHERE fit.link = g.link AND x >= g.{s}) hi)"""
+    return f"""WITH seen AS ({seen}), pts AS (SELECT link, x, sum(y) AS s, count(*) AS n FROM seen GROUP BY link, x), means AS (SELECT a.link, a.x AS a, b.x AS b, sum(c.s) / sum(c.n) AS m FROM pts a JOIN pts b ON a.link = b.link AND a.x <= b.x JOIN pts c ON c.link = a.link AND c.x BETWEEN a.x AND b.x GROUP BY ALL),
+    fit AS (SELECT link, x, max(m) AS p FROM (SELECT p.link, p.x, m.a, min(m.m) AS m FROM pts p JOIN means m ON m.link = p.link AND m.a <= p.x AND m.b >= p.x GROUP BY ALL) t GROUP BY link, x),
+    g AS ({given}), level AS (SELECT avg(x) AS mean, (SELECT avg(gust) FROM wind_rows) AS share FROM seen WHERE link = 'gust')
+    SELECT link, CAST(wind AS BIGINT) AS wind_kts, round(score, 6) AS score, round({at('score')}, 6) AS calibrated, round(faster, 6) AS score_faster, round({at('faster')}, 6) AS calibrated_faster, CASE WHEN link = 'gust' THEN round(least(1.0, share * score / mean), 6) END AS rescaled FROM g, level"""
+
+
+@fixture
+def tier_table(d):
+    """Factors with a model of their own; users bind theirs (``vocab.TIERS``)."""
+    return "SELECT factor_type, tier, model FROM (VALUES ('VIEW_0', 'physics', 'gust'), ('ERROR_0', 'physics', 'icing'), ('CLICK_1', 'surrogate', 'hazard')) AS v(factor_type, tier, model)"
+
+
+@operator
+def factor_tiers(d):
+    """Records of every causal factor and how its occurrence is modelled; without an entry by the corpus rate."""
+    return """SELECT c.factor_type, coalesce(t.tier, 'data') AS tier, t.model, c.n FROM (SELECT factor_type, count(*) AS n FROM causal_presence GROUP BY factor_type) c LEFT JOIN tier_table t ON t.factor_type = c.factor_type"""
+
+
+@fixture
+def gold_records(d):
+    """Reports with what a reader would find in them; some could not be read."""
+    return f"""SELECT r.report_number AS record_id, r.report_type, CASE WHEN c.c_custkey % 3 = 0 THEN '' WHEN c.c_custkey % 3 = 1 THEN c.c_name END AS probable_cause_text, coalesce(o.n, 0) AS n_findings, coalesce(o.n_open, 0) AS n_occurrences, c.c_custkey % 11 = 0 AS failed
+    FROM report_list r JOIN customer c ON concat('R', CAST(c.c_custkey AS {d.S})) = r.report_number LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey"""
+
+
+@operator
+def gold_report(d):
+    """What a gold set holds, in all (no type) and by type of report; failures are candidates without a record."""
+    return """SELECT report_type, grouping(report_type) = 1 AS total, count(*) AS n_candidates, count(*) FILTER (WHERE NOT failed) AS n_records, count(*) FILTER (WHERE failed) AS n_failures, count(*) FILTER (WHERE NOT failed AND probable_cause_text <> '') AS with_probable_cause,
+      count(*) FILTER (WHERE NOT failed AND n_findings > 0) AS with_findings, count(*) FILTER (WHERE NOT failed AND n_occurrences > 0) AS with_occurrences FROM gold_records GROUP BY GROUPING SETS ((report_type), ())"""
+
+
+ORACLES |= {f.__name__.removesuffix("_oracle"): f for f in (enriched_records_oracle, enrichment_coverage_oracle, packed_prompts_oracle, strict_graphs_oracle, typed_precedence_oracle, icing_sensitivity_oracle, icing_sensitivity_summary_oracle, wind_scenarios_oracle)}
