@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -39,24 +40,98 @@ def chi2_tail(x: float, df: int) -> float:
     return scale * h
 
 
+@functools.cache
+def chi2_limit(df: int, alpha: float) -> float:
+    """The statistic with ``df`` degrees whose tail is ``alpha``."""
+    low, high = 0.0, 1.0
+    while chi2_tail(high, df) > alpha and high < 2.0**60:
+        low, high = high, high * 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_tail(middle, df) > alpha else (low, middle)
+    return high
+
+
+def _accepted(cells: np.ndarray, alpha: float) -> np.ndarray:
+    """Which tests say independent; ``cells`` are the counts of 00, 01, 10 and 11 as (4, tests, strata)."""
+    a, b, c, d = cells
+    margins = (a + b) * (c + d) * (a + c) * (b + d)
+    full = margins > 0
+    stat = np.divide((a + b + c + d) * (a * d - b * c) ** 2, margins, out=np.zeros_like(margins), where=full).sum(axis=-1)
+    df = full.sum(axis=-1)
+    degrees, place = np.unique(df, return_inverse=True)
+    limit = np.array([chi2_limit(int(n), alpha) if n else np.inf for n in degrees])[place]
+    sure = stat < limit
+    for i in np.flatnonzero(np.abs(stat - limit) < 1e-9 * limit):
+        sure[i] = chi2_tail(float(stat[i]), int(df[i])) > alpha
+    return sure
+
+
 def independent(patterns: np.ndarray, counts: np.ndarray, i: int, j: int, given: tuple[int, ...], alpha: float) -> bool:
     """Chi-square test of columns i and j within the strata of ``given``, on weighted patterns."""
-    code = patterns[:, i].astype(int) * 2 + patterns[:, j]
-    for g in given:
-        code = code + patterns[:, g].astype(int) * 4 * 2 ** given.index(g)
-    table = np.bincount(code, weights=counts, minlength=4 * 2 ** len(given)).reshape(-1, 2, 2)
-    stat, df = 0.0, 0
-    for t in table:
-        rows, cols, n = t.sum(1), t.sum(0), t.sum()
-        if n and rows.all() and cols.all():
-            expected = np.outer(rows, cols) / n
-            stat += ((t - expected) ** 2 / expected).sum()
-            df += 1
-    return df == 0 or chi2_tail(stat, df) > alpha
+    stratum = np.zeros(len(patterns), int)
+    for g in given:  # numbered anew each time, so that there are no more strata than patterns
+        _, stratum = np.unique(stratum * 2 + patterns[:, g], return_inverse=True)
+    code = stratum * 4 + patterns[:, i].astype(int) * 2 + patterns[:, j]
+    table = np.bincount(code, weights=counts, minlength=4 * (int(stratum.max(initial=0)) + 1))
+    return bool(_accepted(np.moveaxis(table.reshape(1, -1, 4), 2, 0), alpha)[0])
+
+
+class ChiSquare:
+    """``test(i, j, given)`` on weighted patterns; :meth:`first` runs through many ``given`` of one size at a time.
+
+    Where they fit (``CELLS``), the counts of all partial assignments are summed once: every
+    variable is absent, present or left open.  The cells of any test are then looked up, and many tests
+    are one numpy expression.
+    """
+
+    #: Partial assignments (three to the power of the variables) that are held at most: 13 variables, 13 MB.
+    CELLS = 3**13
+    #: Strata that are looked up at a time.
+    STRATA = 1 << 15
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, alpha: float):
+        self.patterns, self.counts, self.alpha = patterns, counts, alpha
+        k = patterns.shape[1]
+        self.strides = 3 ** np.arange(k - 1, -1, -1)
+        self.sums = None
+        if 3**k <= self.CELLS:
+            code = patterns.astype(int) @ (1 << np.arange(k - 1, -1, -1))
+            cube = np.bincount(code, weights=counts, minlength=2**k).reshape((2,) * k)
+            for axis in range(k):
+                cube = np.concatenate([cube, cube.sum(axis=axis, keepdims=True)], axis=axis)
+            self.sums = cube.ravel()
+
+    def __call__(self, i: int, j: int, given: tuple[int, ...]) -> bool:
+        return independent(self.patterns, self.counts, i, j, given, self.alpha)
+
+    def first(self, i: int, j: int, sets) -> tuple[int, ...] | None:
+        """The first of ``sets``, all of one size, given which i and j are independent."""
+        sets = iter(sets)
+        if self.sums is None:
+            return next((g for g in sets if self(i, j, g)), None)
+        ends = [(x - 2) * self.strides[i] + (y - 2) * self.strides[j] - 1 for x in (0, 1) for y in (0, 1)]
+        many = 4
+        while found := list(itertools.islice(sets, many)):
+            size = len(found[0])
+            values = (np.arange(2**size)[:, None] >> np.arange(size) & 1) - 2
+            places = self.strides[np.array(found, int).reshape(len(found), size)] @ values.T
+            accepted = _accepted(np.stack([self.sums[places + end] for end in ends]), self.alpha)
+            if accepted.any():
+                return found[int(accepted.argmax())]
+            many = max(4, min(many * 4, self.STRATA >> size))
+        return None
+
+
+def first_apart(test, i: int, j: int, sets) -> tuple[int, ...] | None:
+    """The first of ``sets`` (of one size) given which ``test`` says independent."""
+    if hasattr(test, "first"):
+        return test.first(i, j, sets)
+    return next((g for g in sets if test(i, j, g)), None)
 
 
 def skeleton(k: int, test, depth: int = -1) -> tuple[dict[int, set[int]], dict[frozenset, tuple[int, ...]]]:
-    """(neighbours, separating sets) of k variables by the order-free search; ``test(i, j, given)`` says independent."""
+    """(neighbours, separating sets) of k variables by the order-free search; ``test(i, j, given)``, the same for j and i, says independent."""
     near = {i: set(range(k)) - {i} for i in range(k)}
     apart: dict[frozenset, tuple[int, ...]] = {}
     for size in itertools.count():
@@ -65,20 +140,19 @@ def skeleton(k: int, test, depth: int = -1) -> tuple[dict[int, set[int]], dict[f
             return near, apart
         for i in range(k):
             for j in frozen[i]:
-                if j not in near[i]:
+                others = [x for x in frozen[i] if x != j]
+                if j not in near[i] or j < i and others == [x for x in frozen[j] if x != i]:  # met from the other end
                     continue
-                for given in itertools.combinations([x for x in frozen[i] if x != j], size):
-                    if test(i, j, given):
-                        near[i].discard(j)
-                        near[j].discard(i)
-                        apart[frozenset((i, j))] = given
-                        break
+                if (given := first_apart(test, i, j, itertools.combinations(others, size))) is not None:
+                    near[i].discard(j)
+                    near[j].discard(i)
+                    apart[frozenset((i, j))] = given
 
 
 def pc(patterns: np.ndarray, counts: np.ndarray, alpha: float = 0.05) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
     """(directed, undirected) edges: stable skeleton, colliders (first found wins a conflict), Meek's rules 1 to 3."""
     k = patterns.shape[1]
-    near, apart = skeleton(k, lambda i, j, given: independent(patterns, counts, i, j, given, alpha))
+    near, apart = skeleton(k, ChiSquare(patterns, counts, alpha))
     arrows: set[tuple[int, int]] = set()
     for z in range(k):
         for x, y in itertools.combinations(sorted(near[z]), 2):
@@ -114,6 +188,11 @@ def _matrix(pdf: pd.DataFrame, least: int = 5, least_active: int = 4, least_rows
     return [f for f, a in zip(factors, active, strict=True) if a], x[:, active], n
 
 
+def dealt(patterns: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """``patterns`` by ``keys`` in as many tasks as there are cores (``least`` at least): a group is little data and much work, so tasks are not put together for their size."""
+    return patterns.repartition(max(least, patterns.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def pc_by_category(patterns: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(category, pattern, n) -> (category, src, dst, directed): PC on each category's pattern counts."""
 
@@ -125,7 +204,7 @@ def pc_by_category(patterns: DataFrame, alpha: float = 0.05) -> DataFrame:
             rows = [(pdf.category.iloc[0], names[i], names[j], True) for i, j in sorted(arrows)] + [(pdf.category.iloc[0], names[i], names[j], False) for i, j in sorted(plain)]
         return pd.DataFrame(rows, columns=["category", "src", "dst", "directed"])
 
-    return patterns.groupBy("category").applyInPandas(learn, "category string, src string, dst string, directed boolean")
+    return dealt(patterns, "category").groupBy("category").applyInPandas(learn, "category string, src string, dst string, directed boolean")
 
 
 def bootstrap_stability(patterns: DataFrame, rounds: int = 30, share: float = 0.8, alpha: float = 0.05) -> DataFrame:
