@@ -208,8 +208,11 @@ def pc_by_category(patterns: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def bootstrap_stability(patterns: DataFrame, rounds: int = 30, share: float = 0.8, alpha: float = 0.05) -> DataFrame:
-    """Share of redraws in which each direction is found; a redraw is a multinomial over the pattern counts."""
-    spread = patterns.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
+    """Share of redraws in which each direction is found; a redraw is a multinomial over the pattern counts.
+
+    Redraws are dealt to ``rounds`` tasks at least.
+    """
+    spread = dealt(patterns.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")), "category", "b", least=rounds)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -52,3 +52,9 @@ def test_many_tests_at_once_agree_with_single_ones(held):
             want = [g for g in sets if plain(x, n, i, j, g, 0.05)]
             assert tests.first(i, j, sets) == (want[0] if want else None)
             assert [g for g in sets if tests(i, j, g)] == want
+
+
+def test_redraws_are_not_put_into_one_task(spark):
+    rows = [("A", ",".join(f for f, b in zip("abcd", bits, strict=True) if b), 20 + 7 * i) for i, bits in enumerate(itertools.product((0, 1), repeat=4))]
+    plan = networks.bootstrap_stability(spark.createDataFrame(rows, "category string, pattern string, n long"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(category" in plan and "REPARTITION_BY_NUM" in plan
