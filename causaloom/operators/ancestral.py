@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .networks import _matrix, independent, skeleton
+from .networks import ChiSquare, _matrix, dealt, first_apart, skeleton
 
 NONE, CIRCLE, ARROW, TAIL = range(4)
 MARKS = ("none", "circle", "arrow", "tail")
@@ -176,7 +176,8 @@ def fci(k: int, test, depth: int = -1) -> np.ndarray:
         for y in sorted(near[x]):
             others = [v for v in reach[x] if v != y]
             sizes = range(1, (len(others) if depth < 0 else min(depth, len(others))) + 1)
-            given = next((g for n in sizes for g in itertools.combinations(others, n) if not set(g) <= near[x] and test(x, y, g)), None)
+            found = (first_apart(test, x, y, (g for g in itertools.combinations(others, n) if not set(g) <= near[x])) for n in sizes)
+            given = next((g for g in found if g is not None), None)
             if given is not None:
                 near[x].discard(y)
                 near[y].discard(x)
@@ -210,11 +211,11 @@ def fci_by_category(patterns: DataFrame, alpha: float = 0.05, depth: int = -1, l
         rows = []
         if (found := _matrix(pdf, least)) is not None:
             names, x, n = found
-            m = fci(len(names), lambda i, j, given: independent(x, n, i, j, given, alpha), depth)
+            m = fci(len(names), ChiSquare(x, n, alpha), depth)
             rows = [(pdf.category.iloc[0], names[i], names[j], MARKS[m[j, i]], MARKS[m[i, j]]) for i, j in itertools.combinations(range(len(names)), 2) if m[i, j]]
         return pd.DataFrame(rows, columns=["category", "a", "b", "mark_a", "mark_b"])
 
-    return patterns.select("category", "pattern", "n").groupBy("category").applyInPandas(learn, "category string, a string, b string, mark_a string, mark_b string")
+    return dealt(patterns.select("category", "pattern", "n"), "category").groupBy("category").applyInPandas(learn, "category string, a string, b string, mark_a string, mark_b string")
 
 
 def edge_kinds(pag: DataFrame) -> DataFrame:

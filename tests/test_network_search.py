@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from causaloom.operators import networks
+from causaloom.operators import ancestral, networks
 
 
 def dense(k, n=400_000, seed=3):
@@ -29,7 +29,7 @@ def plain(x, n, i, j, given, alpha):
     return df == 0 or networks.chi2_tail(stat, df) > alpha
 
 
-@pytest.mark.parametrize("learn", [networks.pc], ids=["pc"])
+@pytest.mark.parametrize("learn", [networks.pc, lambda x, n: ancestral.fci(x.shape[1], networks.ChiSquare(x, n, 0.05))], ids=["pc", "fci"])
 def test_dense_category_ends_soon(learn):
     x, n = dense(12)
     began = time.process_time()
