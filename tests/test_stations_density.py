@@ -79,3 +79,47 @@ def test_binned_density_keeps_its_bound():
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id long, t double, d double, y int")
     assert density.density_ratio_auc(none, "t", "d", "y", "id").count() == 0
+
+
+def _pair_rows(frame):
+    """Rows that joins of the executed plan put out, by its own metrics."""
+    frame.collect()
+    total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_nearest_stations_against_all_pairs(spark):
+    r = random.Random(4)
+    spots = [(r.uniform(30, 33), r.uniform(-100, -96)) for _ in range(12)]
+    sites = [(k % 190, *r.choice(spots), r.choice([2000, 2005, None])) for k in range(200)] + [(900, None, 1.0, 2000), (901, -0.0, 0.0, 2000)]  # ten sites have two rows
+    posts = [(k % 140, *r.choice(spots), 1990 + k % 12, 2001 + k % 6, r.choice([True, False, None])) for k in range(150)] + [(999, 0.0, -0.0, 1990, 2010, True), (998, None, 0.0, 1990, 2010, True)]
+    near = {}
+    for site, lat, lon, yr in sites:
+        for name, a, b, begin, end, wban in posts:
+            if None not in (lat, a, yr) and begin <= yr <= end and abs(lon - b) <= 3 and (km := distance(lat, lon, a, b)) <= 60:
+                near.setdefault(site, []).append((not wban, round(km, 9), name))
+    want = [(site, rn, name) for site, found in near.items() for rn, (_, _, name) in enumerate(sorted(found)[:3], 1)]
+    got = stations.nearest_stations(spark.createDataFrame(sites, "site long, lat double, lon double, yr int"), spark.createDataFrame(posts, "station long, lat double, lon double, begin_year int, end_year int, wban boolean")).collect()
+    assert sorted((x.site, x.rn, x.station) for x in got) == sorted(want) and len(near) > 100
+    assert all(abs(x.km - sorted(near[x.site])[x.rn - 1][1]) < 6e-4 for x in got)
+
+
+def test_many_cases_and_stations_of_one_place_are_not_paired(spark):
+    cases = spark.range(2000).selectExpr("id AS case_id", "40.0D AS lat", "-100.0D AS lon", "2000 AS year", "cast(id % 12 + 1 AS int) AS month", "CAST(NULL AS string) AS facility")
+    posts = spark.range(500).selectExpr("id AS station", "'KX' AS code", "40.1D AS lat", "-100.1D AS lon", "1990 AS begin_year", "2010 AS end_year", "id % 2 = 0 AS known")
+    found = stations.candidates(cases, posts)
+    assert {(x.place, x.station) for x in found.collect()} == {(1, 0), (2, 2), (3, 4)} and found.count() == 6000
+    assert _pair_rows(found) < 20_000
+    close = stations.nearest_stations(cases.selectExpr("case_id AS site", "lat", "lon", "year AS yr"), posts.selectExpr("station", "lat", "lon", "begin_year", "end_year", "known AS wban"))
+    assert {(x.rn, x.station) for x in close.collect()} == {(1, 0), (2, 2), (3, 4)} and close.count() == 6000
+    assert _pair_rows(close) < 20_000
