@@ -42,31 +42,53 @@ def chi2_tail(x: float, df: int) -> float:
 
 @functools.cache
 def chi2_limit(df: int, alpha: float) -> float:
-    """The statistic with ``df`` degrees whose tail is ``alpha``."""
-    low, high = 0.0, 1.0
+    """The statistic with ``df`` degrees whose tail is ``alpha``, by Newton's steps between bounds."""
+    low, high = 0.0, float(df)
     while chi2_tail(high, df) > alpha and high < 2.0**60:
         low, high = high, high * 2
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (middle, high) if chi2_tail(middle, df) > alpha else (low, middle)
-    return high
+    x = (low + high) / 2
+    for _ in range(200):
+        beyond = chi2_tail(x, df) - alpha
+        low, high = (x, high) if beyond > 0 else (low, x)
+        slope = math.exp((df / 2 - 1) * math.log(x / 2) - x / 2 - math.lgamma(df / 2)) / 2
+        step = x + beyond / slope if slope else low
+        if not low < step < high:
+            step = (low + high) / 2
+        if abs(step - x) <= 1e-14 * x:
+            break
+        x = step
+    return x
 
 
-def _accepted(cells: np.ndarray, alpha: float) -> np.ndarray:
-    """Which tests say independent; ``cells`` are the counts of 00, 01, 10 and 11 as (4, tests, strata)."""
+def _strata(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(statistic, whether it counts) of each stratum; ``cells`` are the counts of 00, 01, 10 and 11."""
     a, b, c, d = cells
-    margins = (a + b) * (c + d) * (a + c) * (b + d)
+    first, second = a + b, c + d
+    margins = first * second * (a + c) * (b + d)
     full = margins > 0
-    stat = np.divide((a + b + c + d) * (a * d - b * c) ** 2, margins, out=np.zeros_like(margins), where=full).sum(axis=-1)
-    df = full.sum(axis=-1)
-    degrees, place = np.unique(df, return_inverse=True)
-    limit = np.array([chi2_limit(int(n), alpha) if n else np.inf for n in degrees])[place]
+    margins[~full] = 1  # there the numerator is zero
+    return (first + second) * (a * d - b * c) ** 2 / margins, full
+
+
+def _below_limit(stat: np.ndarray, df: np.ndarray, alpha: float) -> np.ndarray:
+    """Which statistics say independent; close to the limit the tail itself decides."""
+    limits = np.full(int(df.max(initial=0)) + 1, np.inf)
+    for n in np.flatnonzero(np.bincount(df)):
+        if n:
+            limits[n] = chi2_limit(int(n), alpha)
+    limit = limits[df]
     sure = stat < limit
     for i in np.flatnonzero(np.abs(stat - limit) < 1e-9 * limit):
         sure[i] = chi2_tail(float(stat[i]), int(df[i])) > alpha
     return sure
 
 
+def _accepted(cells: np.ndarray, alpha: float) -> np.ndarray:
+    """Which tests say independent; ``cells`` are the counts of 00, 01, 10 and 11 as (4, tests, strata)."""
+    stat, full = _strata(cells)
+    return _below_limit(stat.sum(axis=-1), full.sum(axis=-1), alpha)
+
+
 def independent(patterns: np.ndarray, counts: np.ndarray, i: int, j: int, given: tuple[int, ...], alpha: float) -> bool:
     """Chi-square test of columns i and j within the strata of ``given``, on weighted patterns."""
     stratum = np.zeros(len(patterns), int)
@@ -81,20 +103,24 @@ class ChiSquare:
     """``test(i, j, given)`` on weighted patterns; :meth:`first` runs through many ``given`` of one size at a time.
 
     Where they fit (``CELLS``), the counts of all partial assignments are summed once: every
-    variable is absent, present or left open.  The cells of any test are then looked up, and many tests
-    are one numpy expression.
+    variable is absent, present or left open.  The statistics of a pair under all sets of the other
+    variables are then sums over that table, made when the pair is first tested given ``WHOLE`` variables or
+    more; smaller tests look up their cells.  Either way many tests are one numpy expression.
     """
 
     #: Partial assignments (three to the power of the variables) that are held at most: 13 variables, 13 MB.
     CELLS = 3**13
     #: Strata that are looked up at a time.
     STRATA = 1 << 15
+    #: Size of the sets from which on a pair is tested given all sets at once.
+    WHOLE = 3
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, alpha: float):
         self.patterns, self.counts, self.alpha = patterns, counts, alpha
-        k = patterns.shape[1]
+        self.k = k = patterns.shape[1]
         self.strides = 3 ** np.arange(k - 1, -1, -1)
         self.sums = None
+        self.by_pair: dict[tuple[int, int], np.ndarray] = {}
         if 3**k <= self.CELLS:
             code = patterns.astype(int) @ (1 << np.arange(k - 1, -1, -1))
             cube = np.bincount(code, weights=counts, minlength=2**k).reshape((2,) * k)
@@ -105,13 +131,42 @@ class ChiSquare:
     def __call__(self, i: int, j: int, given: tuple[int, ...]) -> bool:
         return independent(self.patterns, self.counts, i, j, given, self.alpha)
 
+    def _all_sets(self, i: int, j: int) -> np.ndarray:
+        """Whether i and j are independent given each set of the others; the first of these is the highest binary digit of a set's place."""
+        i, j = min(i, j), max(i, j)
+        if (i, j) not in self.by_pair:
+            rest = self.k - 2
+            cells = np.moveaxis(self.sums.reshape((3,) * self.k), (i, j), (0, 1))[:2, :2].reshape(4, 3**rest)
+            now = np.stack(_strata(cells))
+            for done in range(rest):  # each variable is left open or given, which sums over its absence and presence
+                was = now.reshape(2 << done, 3, -1)
+                now = np.empty((2 << done, 2, was.shape[2]))
+                now[:, 0] = was[:, 2]
+                np.add(was[:, 0], was[:, 1], out=now[:, 1])
+            stat, df = now.reshape(2, -1)
+            self.by_pair[i, j] = _below_limit(stat, df.astype(int), self.alpha)
+        return self.by_pair[i, j]
+
     def first(self, i: int, j: int, sets) -> tuple[int, ...] | None:
         """The first of ``sets``, all of one size, given which i and j are independent."""
         sets = iter(sets)
         if self.sums is None:
             return next((g for g in sets if self(i, j, g)), None)
-        ends = [(x - 2) * self.strides[i] + (y - 2) * self.strides[j] - 1 for x in (0, 1) for y in (0, 1)]
         many = 4
+        if (head := next(sets, None)) is None:
+            return None
+        sets = itertools.chain([head], sets)
+        if len(head) >= self.WHOLE:
+            table = self._all_sets(i, j)
+            bit = np.zeros(self.k, int)
+            bit[[v for v in range(self.k) if v not in (i, j)]] = 1 << np.arange(self.k - 3, -1, -1)
+            while found := list(itertools.islice(sets, many)):
+                accepted = table[bit[np.array(found, int)].sum(axis=1)]
+                if accepted.any():
+                    return found[int(accepted.argmax())]
+                many = min(many * 8, self.STRATA)
+            return None
+        ends = [(x - 2) * self.strides[i] + (y - 2) * self.strides[j] - 1 for x in (0, 1) for y in (0, 1)]
         while found := list(itertools.islice(sets, many)):
             size = len(found[0])
             values = (np.arange(2**size)[:, None] >> np.arange(size) & 1) - 2

@@ -29,10 +29,16 @@ def links(d):
     SELECT record_id, idx, 1, idx - 2, 'contributing' FROM nodes WHERE idx >= 2 AND event_id % 3 = 0"""
 
 
+def record_fields(d):
+    """A record's category and severity, from its nodes."""
+    return f"concat('CAT', CAST(min(user_id) % 6 AS {d.S}))", "CASE WHEN min(user_id) % 17 = 0 THEN -1 ELSE CAST(least(4, floor(max(value) / 40)) AS INT) END"
+
+
 @fixture
 def records(d):
-    return f"""SELECT record_id, concat('CAT', CAST(min(user_id) % 6 AS {d.S})) AS category,
-      CASE WHEN min(user_id) % 17 = 0 THEN -1 ELSE CAST(least(4, floor(max(value) / 40)) AS INT) END AS sev_ordinal
+    category, severity = record_fields(d)
+    return f"""SELECT record_id, {category} AS category,
+      {severity} AS sev_ordinal
     FROM nodes GROUP BY record_id"""
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from causaloom.operators import ancestral, networks
+from causaloom.plans import catalog, custom
 
 
 def dense(k, n=400_000, seed=3):
@@ -58,3 +59,25 @@ def test_redraws_are_not_put_into_one_task(spark):
     rows = [("A", ",".join(f for f, b in zip("abcd", bits, strict=True) if b), 20 + 7 * i) for i, bits in enumerate(itertools.product((0, 1), repeat=4))]
     plan = networks.bootstrap_stability(spark.createDataFrame(rows, "category string, pattern string, n long"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(category" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_one_pass_over_the_chains_counts_what_the_queries_count(spark, sf_dir):
+    query = catalog.queries().__getitem__
+    patterns, supports = custom._chain_counts(spark, sf_dir)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert rows(patterns, "category", "pattern", "n", "y") == rows(query("outcome_patterns")(spark, sf_dir), "category", "pattern", "n", "y")
+    assert rows(custom._present(patterns), "category", "pattern", "n") == rows(query("presence_patterns")(spark, sf_dir), "category", "pattern", "n")
+    assert rows(supports, "category", "src", "dst", "support") == rows(query("category_edges")(spark, sf_dir), "category", "src", "dst", "support")
+    pairs, precedence, judged, _ = custom._known(custom._present(patterns), supports)
+    assert rows(pairs, "category", "i", "j", "cooccur") == rows(query("cooccurrence")(spark, sf_dir), "category", "i", "j", "cooccur")
+    assert rows(precedence, "category", "i", "j", "n") == rows(query("precedence")(spark, sf_dir), "category", "i", "j", "n")
+    assert judged.count() * 2 == pairs.count()
+
+
+def test_pairs_are_tested_given_all_sets_at_once(monkeypatch):
+    x, n = dense(9, n=3000)
+    want = networks.skeleton(9, lambda i, j, g: networks.independent(x, n, i, j, g, 0.05))
+    looked, accepted = [], networks._accepted
+    monkeypatch.setattr(networks, "_accepted", lambda cells, alpha: looked.append(cells[0].size) or accepted(cells, alpha))
+    assert networks.skeleton(9, networks.ChiSquare(x, n, 0.05)) == want
+    assert len(looked) < 36 * 2 * 9  # no set of three or more is looked up by itself
