@@ -7,8 +7,9 @@
 3. In each block a flat graph is built over members and replicas: robust pruning of the
    nearest candidates, some far ones, and the reverse edges.  The lists that a vector
    gets in its blocks are united.
-4. Queries (all vectors) go to every block of their nearest cells and of cells about as
-   near as the best.  How much farther a cell may be is set for each label by an audit:
+4. Queries (all vectors) go to every block of their own cell and, of their nearest cells and cells
+   about as near as the best, to those that the pair of cells sends them to: of two cells one
+   asks the other, and a link that it finds counts for both vectors.  How much farther a cell may be is set for each label by an audit:
    sampled queries are compared with all vectors of the label, and the margin is widened
    until the cells that it reaches hold ``ROUTED_RECALL`` of their links.  From the block's medoid, and from the query's own node if it is there, a greedy
    search finds the neighbourhood and expands it as long as it finds vectors within the
@@ -109,6 +110,11 @@ def probed_cells(p: np.ndarray, v: np.ndarray, margin: float, threshold: float =
     return at[able]
 
 
+def asks(own: int, others: np.ndarray) -> np.ndarray:
+    """Whether vectors of the cell ``own`` ask the cells ``others``: of two cells one asks the other; a cell asks itself."""
+    return (others == own) | ((own < others) == ((own + others) % 2 == 0))
+
+
 def audited_margins(nodes: DataFrame, pivots: dict[str, np.ndarray], threshold: float = THRESHOLD) -> dict[str, float]:
     """Margin of each space: the least, from ``MARGIN`` on, that leads sampled queries to ``ROUTED_RECALL`` of their links.
 
@@ -258,11 +264,15 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def search_block(own: list, x: np.ndarray, copies: np.ndarray, graph: list[np.ndarray], primary: np.ndarray, queries: list, q: np.ndarray, threshold: float):
-    """(links of each query to the block's own members, union of the linked nodes, audited and found links)."""
+def search_block(own: list, x: np.ndarray, copies: np.ndarray, graph: list[np.ndarray], primary: np.ndarray, queries: list, q: np.ndarray, threshold: float, visits: np.ndarray):
+    """(links of each query to the block's own members, links of each member to queries, union of the linked nodes, audited and found links).
+
+    ``visits`` are the copies of a query from another cell, whose links count for the
+    members too; 0 for one of the own cell, which the members ask themselves.
+    """
     place = {node: i for i, node in enumerate(own)}
     medoid = int(np.argmax(x @ x.mean(0)))
-    union, links = _Union(), np.zeros(len(queries), np.int64)
+    union, links, back = _Union(), np.zeros(len(queries), np.int64), np.zeros(len(own), np.int64)
 
     def scan(i: int) -> np.ndarray:
         return np.flatnonzero(x @ q[i] >= threshold)
@@ -277,6 +287,7 @@ def search_block(own: list, x: np.ndarray, copies: np.ndarray, graph: list[np.nd
         for j in found.tolist():
             if own[j] != queries[i]:
                 total += int(copies[j])
+                back[j] += visits[i]
                 union.join(queries[i], own[j])
         links[i] = total
         return total
@@ -293,7 +304,7 @@ def search_block(own: list, x: np.ndarray, copies: np.ndarray, graph: list[np.nd
         exact = found < AUDIT_RECALL * true
     for i in range(len(queries)):
         note(i, scan(i) if exact else look(i))
-    return links, union, true, found
+    return links, back, union, true, found
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -314,7 +325,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     pivots = spark.sparkContext.broadcast((chosen, audited_margins(nodes, chosen, threshold)))
 
     def route(batches):
-        """A row for each cell of a node: role 0 its own, 1 replica, 2 query only."""
+        """A row for each cell of a node: role 0 its own, 1 replica and query, 2 query only, 3 replica only."""
         for whole in batches:
             for part in pieces(whole, 4096):
                 spaces = part.column(0).to_pylist()
@@ -327,21 +338,23 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                         cells.append(s + "/0")
                         roles.append(0)
                         continue
-                    for rank, c in enumerate(probed_cells(p, np.frombuffer(units[i]), pivots.value[1].get(s, MARGIN), threshold)):
-                        at.append(i)
-                        cells.append(f"{s}/{c}")
-                        roles.append(min(2, rank))
+                    near = probed_cells(p, np.frombuffer(units[i]), pivots.value[1].get(s, MARGIN), threshold)
+                    for rank, (c, asked) in enumerate(zip(near.tolist(), asks(near[0], near).tolist(), strict=True)):
+                        if rank < 2 or asked:
+                            at.append(i)
+                            cells.append(f"{s}/{c}")
+                            roles.append(min(2, rank) if asked else 3)
                 took = part.select([1, 2, 3]).take(pa.array(at, pa.int64())) if at else part.select([1, 2, 3]).slice(0, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(roles, pa.int32()), *took.columns], ["cell", "role", "node", "copies", "unit"])
 
     routed = stored(nodes.select("space", "node", "copies", "unit").mapInArrow(route, "cell string, role int, node long, copies long, unit binary"), "routed")
-    large = routed.filter("role < 2").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    large = routed.filter("role <> 2").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     large = stored(large.select("cell", "blocks"), "large_cells")
     spread = routed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     held = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    # a node is a member of one block of its cell and a query in all of them
+    # a node is a member of one block of its cell and, unless it is a replica only, a query in all of them
     spread = spread.select("cell", "role", "node", "copies", "unit", held.alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"))
-    spread = spread.withColumn("block", F.concat_ws("#", "cell", "part")).withColumn("member", (F.col("role") < 2) & (F.col("home") == F.col("part"))).select("block", "role", "node", "copies", "unit", "member")
+    spread = spread.withColumn("block", F.concat_ws("#", "cell", "part")).withColumn("member", (F.col("role") != 2) & (F.col("home") == F.col("part"))).select("block", "role", "node", "copies", "unit", "member").filter("member or role <> 3")
 
     def build(key, batches):
         ids, x = [], []
@@ -357,12 +370,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     united = stored(graphs.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "graph")
 
     def search(key, batches):
-        own, copies, x, near, primary, queries, q = [], [], [], [], [], [], []
+        own, copies, x, near, primary, queries, q, visits = [], [], [], [], [], [], [], []
         for batch in batches:
             for role, node, n, unit, member, list_ in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 v = np.frombuffer(unit)
-                queries.append(node)
-                q.append(v)
+                if role != 3:
+                    queries.append(node)
+                    q.append(v)
+                    visits.append(n if role else 0)
                 if member:
                     own.append(node)
                     copies.append(n)
@@ -370,16 +385,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     near.append(list_ or [])
                     primary.append(role == 0)
         nodes_out, links_out, root_out, true, found = [], [], [], 0, 0
-        if own:
+        if own and queries:
             place = {node: i for i, node in enumerate(own)}
             graph = [np.array([place[j] for j in g if j in place], np.int64) for g in near]
-            links, union, true, found = search_block(own, np.stack(x), np.array(copies), graph, np.array(primary), queries, np.stack(q), threshold)
-            nodes_out, links_out = list(queries), links.tolist()
-            root_out = [union.find(n) if n in union.up else n for n in queries]
-            for n in union.up.keys() - set(queries):
-                nodes_out.append(n)
-                links_out.append(0)
-                root_out.append(union.find(n))
+            links, back, union, true, found = search_block(own, np.stack(x), np.array(copies), graph, np.array(primary), queries, np.stack(q), threshold, np.array(visits, np.int64))
+            total = dict.fromkeys([*queries, *union.up], 0)
+            for n, more in (*zip(queries, links.tolist(), strict=True), *zip(own, back.tolist(), strict=True)):
+                if more:
+                    total[n] += more
+            nodes_out, links_out = list(total), list(total.values())
+            root_out = [union.find(n) if n in union.up else n for n in total]
         nodes_out.append(None)
         links_out.append(true)
         root_out.append(found)

@@ -568,6 +568,25 @@ def test_vector_links_reach_other_cells(spark, monkeypatch):
     assert sum(not r.kept for r in got) >= 0.97 * 1200
 
 
+def test_of_two_cells_one_asks_the_other():
+    cells = np.arange(40)
+    asked = np.stack([vector_dedup.asks(a, cells) for a in cells])
+    assert asked.diagonal().all() and (asked ^ asked.T | np.eye(40, dtype=bool)).all()
+    assert abs(asked.sum(1) - 20.5).max() <= 1  # no cell asks many more than others
+
+
+def test_links_of_a_visitor_count_for_both():
+    rng = np.random.default_rng(2)
+    x = np.repeat(np.eye(8)[:, :8], 15, axis=0) + rng.normal(size=(120, 8)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    own, copies = list(range(119)), np.ones(119, np.int64)
+    graph = vector_dedup.build_graph(x[:119], 1)
+    links, back, union, _, _ = vector_dedup.search_block(own, x[:119], copies, graph, np.ones(119, bool), [119], x[119:], 0.93, np.array([3]))
+    near = np.flatnonzero(x[:119] @ x[119] >= 0.93)
+    assert links.tolist() == [len(near)] and back[near].tolist() == [3] * len(near) and back.sum() == 3 * len(near)
+    assert union.find(119) == near.min()
+
+
 def test_vector_margin_widens_until_links_are_reached(spark, monkeypatch):
     """Two pivots far apart, links between their cells farther away than the least margin."""
     monkeypatch.setattr(vector_dedup, "PROBES", 1)
