@@ -40,3 +40,16 @@ def test_many_copies_are_one_class(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "'a b c d e f g' AS text")
     members, found = dedupe.jaccard_classes(df)
     assert members.filter("rep = 0").count() == 20_000 and found.count() == 0
+
+
+def test_signatures_are_the_least_hashes_and_are_not_exploded(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [5, -7, 2**62]), (2, [0]), (3, list(range(-400, 700))), (1, [-9]), (None, [4])]
+    sets = spark.createDataFrame(rows, "doc_id long, set array<long>")
+    got = dedupe.signatures(sets, 9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    want = sets.select("doc_id", F.explode("set").alias("token")).groupBy("doc_id").agg(F.array(*[F.min(F.xxhash64(F.lit(p), "token")) for p in range(9)]).alias("sig"))
+    assert {(r.doc_id, tuple(r.sig)) for r in got.collect()} == {(r.doc_id, tuple(r.sig)) for r in want.collect()}
+    assert dedupe.signatures(sets.limit(0), 9).count() == 0
