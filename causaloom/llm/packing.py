@@ -21,8 +21,10 @@ partition.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 from ._common import CACHE_WORDS, as_binary, pieces, stored
 
 CAPACITY, END_ID = 2048, 1
-#: Longer runs are encoded each time and not remembered.
+#: Longer words are encoded each time and not remembered.
 LONGEST_RUN = 64
-#: Runs that are encoded at a time, and rows and bytes of texts that are cut at a time.
-RUNS, ROWS, BYTES = 64, 256, 2_000_000
+#: Rows and bytes of texts that are cut at a time.
+ROWS, BYTES = 256, 2_000_000
 
 
 #: Characters of the texts that are cut here entirely; other words are left to the tokenizer whole.
@@ -47,61 +49,68 @@ _PLAIN = re.compile(f"[\\t-\\r -~{_LETTERS}]*")
 _RUNS = f"[{_LETTERS}]+|'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[0-9]|[^\\t-\\r {_LETTERS}0-9]+"
 _CUT = re.compile(_RUNS)
 _CUT_MIXED = re.compile(f"(?<![^\\t-\\r ])[^\\t-\\r ]*(?:[^\\t-\\r -~{_LETTERS}]|<\\|)[^\\t-\\r ]*|{_RUNS}")
+#: The characters by which the tokenizer file writes the bytes from 128 on: their own, or, if that does not show, the next ones from 256 + 34 on.
+_SHOWN = [*range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_WRITTEN = {b: 290 + k for k, b in enumerate(b for b in range(0x80, 0x100) if b not in _SHOWN)}
 
 
-class Ids:
-    """Token ids of texts by a tokenizer that drops white space and case and looks at words one by one.
+def _cuts_alike(file: dict) -> bool:
+    """Whether a tokenizer file lowers, cuts and writes plain words as is done here, so that its model can be asked for a run."""
+    steps = lambda part: [(x["type"], (x.get("pattern") or {}).get("Regex"), x.get("add_prefix_space"), x.get("use_regex")) for x in (file[part] or {}).get(f"{part.replace('_', '')}s" if part != "normalizer" else "normalizers", [])]
+    cut = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    lowered = [("NFC", None, None, None), ("Replace", r"\s+", None, None), ("Lowercase", None, None, None)]
+    return steps("normalizer") == lowered and steps("pre_tokenizer") == [("Split", cut, None, None), ("ByteLevel", None, False, False)] and file["model"]["type"] == "BPE" and not file["model"]["dropout"]
 
-    Texts are cut into runs of letters, digits and signs; ids of runs are remembered, so
-    only what is new is encoded.  A word with other letters or a special token is a run.
-    The memory starts afresh at CACHE_WORDS runs, the generation before at hand.
+
+class Ids(dict):
+    """Token ids of words by a tokenizer that drops white space and case and looks at words one by one.
+
+    Plain texts are split at white space; ids of words are remembered, so only what is new is
+    cut into runs of letters, digits and signs, and only runs that are new are encoded, by the
+    tokenizer's model where its file cuts as is done here.  A word with other letters or a special
+    token is left to the tokenizer.  The memory starts afresh at CACHE_WORDS words, the generation before at hand.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.direct = self.tokenizer.model, _cuts_alike(json.loads(self.tokenizer.to_str()))
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
-        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
+        self.clear()
         self.older: dict[str, bytes] = {}
 
     def of(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id as little-endian numbers of ``kind``."""
-        cut = [_CUT.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else _CUT_MIXED.findall(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-            new = set().union(*cut)
-        known, older = self.known, self.older
-        known.update((run, older[run]) for run in new if run in older)
-        new = list(new.difference(known))
-        self._encode(new)
-        last = np.array([end], self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, runs)) + last for runs in cut]
-        for run in new:
-            if len(run) > LONGEST_RUN:
-                del known[run]
-        return out
-
-    def _encode(self, new: list[str]) -> None:
-        """Puts the ids of runs into ``known``; runs of plain letters, words to the tokenizer, are encoded RUNS at a time."""
-        plain, size = [r for r in new if _PLAIN.fullmatch(r) and "<|" not in r], np.dtype(self.kind).itemsize
-        groups = [plain[k : k + RUNS] for k in range(0, len(plain), RUNS)]
-        for runs, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids)
-            ends = (size * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) == len(runs):
-                data = ids.astype(self.kind).tobytes()
-                self.known.update(zip(runs, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        rest = [r for r in new if r not in self.known]
-        for run, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[run] = np.array(e.ids, self.kind).tobytes()
+        known, last = self.__getitem__, self._packed([end])
+        return [b"".join(map(known, t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else _CUT_MIXED.findall(t))) + last for t in texts]
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            ids = self._encoded(word)
+        if len(word) <= LONGEST_RUN:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _encoded(self, word: str) -> bytes:
+        if not self.direct or not _PLAIN.fullmatch(word) or "<|" in word:
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        runs = _CUT.findall(low)
+        if len(runs) > 1:
+            return b"".join([self[run] for run in runs])
+        return self._packed([t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_WRITTEN))])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
 
 
 @functools.lru_cache(maxsize=2)

@@ -197,6 +197,34 @@ def test_packing_against_the_tokenizer(spark, capacity):
     assert {k: (v.n_tokens, len(v.ids)) for k, v in whole.items()} == {k: (n, 4 * n) for k, n in sizes.items()}
 
 
+def test_plain_words_are_asked_of_the_model_and_once():
+    """Only words with other letters or a special token go through the whole tokenizer."""
+    ids, r, asked = packing.Ids(tokenizer()), random.Random(11), []
+    whole, model = ids.tokenizer, ids.model
+
+    class Recorded:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return whole.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    class Model:
+        def tokenize(self, run):
+            asked.append((run,))
+            return model.tokenize(run)
+
+    ids.tokenizer, ids.model = Recorded(), Model()
+    texts = ["".join(r.choice("abXYÉéßıſŉÿ29'\"!?.,_/<> \t") for _ in range(r.randint(0, 60))) for _ in range(2000)] + ["odd 漢字 word, <|endoftext|>", "plain plain"]
+    got = ids.of(texts, 1) + ids.of(texts, 1)
+    want = [np.array(e.ids + [1], "<u2").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == want + want
+    assert [a for a in asked if isinstance(a, str)] == ["漢字", "<|endoftext|>"]
+    assert len(asked) == len(set(asked))
+
+
 def test_packing_of_no_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer()).count() == 0
 
