@@ -269,6 +269,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items:
                     if part.num_columns > len(names):
                         found = [a + b for a, b in zip(part.column(len(names)).to_pylist(), found, strict=True)]
                     yield pa.RecordBatch.from_arrays([*rows, pa.array(found, arrow_kind)], [*names, "leaks"])
+            del cache
+            give_back()
 
         base = docs if out is None else out
         out = base.mapInArrow(scan, schema)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_binary, by_group, mix64, pieces, stored, word_hashes
+from ._common import as_binary, by_group, give_back, mix64, pieces, stored, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -52,6 +52,8 @@ SAMPLED = 16
 HOT_SHARE, HOT_MOST = 1024, 1 << 19
 #: Tokens that a task packs at once, and about as many as a range gets.
 PACKED = 2_000_000
+#: Tokens that are given their range at a time.
+SLICE = 1 << 16
 #: Members of a group, and their shared tokens, unless a single member has more.
 MEMBERS, MEMBER_TOKENS = 64, 32_000
 #: Classes of most copies whose standing rows the tasks know, 2 MB.
@@ -173,6 +175,49 @@ def _among(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)] == tokens
 
 
+def _ranges(tokens: np.ndarray, owner: np.ndarray, names: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a token is very frequent, its range) of all tokens, made SLICE at a time; very frequent ones go by their class."""
+    often, bucket = np.empty(len(tokens), bool), np.empty(len(tokens), np.uint16 if buckets <= 1 << 16 else np.int64)
+    for at in range(0, len(tokens), SLICE):
+        some = slice(at, at + SLICE)
+        often[some] = _among(tokens[some], hot)
+        bucket[some] = (mix64(np.where(often[some], names.view(np.uint64)[owner[some]], tokens[some])) >> np.uint64(32)).astype(np.int64) % buckets
+    return often, bucket
+
+
+def _packed(keys: np.ndarray, names: np.ndarray, ns: np.ndarray, owner: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
+    """A row (key, (class, n, count), column...) for each run of ``keys``; owners are places in ``names`` and ``ns``, in order within a run."""
+    cuts = _starts(keys)
+    out = [[] for _ in range(2 + len(columns))]
+    for lo, hi in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
+        at = _starts(owner[lo:hi])
+        own = owner[lo:hi][at]
+        out[0].append(int(keys[lo]))
+        out[1].append(_heads(names[own], ns[own], np.diff(np.append(at, hi - lo))))
+        for k, c in enumerate(columns):
+            out[2 + k].append(c[lo:hi].tobytes())
+    return [pa.array(c, pa.int64() if not k else pa.binary()) for k, c in enumerate(out)]
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column without nulls, where they lie."""
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+def _unpacked(batches: list[pa.RecordBatch], first: int, *kinds: str) -> list[np.ndarray]:
+    """(classes in order, their n, each token's place among them, column...) of packed rows."""
+    read = lambda k, kind: np.concatenate([np.zeros(0, kind), *[_bytes_of(b.column(first + k)).view(kind) for b in batches]])
+    head = read(0, _HEAD)
+    names, at = np.unique(head["class"].astype(np.int64), return_inverse=True)
+    ns = np.zeros(len(names), np.int64)
+    ns[at] = head["n"]
+    return [names, ns, np.repeat(at.astype(np.int32), head["count"]), *[read(1 + k, kind) for k, kind in enumerate(kinds)]]
+
+
 def _chosen_rows(classes: DataFrame) -> dict[int, tuple]:
     """class -> (doc_id, text_key) of the row that stands for it, of the classes of most rows: at most ``COPIED_MOST``.
 
@@ -192,44 +237,19 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, chosen: dict[int, tuple], b
     """
     known = texts.sparkSession.sparkContext.broadcast((hot, chosen))
 
-    def packed(keys, names, ns, owner, columns):
-        """A row (key, (class, n, count), column...) for each run of ``keys``; owners are sorted within a run."""
-        cuts = _starts(keys)
-        out = [[] for _ in range(2 + len(columns))]
-        for lo, hi in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
-            at = _starts(owner[lo:hi])
-            own = owner[lo:hi][at]
-            out[0].append(int(keys[lo]))
-            out[1].append(_heads(names[own], ns[own], np.diff(np.append(at, hi - lo))))
-            for k, c in enumerate(columns):
-                out[2 + k].append(c[lo:hi].tobytes())
-        return [pa.array(c, pa.int64() if not k else pa.binary()) for k, c in enumerate(out)]
-
-    def unpacked(batches, first, *kinds):
-        """(class of each token, n of each token, column...) of packed rows."""
-        head, rest = [], [[] for _ in kinds]
-        for b in batches:
-            head += [np.frombuffer(g, _HEAD) for g in b.column(first).to_pylist()]
-            for k, kind in enumerate(kinds):
-                rest[k] += [np.frombuffer(x, kind) for x in b.column(first + 1 + k).to_pylist()]
-        if not head:
-            return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, k) for k in kinds]
-        names, ns, count = (np.concatenate(head)[c].astype(np.int64) for c in ("class", "n", "count"))
-        return [np.repeat(names, count), np.repeat(ns, count), *[np.concatenate(r) for r in rest]]
-
     def pack(batches):
         sets, size = {}, 0
 
         def flush():
             names, ns = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
-            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ns)), ns)
-            often = _among(tokens, known.value[0])
-            bucket = (mix64(np.where(often, names.view(np.uint64)[owner], tokens)) >> np.uint64(32)).astype(np.int64) % buckets
+            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ns), dtype=np.int32), ns)
+            sets.clear()
+            often, bucket = _ranges(tokens, owner, names, known.value[0], buckets)
             for flag in (False, True):
                 ours = np.flatnonzero(often == flag)
                 if len(ours):
-                    order = ours[np.argsort(bucket[ours], kind="stable")]  # owners stay in order
-                    key, g, t = packed(bucket[order], names, ns, owner[order], [tokens[order].astype("<u8")])
+                    ours = ours[np.argsort(bucket[ours], kind="stable")]  # owners stay in order
+                    key, g, t = _packed(bucket[ours], names, ns, owner[ours], [tokens[ours].astype("<u8", copy=False)])
                     yield pa.RecordBatch.from_arrays([key, pa.array([flag] * len(key)), g, t], ["bucket", "often", "g", "t"])
 
         for whole in batches:
@@ -242,47 +262,59 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, chosen: dict[int, tuple], b
                         size += len(s)
                 if size >= PACKED:
                     yield from flush()
-                    sets, size = {}, 0
+                    size = 0
         if sets:
             yield from flush()
+        give_back()
 
     def meet(key, batches):
         """Those tokens of the range that several classes hold, for ranges of the classes."""
-        found = []
+        found, before = [], 0
         for flag in (False, True):
-            some = [b.filter(b.column(1)) if flag else b.filter(pc.invert(b.column(1))) for b in batches]
-            names, ns, tokens = unpacked(some, 2, "<u8")
-            order = np.lexsort((names, tokens))
-            names, ns, tokens = names[order], ns[order], tokens[order]
-            once = _starts(tokens, names)  # rows may be repeated
-            names, ns, tokens = names[once], ns[once], tokens[once]
-            starts = _starts(tokens)
-            count = np.diff(np.append(starts, len(tokens)))
-            rank = np.full(len(tokens), _LAST) if flag else np.repeat(np.log2(count, where=count > 0, out=np.zeros(len(count))).astype(np.int64), count)
+            names, ns, owner, tokens = _unpacked([b.filter(b.column(1)) if flag else b.filter(pc.invert(b.column(1))) for b in batches], 2, "<u8")
+            order = np.lexsort((owner, tokens))
+            owner, tokens = owner[order], tokens[order]
+            once = _starts(tokens, owner)  # rows may be repeated
+            del order
+            if len(once) < len(tokens):
+                owner, tokens = owner[once], tokens[once]
+            del once
+            count = np.diff(np.append(_starts(tokens), len(tokens)))
+            rank = np.full(len(tokens), _LAST, np.uint8) if flag else np.repeat(np.log2(count).astype(np.uint8), count)
             keep = rank > 0
-            found.append((names[keep], ns[keep], rank[keep].astype(np.uint8), tokens[keep]))
-        names, ns, rank, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
-        to = (mix64(names.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
-        order = np.lexsort((names, to))
-        names, ns, rank, tokens, to = names[order], ns[order], rank[order], tokens[order], to[order]
-        each = _starts(to, names)
-        owner = np.repeat(np.arange(len(each)), np.diff(np.append(each, len(to))))
-        yield pa.RecordBatch.from_arrays(packed(to, names[each], ns[each], owner, [rank, tokens.astype("<u8")]), ["bucket", "g", "r", "t"])
+            found.append((names, ns, owner[keep] + np.int32(before), rank[keep], tokens[keep]))
+            before = len(names)
+        both, ns, owner, rank, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found
+        to = ((mix64(both.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets).astype(np.int32)
+        order = np.lexsort((both, to))
+        place = np.empty(len(order), np.int32)  # a class may be there twice, with very frequent tokens and with others
+        place[order] = np.cumsum(np.append(0, both[order][1:] != both[order][:-1])[: len(order)])
+        first = _starts(place[order])
+        names, ns, to, owner = both[order][first], ns[order][first], to[order][first], place[owner]
+        order = np.argsort(owner, kind="stable")
+        rank, tokens, owner = rank[order], tokens[order], owner[order]
+        del order
+        yield pa.RecordBatch.from_arrays(_packed(to[owner], names, ns, owner, [rank, tokens.astype("<u8", copy=False)]), ["bucket", "g", "r", "t"])
 
     def gather(key, batches):
-        names, ns, rank, tokens = unpacked(batches, 1, "u1", "<u8")
-        order = np.lexsort((tokens, rank, names))
-        names, ns, tokens = names[order], ns[order], tokens[order]
-        starts = _starts(names)
-        count = np.diff(np.append(starts, len(names)))
-        able = count >= needed(ns[starts])
-        inside = np.repeat(able, count)
-        starts, count, tokens = starts[able], count[able], tokens[inside]
+        names, ns, owner, rank, tokens = _unpacked(batches, 1, "u1", "<u8")
+        order = np.lexsort((tokens, rank, owner))
+        del rank
+        owner, tokens = owner[order], tokens[order]
+        del order
+        starts = _starts(owner)
+        count = np.diff(np.append(starts, len(owner)))
+        own = owner[starts]
+        able = count >= needed(ns[own])
+        tokens = tokens[np.repeat(able, count)]
+        count, names, ns = count[able], names[own[able]], ns[own[able]]
+        del owner
         offsets = np.append(0, np.cumsum(count))
         mins = np.array([np.minimum.reduceat(mix64(tokens ^ m) >> np.uint64(1), offsets[:-1]) if len(count) else [] for m in (_M[i % 5] + np.uint64(i) for i in range(MINHASHES))]).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(names[starts]), pa.array(ns[starts]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64))),
+                pa.array(names), pa.array(ns), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1) * MINHASHES, pa.int32()), pa.array(mins.T.ravel())),
             ],
             ["class", "n", "tokens", "mins"],

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, as_binary, by_group, fold, pieces, stored
+from ._common import CACHE_WORDS, as_binary, by_group, fold, give_back, pieces, stored
 from .labelled import labelled_sample
 
 BUCKETS = 1 << 18
@@ -224,6 +224,8 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, threshold: fl
                 texts = as_binary(part.column(part.schema.get_field_index("text"))).to_pylist()
                 scores = [model.score(slots_of(t, terms)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in carried] + [pa.array(scores, pa.float64())], [*carried, "toxicity"])
+        del terms
+        give_back()
 
     return docs.mapInArrow(scored, schema).withColumn("toxic_predicted", (F.col("toxicity") >= threshold).cast("int"))
 

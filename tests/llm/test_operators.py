@@ -6,9 +6,12 @@ import html
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -606,3 +609,53 @@ def test_vector_margin_widens_until_links_are_reached(spark, monkeypatch):
                 true += 1
                 reached += int(np.argmax(p @ v)) in cells
     assert reached >= 0.99 * true
+
+
+class Steps:
+    """Stands for a DataFrame and its session; keeps the functions that the tasks would run."""
+
+    def __init__(self):
+        self.made, self.sparkSession, self.sparkContext = [], self, self
+
+    def broadcast(self, value):
+        return types.SimpleNamespace(value=value)
+
+    def select(self, *columns):
+        return self
+
+    groupBy = select
+
+    def mapInArrow(self, made, schema):
+        self.made.append(made)
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def test_shared_tokens_hold_few_numbers_a_token_at_a_time():
+    """What the workers hold for a range beside the 8 bytes of each of its tokens, for it adds to an executor's memory."""
+    r, steps = random.Random(3), Steps()
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 300))) for _ in range(2500)]
+    texts = [t + " one two three four five six" if i % 5 == 0 else t for i, t in enumerate(texts)] + texts[:200] + ["", None, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(texts)], ["doc_id", "text_key", "text"])
+    hot = np.sort(ngram_join.shingle_sets([b"one two three four five six"])[0])
+    ngram_join.shared_tokens(steps, hot, {}, 1)
+    pack, meet, gather = steps.made
+
+    def run(made):
+        tracemalloc.start()
+        out = made()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    packed, most = run(lambda: pa.Table.from_batches(list(pack(iter([batch])))))
+    sets = {tuple(s.tolist()) for s in ngram_join.shingle_sets([(t or "").encode() for t in texts]) if len(s)}
+    n = sum(map(len, sets))
+    assert most < 65 * n
+    met, most = run(lambda: meet((pa.scalar(0),), packed))
+    assert most < 50 * n
+    held, often = collections.Counter(t for s in sets for t in s), set(hot.tolist())
+    want = sorted((len(s), sorted(own)) for s in sets if len(own := [np.uint64(t).astype(np.int64).item() for t in s if held[t] > 1 or t in often]) >= ngram_join.needed(len(s)))
+    assert sorted((x["n"], sorted(x["tokens"])) for x in gather((pa.scalar(0),), met).to_pylist()) == want
