@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def once(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder (the warehouse's where none is set) and read from there."""
-    spark = df.sparkSession
+
+def _folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, the warehouse's where none is set."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder and read from there."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def once_by_column(df: DataFrame) -> DataFrame:
+    """Like :func:`once`, in Parquet: small for values that repeat, and readers take the columns that they need."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many tasks as there are cores, if it comes in fewer; larger inputs stay as they are split."""
     cores = df.sparkSession.sparkContext.defaultParallelism

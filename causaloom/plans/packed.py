@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich, links, prompts, sensitivity, typed_edges
-from ..operators.shared import once
-from .custom import ORACLES, _fixture
+from ..operators.shared import once, once_by_column
+from .custom import ORACLES, _derived, _fixture
 from .registry import custom, fixture, operator
 
 PATHS = enrich.Paths(keyed={"coded:pre": ("pre", "coded_pre"), "coded:new": ("new", "coded_new")}, databases=("pre", "new"), reports="report", by_number="report_by_number", manifest_only="manifest_only", coded="own:", coded_name="own")
@@ -74,9 +74,12 @@ def all_records(d):
     UNION ALL SELECT concat('R', CAST(c_custkey AS {d.S})), 'report' FROM customer UNION ALL SELECT concat('P', CAST(p_partkey AS {d.S})), 'own:parts' FROM part UNION ALL SELECT concat('S', CAST(s_suppkey AS {d.S})), 'other' FROM supplier"""
 
 
-def _enriched(spark, sf_dir):
-    names = {"events": "coded_events", "aircraft": "coded_aircraft", "findings": "coded_findings", "occurrences": "coded_occurrences", "sequence": "coded_entries", "injuries": "coded_injuries", "codes": "code_list"}
-    return enrich.enriched(_fixture(spark, sf_dir, "all_records"), {k: _fixture(spark, sf_dir, v) for k, v in names.items()}, _fixture(spark, sf_dir, "report_list"), _fixture(spark, sf_dir, "own_coded"), PATHS)
+def _enriched(spark, sf_dir, fields=enrich.PAYLOAD):
+    """The four child tables come from one frame of findings, which is made once."""
+    findings = once_by_column(_fixture(spark, sf_dir, "findings"))
+    tables = {k: _derived(spark, v, findings=findings) for k, v in {"findings": "coded_findings", "occurrences": "coded_occurrences", "sequence": "coded_entries", "injuries": "coded_injuries"}.items()}
+    tables |= {k: _fixture(spark, sf_dir, v) for k, v in {"events": "coded_events", "aircraft": "coded_aircraft", "codes": "code_list"}.items()}
+    return enrich.enriched(_fixture(spark, sf_dir, "all_records"), tables, _fixture(spark, sf_dir, "report_list"), _fixture(spark, sf_dir, "own_coded"), PATHS, fields)
 
 
 @custom

@@ -128,6 +128,27 @@ def test_enriched_against_a_plain_loop(spark, seed):
     assert {w[5] for w in want} >= {"old_coded", "new_coded", "own", None}
 
 
+def test_children_are_moved_once_and_only_those_that_are_wanted(spark):
+    """Grouped children join where they are, and a field that is not wanted moves nothing."""
+    t = random_tables(random.Random(2))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        whole, some = enrich.enriched(*frames(spark, t), PATHS), enrich.enriched(*frames(spark, t), PATHS, fields=["primary_cause_text"])
+        plan, less = (x._jdf.queryExecution().executedPlan().toString() for x in (whole, some))
+        moved = [x for x in plan.split("\n") if "Exchange" in x]
+        assert any("aircraft_key" in x for x in moved) and not any("cast(aircraft_key" in x for x in moved)
+        assert "injury_level" in plan and "injury_level" not in less and less.count("Exchange") < len(moved) - 4
+        want = [(r.record_id, r.supervision_source, r.structured and r.structured.primary_cause_text) for r in whole.collect()]
+        got = [(r.record_id, r.supervision_source, r.structured and r.structured.primary_cause_text) for r in some.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert all(v is None for r in some.collect() if r.structured for k, v in r.structured.asDict().items() if k != "primary_cause_text")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_enriched_of_empty_tables(spark):
     t = random_tables(random.Random(9))
     empty = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
