@@ -31,6 +31,10 @@ def _section(title: str, rows: Column, lines: Column, most: int | None = None, w
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(F.lit(title)), F.array_compact(lines), rest), "\n"))
 
 
+#: The fields of ``structured`` that the block tells.
+FIELDS = ("primary_cause_text", "secondary_cause_text", "occurrences", "seq_of_events", "findings", "injury", "aircraft")
+
+
 def supervision_text(structured: Column) -> Column:
     """The block of a payload of ``enrich``; null without causes, entries and findings."""
     cause, second = _said(structured["primary_cause_text"]), _said(structured["secondary_cause_text"])

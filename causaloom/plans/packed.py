@@ -105,7 +105,7 @@ def packed_prompts(spark, sf_dir):
     """The question of every record for a model: what it tells, here its name, and its coded findings."""
     content = prompts.question(F.col("record_id"), prompts.supervision_text(F.col("structured")))
     messages = prompts.conversation("Extract the causal chain.", [{"narrative": "Fuel ran out.", "extraction": {"chain": []}}], content)
-    return _enriched(spark, sf_dir).select("record_id", messages.alias("m")).select("record_id", F.size("m").alias("n_messages"), F.element_at("m", -1)["content"].alias("content"))
+    return _enriched(spark, sf_dir, prompts.FIELDS).select("record_id", messages.alias("m")).select("record_id", F.size("m").alias("n_messages"), F.element_at("m", -1)["content"].alias("content"))
 
 
 def _packed_sql():
