@@ -97,7 +97,7 @@ def enriched_records(spark, sf_dir):
 @custom
 def enrichment_coverage(spark, sf_dir):
     """Records of a source, those with supervision and those with a primary cause."""
-    return enrich.coverage(_enriched(spark, sf_dir))
+    return enrich.coverage(_enriched(spark, sf_dir, ["primary_cause_text"]))
 
 
 @custom
