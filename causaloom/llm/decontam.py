@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import CACHE_WORDS, as_binary, pieces
+from ._common import CACHE_WORDS, as_binary, give_back, pieces
 
 RATE = 0.2
 #: Items of fewer words are too short to tell a leak from a common phrase; they match nothing.
