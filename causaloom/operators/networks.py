@@ -64,10 +64,18 @@ def _strata(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(statistic, whether it counts) of each stratum; ``cells`` are the counts of 00, 01, 10 and 11."""
     a, b, c, d = cells
     first, second = a + b, c + d
-    margins = first * second * (a + c) * (b + d)
+    margins = first * second
+    part = a + c
+    margins *= part
+    margins *= np.add(b, d, out=part)
     full = margins > 0
-    margins[~full] = 1  # there the numerator is zero
-    return (first + second) * (a * d - b * c) ** 2 / margins, full
+    margins += ~full  # there the numerator is zero
+    stat = a * d
+    stat -= np.multiply(b, c, out=part)
+    stat *= stat
+    stat *= np.add(first, second, out=first)
+    stat /= margins
+    return stat, full
 
 
 def _below_limit(stat: np.ndarray, df: np.ndarray, alpha: float) -> np.ndarray:
@@ -113,7 +121,7 @@ class ChiSquare:
     #: Strata that are looked up at a time.
     STRATA = 1 << 15
     #: Size of the sets from which on a pair is tested given all sets at once.
-    WHOLE = 3
+    WHOLE = 1
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, alpha: float):
         self.patterns, self.counts, self.alpha = patterns, counts, alpha
@@ -121,10 +129,11 @@ class ChiSquare:
         self.strides = 3 ** np.arange(k - 1, -1, -1)
         self.sums = None
         self.by_pair: dict[tuple[int, int], np.ndarray] = {}
+        self.by_size: dict[tuple[int, int], dict[int, np.ndarray]] = {}
         if 3**k <= self.CELLS:
             code = patterns.astype(int) @ (1 << np.arange(k - 1, -1, -1))
             cube = np.bincount(code, weights=counts, minlength=2**k).reshape((2,) * k)
-            for axis in range(k):
+            for axis in reversed(range(k)):  # so that long stretches are copied last
                 cube = np.concatenate([cube, cube.sum(axis=axis, keepdims=True)], axis=axis)
             self.sums = cube.ravel()
 
@@ -147,6 +156,26 @@ class ChiSquare:
             self.by_pair[i, j] = _below_limit(stat, df.astype(int), self.alpha)
         return self.by_pair[i, j]
 
+    def within(self, i: int, j: int, others: list[int], size: int) -> tuple[int, ...] | None:
+        """The first set of ``size`` of the ascending ``others`` given which i and j are independent; larger sets are not gone through, for all are known."""
+        if self.sums is None or size < self.WHOLE:
+            return self.first(i, j, itertools.combinations(others, size))
+        i, j = min(i, j), max(i, j)
+        if (i, j) not in self.by_size:
+            places = np.flatnonzero(self._all_sets(i, j))[::-1]  # of one size, the first set has the highest place
+            sizes = np.bitwise_count(places)
+            self.by_size[i, j] = {int(n): places[sizes == n] for n in np.unique(sizes)}
+        places = self.by_size[i, j].get(size)
+        if places is None:
+            return None
+        rest = [v for v in range(self.k) if v not in (i, j)]
+        bit = {v: 1 << (self.k - 3 - at) for at, v in enumerate(rest)}
+        inside = places & ~sum(bit[v] for v in others) == 0
+        if not inside.any():
+            return None
+        place = int(places[int(inside.argmax())])
+        return tuple(v for v in rest if place & bit[v])
+
     def first(self, i: int, j: int, sets) -> tuple[int, ...] | None:
         """The first of ``sets``, all of one size, given which i and j are independent."""
         sets = iter(sets)
@@ -198,7 +227,8 @@ def skeleton(k: int, test, depth: int = -1) -> tuple[dict[int, set[int]], dict[f
                 others = [x for x in frozen[i] if x != j]
                 if j not in near[i] or j < i and others == [x for x in frozen[j] if x != i]:  # met from the other end
                     continue
-                if (given := first_apart(test, i, j, itertools.combinations(others, size))) is not None:
+                given = test.within(i, j, others, size) if hasattr(test, "within") else first_apart(test, i, j, itertools.combinations(others, size))
+                if given is not None:
                     near[i].discard(j)
                     near[j].discard(i)
                     apart[frozenset((i, j))] = given
@@ -359,20 +389,22 @@ def _evidence(pairs: DataFrame, cooccurrence: DataFrame, precedence: DataFrame,
     before, after = F.coalesce("_ij", F.lit(0)), F.coalesce("_ji", F.lit(0))
     rows = rows.withColumn("support", F.coalesce("support", F.lit(0))).withColumn("score", (before + 1) / (before + after + 2)).drop("_ij", "_ji")
 
-    def both(table, *values):
-        return table.select(*key, *values).union(table.select("category", F.col("j").alias("i"), F.col("i").alias("j"), *values))
+    def both(table, there, back):
+        """Rows in both orders, from one reading."""
+        way = lambda a, b, values: F.struct(F.col(a).alias("i"), F.col(b).alias("j"), *values)
+        return table.select("category", F.explode(F.array(way("i", "j", there), way("j", "i", back))).alias("w")).select("category", "w.*")
 
     if judgments is None:
         rows = rows.select("*", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("double").alias("confidence"))
     else:
         turned = F.when(F.col("relation") == "a_before_b", "b_before_a").when(F.col("relation") == "b_before_a", "a_before_b").otherwise(F.col("relation"))
-        seen = judgments.filter("relation IS NOT NULL").select(*key, "relation", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-        seen = seen.union(seen.select("category", F.col("j").alias("i"), F.col("i").alias("j"), turned, "confidence"))
+        confidence = F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+        seen = both(judgments.filter("relation IS NOT NULL"), [F.col("relation"), confidence], [turned.alias("relation"), confidence])
         best = seen.groupBy(*key).agg(F.max(F.struct("confidence", "relation")).alias("b")).select(*key, "b.relation", "b.confidence")
         rows = rows.join(best, key, "left")
     if priors is None:
         return rows.withColumn("prior", F.lit(None).cast("double"))
-    return rows.join(both(priors, "prior").groupBy(*key).agg(F.max("prior").alias("prior")), key, "left")
+    return rows.join(both(priors, [F.col("prior")], [F.col("prior")]).groupBy(*key).agg(F.max("prior").alias("prior")), key, "left")
 
 
 def finished_network(found: DataFrame, cooccurrence: DataFrame, precedence: DataFrame, judgments: DataFrame | None = None, priors: DataFrame | None = None, least: int = 10, least_prior: float = 0.4) -> DataFrame:

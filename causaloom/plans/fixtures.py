@@ -10,15 +10,21 @@ from __future__ import annotations
 from .registry import fixture
 
 
+def node_fields(d):
+    """An event's record and, from its type and ``k``, its factor; and ``k``."""
+    return f"concat(CAST(user_id AS {d.S}), '_', {d.day('ts')})", f"concat(upper(event_type), '_', CAST(k % 3 AS {d.S}))", f"CAST({d.json_field('props', 'k')} AS INT)"
+
+
 @fixture
 def nodes(d):
+    record, factor, k = node_fields(d)
     return f"""SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY ts, event_id) - 1 AS INT) AS idx,
       CASE event_type WHEN 'purchase' THEN 'outcome' WHEN 'signup' THEN 'condition' ELSE 'event' END AS class,
-      concat(upper(event_type), '_', CAST(k % 3 AS {d.S})) AS factor_type,
+      {factor} AS factor_type,
       CASE WHEN event_type = 'purchase' THEN 'outcome' WHEN value >= 60 THEN 'primary' ELSE 'contributing' END AS cause_role,
       CASE k % 5 WHEN 0 THEN 'takeoff' WHEN 1 THEN 'cruise' WHEN 2 THEN 'approach' WHEN 3 THEN 'landing' ELSE NULL END AS phase_of_flight,
       value, event_id, user_id, k
-    FROM (SELECT e.*, concat(CAST(user_id AS {d.S}), '_', {d.day('ts')}) AS record_id, CAST({d.json_field('props', 'k')} AS INT) AS k FROM events e) t"""
+    FROM (SELECT e.*, {record} AS record_id, {k} AS k FROM events e) t"""
 
 
 @fixture

@@ -81,3 +81,41 @@ def test_pairs_are_tested_given_all_sets_at_once(monkeypatch):
     monkeypatch.setattr(networks, "_accepted", lambda cells, alpha: looked.append(cells[0].size) or accepted(cells, alpha))
     assert networks.skeleton(9, networks.ChiSquare(x, n, 0.05)) == want
     assert len(looked) < 36 * 2 * 9  # no set of three or more is looked up by itself
+
+
+def test_larger_sets_are_looked_up_and_not_gone_through():
+    rng = np.random.default_rng(8)
+    x = np.array(list(itertools.product((0, 1), repeat=8)), bool)[rng.permutation(256)[:150]]
+    tests = networks.ChiSquare(x, rng.poisson(4, 150).astype(float), 0.05)
+    for i, j in itertools.permutations(range(8), 2):
+        others = [v for v in range(8) if v not in (i, j) and rng.random() < 0.8]
+        for size in range(len(others) + 2):
+            assert tests.within(i, j, others, size) == next((g for g in itertools.combinations(others, size) if tests(i, j, g)), None)
+
+
+def test_chains_of_odd_events_are_counted(spark, tmp_path):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    kinds = ["click", "error", "purchase", "signup", "view", "other", None]
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k if rng.random() > 0.03 else None, day + dt.timedelta(minutes=7 * k) if rng.random() > 0.05 else None, int(rng.integers(9)) if rng.random() > 0.05 else None, kinds[rng.integers(7)], float(rng.integers(300)), f'{{"k": {rng.integers(9)}}}' if rng.random() > 0.1 else [None, "{}"][k % 2]) for k in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    query = catalog.queries().__getitem__
+    patterns, supports = custom._chain_counts(spark, str(tmp_path))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    known = "category IS NOT NULL"
+    assert rows(patterns.filter(known), "category", "pattern", "n", "y") == rows(query("outcome_patterns")(spark, str(tmp_path)).filter(known), "category", "pattern", "n", "y")
+    assert rows(custom._present(patterns), "category", "pattern", "n") == rows(query("presence_patterns")(spark, str(tmp_path)), "category", "pattern", "n")
+    assert rows(supports, "category", "src", "dst", "support") == rows(query("category_edges")(spark, str(tmp_path)), "category", "src", "dst", "support")
+
+
+def test_a_dense_search_of_twelve_factors_is_quick():
+    x, n = dense(12)
+    networks.pc(x, n)
+    began = time.process_time()
+    tests = networks.ChiSquare(x, n, 0.05)
+    networks.skeleton(12, tests)
+    tables = len(tests.by_size)
+    took = time.process_time() - began
+    assert tables == 66 and took < 5
