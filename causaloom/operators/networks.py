@@ -292,27 +292,39 @@ def pc_by_category(patterns: DataFrame, alpha: float = 0.05) -> DataFrame:
     return dealt(patterns, "category").groupBy("category").applyInPandas(learn, "category string, src string, dst string, directed boolean")
 
 
-def bootstrap_stability(patterns: DataFrame, rounds: int = 30, share: float = 0.8, alpha: float = 0.05) -> DataFrame:
-    """Share of redraws in which each direction is found; a redraw is a multinomial over the pattern counts.
+def searches(patterns: DataFrame, rounds: int = 30, share: float = 0.8, alpha: float = 0.05, whole: bool = True) -> DataFrame:
+    """(category, b, src, dst, directed): networks of ``rounds`` redraws, a redraw being a multinomial over the pattern counts, and with
+    ``whole`` those of :func:`pc_by_category` as redraw -1; redraws give undirected edges both ways.
 
-    Redraws are dealt to ``rounds`` tasks at least.
+    They are dealt to ``rounds`` tasks at least.
     """
-    spread = dealt(patterns.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")), "category", "b", least=rounds)
+    spread = dealt(patterns.select("*", F.explode(F.sequence(F.lit(-1 if whole else 0), F.lit(rounds - 1))).alias("b")), "category", "b", least=rounds)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         pdf = pdf.sort_values("pattern")
         if (m := _matrix(pdf)) is not None:
             names, x, n = m
-            rng = np.random.default_rng([int(pdf.b.iloc[0]), len(names), int(n.sum())])
-            drawn = rng.multinomial(int(share * n.sum()), n / n.sum())
-            arrows, plain = pc(x, drawn.astype(float), alpha)
-            both = arrows | plain | {(j, i) for i, j in plain}
-            rows = [(pdf.category.iloc[0], names[i], names[j]) for i, j in sorted(both)]
-        return pd.DataFrame(rows, columns=["category", "src", "dst"])
-
-    found = spread.groupBy("category", "b").applyInPandas(learn, "category string, src string, dst string")
-    return found.groupBy("category", "src", "dst").agg((F.count("*") / rounds).alias("stability"))
+            b = int(pdf.b.iloc[0])
+            if b >= 0:
+                rng = np.random.default_rng([b, len(names), int(n.sum())])
+                n = rng.multinomial(int(share * n.sum()), n / n.sum()).astype(float)
+            arrows, plain = pc(x, n, alpha)
+            both = plain if b < 0 else plain | {(j, i) for i, j in plain}
+            rows = [(pdf.category.iloc[0], b, names[i], names[j], way) for found, way in ((arrows, True), (both, False)) for i, j in sorted(found)]
+        return pd.DataFrame(rows, columns=["category", "b", "src", "dst", "directed"])
+
+    return spread.groupBy("category", "b").applyInPandas(learn, "category string, b int, src string, dst string, directed boolean")
+
+
+def stability(found: DataFrame, rounds: int = 30) -> DataFrame:
+    """(category, src, dst, stability) of :func:`searches`: the share of redraws in which each direction is found."""
+    return found.filter("b >= 0").groupBy("category", "src", "dst").agg((F.count("*") / rounds).alias("stability"))
+
+
+def bootstrap_stability(patterns: DataFrame, rounds: int = 30, share: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """Share of redraws in which each direction is found."""
+    return stability(searches(patterns, rounds, share, alpha, whole=False), rounds)
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:

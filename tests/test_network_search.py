@@ -93,6 +93,18 @@ def test_larger_sets_are_looked_up_and_not_gone_through():
             assert tests.within(i, j, others, size) == next((g for g in itertools.combinations(others, size) if tests(i, j, g)), None)
 
 
+def test_one_job_searches_the_patterns_and_their_redraws(spark):
+    rng = np.random.default_rng(2)
+    rows = [(c, ",".join(f for f, b in zip("abcde", bits, strict=True) if b), int(rng.poisson(40 if sum(bits) % 2 else 15)) + 1) for c in "AB" for bits in itertools.product((0, 1), repeat=5)]
+    df = spark.createDataFrame(rows, "category string, pattern string, n long")
+    found = networks.searches(df, 4).cache()
+    got = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    edges = "category", "src", "dst", "directed"
+    assert got(found.filter("b < 0"), *edges) == got(networks.pc_by_category(df), *edges) != []
+    assert got(networks.stability(found, 4), "category", "src", "dst", "stability") == got(networks.bootstrap_stability(df, 4), "category", "src", "dst", "stability") != []
+    found.unpersist()
+
+
 def test_chains_of_odd_events_are_counted(spark, tmp_path):
     import datetime as dt
 
