@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 from causaloom.operators import dedupe
 
@@ -53,3 +54,34 @@ def test_signatures_are_the_least_hashes_and_are_not_exploded(spark):
     want = sets.select("doc_id", F.explode("set").alias("token")).groupBy("doc_id").agg(F.array(*[F.min(F.xxhash64(F.lit(p), "token")) for p in range(9)]).alias("sig"))
     assert {(r.doc_id, tuple(r.sig)) for r in got.collect()} == {(r.doc_id, tuple(r.sig)) for r in want.collect()}
     assert dedupe.signatures(sets.limit(0), 9).count() == 0
+
+
+def test_shingle_hashes_are_those_of_the_words():
+    r = random.Random(4)
+    texts = ["", " \x0b\n", "a", "a b", "b a", "a b c d e", "ab c d e f", "a\tb\x0cc d\re f", "x" * 5000 + " y", "é ü 漢字   z", *[" ".join(r.choice("abc") for _ in range(r.randint(1, 40))) for _ in range(300)]]
+
+    def grams(t):
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    want, got = [grams(t) for t in texts], dedupe.shingle_sets([t.encode() for t in texts])
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all((x[1:] > x[:-1]).all() for x in got)
+    for i, j in itertools.combinations(range(0, len(texts), 3), 2):
+        assert len(want[i] & want[j]) == len(set(got[i].tolist()) & set(got[j].tolist()))
+
+
+def test_only_prefixes_are_shuffled_and_frequent_shingles_come_last(spark):
+    import numpy as np
+
+    line = " ".join(f"common{i}" for i in range(12))
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(40)) + " " + line) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n, least = 48, 10  # 48 shingles, a prefix has 48 - ceil(0.8 * 48) + 1
+    first = dedupe._prefix_rows(df, 0.8, np.zeros(0, np.int64)).collect()
+    assert len(first) == 60 * least and {r.place >> 32 for r in first} == {n}
+    common = np.array(dedupe.shingle_sets([line.encode()])[0])
+    last = dedupe._prefix_rows(df, 0.8, common).collect()
+    assert len(last) == 60 * least and not {r.token for r in last} & set(common.tolist())
+    members, found = dedupe.jaccard_classes(df)
+    assert members.count() == 60 and found.count() == 0
