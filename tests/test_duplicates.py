@@ -85,3 +85,80 @@ def test_only_prefixes_are_shuffled_and_frequent_shingles_come_last(spark):
     assert len(last) == 60 * least and not {r.token for r in last} & set(common.tolist())
     members, found = dedupe.jaccard_classes(df)
     assert members.count() == 60 and found.count() == 0
+
+
+def _near_copies(n: int, words: int, changed: int, seed: int) -> dict[int, str]:
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = {}
+    for k in range(n):
+        t = list(base)
+        for at in r.sample(range(words), changed):
+            t[at] = f"x{k}y{at}"
+        out[k] = " ".join(t)
+    return out
+
+
+def _similar(texts: dict[int, str]) -> dict[tuple[int, int], float]:
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in texts.items() if (w := t.lower().split())}
+    return {(a, b): j for a, b in itertools.combinations(sorted(sets), 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8}
+
+
+def test_sets_of_a_group_are_not_sent_once_a_pair(spark):
+    texts = _near_copies(200, 600, 6, 5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def stages():
+        all_stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x := all_stages.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(all_stages.size())}
+
+    before = set(stages())
+    want = _similar(texts)
+    from causaloom.operators.shared import settings
+
+    with settings(spark, {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = {(x.a, x.b): x.jaccard for x in dedupe.jaccard_classes(df)[1].collect()}
+    assert found == want and len(want) > 15_000
+    size = 200 * 600 * 8
+    assert sum(b for k, b in stages().items() if k not in before) < 5 * size  # a set for each pair would be 90 times the sets
+
+
+def test_small_blocks_and_chunks_give_the_same_pairs(spark, monkeypatch):
+    for name, value in {"BLOCK_SETS": 7, "LOOKED_AT": 50, "PACKED": 40, "OFTEN": 3, "FREQUENT": 30}.items():
+        monkeypatch.setattr(dedupe, name, value)
+    texts = _near_copies(40, 100, 1, 6) | {100 + k: t for k, t in _near_copies(30, 12, 1, 7).items()} | {200: "a", 201: "A ", 202: "a b"}
+    r = random.Random(8)
+    texts |= {300 + k: " ".join(r.choice("abc") for _ in range(r.randint(1, 200))) for k in range(60)}
+    texts |= {1000 + k: t for k, t in texts.items() if k % 3 == 0}  # copies
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    got = [(x.a, x.b, round(x.jaccard, 9)) for x in dedupe.jaccard_pairs(df).collect()]
+    want = _similar(texts)
+    assert len(got) == len(want) > 200 and {(a, b): j for a, b, j in got} == {p: round(j, 9) for p, j in want.items()}
+    assert spark.conf.get(name) == held
+
+
+def test_a_pair_is_told_where_it_meets_first_and_seldom_again(spark):
+    import numpy as np
+
+    texts = _near_copies(60, 500, 5, 9)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    alone, among = dedupe._among(df, df.select("doc_id"), 60)
+    every = np.full(1 << 14, -1)  # all tokens pass
+    rows = dedupe._meetings(dedupe._shared_rows(alone, 0.8, np.zeros(0, np.int64), among, every), 0.8).collect()
+    first = {}
+    for x in rows:
+        first[x.ka, x.kb] = min(first.get((x.ka, x.kb), (1 << 62)), x.places)
+    prefixes = {}
+    for x in dedupe._prefix_rows(df, 0.8, np.zeros(0, np.int64)).collect():
+        prefixes.setdefault(x.key, {})[x.token] = x.place & 0xFFFFFFFF
+    want, met = {}, 0
+    for a, b in itertools.combinations(sorted(prefixes), 2):
+        if common := prefixes[a].keys() & prefixes[b].keys():
+            met += len(common)
+            want[a, b] = min(prefixes[a][t] << 32 | prefixes[b][t] for t in common)
+    assert first == want
+    assert 5 * len(rows) < met
