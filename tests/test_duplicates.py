@@ -126,7 +126,7 @@ def test_sets_of_a_group_are_not_sent_once_a_pair(spark):
 
 
 def test_small_blocks_and_chunks_give_the_same_pairs(spark, monkeypatch):
-    for name, value in {"BLOCK_SETS": 7, "LOOKED_AT": 50, "PACKED": 40, "OFTEN": 3, "FREQUENT": 30}.items():
+    for name, value in {"BLOCK_SETS": 7, "PARTS_OF_SETS": 5, "LOOKED_AT": 50, "PACKED": 40, "OFTEN": 3, "FREQUENT": 30}.items():
         monkeypatch.setattr(dedupe, name, value)
     texts = _near_copies(40, 100, 1, 6) | {100 + k: t for k, t in _near_copies(30, 12, 1, 7).items()} | {200: "a", 201: "A ", 202: "a b"}
     r = random.Random(8)
